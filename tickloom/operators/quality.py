@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,12 @@ def _checks(df: DataFrame, spec: QualitySpec) -> list[tuple[str, str, Column]]:
 _REPORT = "topic string, ticker string, check string, column string, count bigint"
 
 
+def _counted(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """One row per ticker with the count of each check, from a single pass."""
+    ticker = quoted("ticker").cast("string") if "ticker" in df.columns else F.lit(None).cast("string")
+    return df.groupBy(ticker.alias("ticker")).agg(*[n.alias(f"_n{i}") for i, (_, _, n) in enumerate(checks)])
+
+
 def quality_report(df: DataFrame, topic: str) -> DataFrame:
     """One row per ticker, check and column that failed; empty means valid.
 
@@ -83,8 +91,6 @@ def quality_report(df: DataFrame, topic: str) -> DataFrame:
         logger.warning("no quality rules for topic %s, nothing checked", topic)
         return df.sparkSession.createDataFrame([], _REPORT)
     checks = _checks(df, spec)
-    ticker = quoted("ticker").cast("string") if "ticker" in df.columns else F.lit(None).cast("string")
-    counted = df.groupBy(ticker.alias("ticker")).agg(*[n.alias(f"_n{i}") for i, (_, _, n) in enumerate(checks)])
     findings = F.array(
         *[
             F.struct(F.lit(check).alias("check"), F.lit(name).alias("column"), F.col(f"_n{i}").alias("count"))
@@ -92,7 +98,8 @@ def quality_report(df: DataFrame, topic: str) -> DataFrame:
         ]
     )
     return (
-        counted.select("ticker", F.inline(findings))
+        _counted(df, checks)
+        .select("ticker", F.inline(findings))
         .where("count > 0")
         .select(F.lit(topic).alias("topic"), "ticker", "check", "column", "count")
     )
@@ -106,8 +113,10 @@ def batch_sizes(df: DataFrame) -> DataFrame:
 
 
 def failing_tickers(df: DataFrame, topic: str) -> DataFrame:
-    """Tickers with at least one finding."""
-    return quality_report(df, topic).select(F.col("ticker").alias("_failing")).distinct()
+    """Tickers with at least one finding, each once."""
+    checks = _checks(df, QUALITY[topic])
+    found = reduce(or_, [F.col(f"_n{i}") > 0 for i in range(len(checks))])
+    return _counted(df, checks).where(found).select(F.col("ticker").alias("_failing"))
 
 
 def split_by_quality(df: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
