@@ -1,4 +1,4 @@
-"""Raw JSON in the lake: ``<root>/<topic>/<hour>/...``.
+"""Raw JSON in the lake, in folders by topic and ingest hour.
 
 Files hold one object per line, or one array of records per line; both yield one
 row per record.
@@ -15,13 +15,12 @@ CORRUPT = "_corrupt_record"
 def topic_path(root: str, topic: str, hour: str | None = None, hive_style: bool = True) -> str:
     """The hour's folder if one is named, else the whole topic.
 
-    Hours are ``dt_hour=<yyyy-MM-dd_HH>`` folders, or bare ``<yyyy-MM-dd_HH>``
-    ones in a lake that was not written by Spark.
+    Folders are ``topic=<name>/dt_hour=<yyyy-MM-dd_HH>``, or the bare names in a
+    lake that was not written by Spark.
     """
-    base = f"{root.rstrip('/')}/{topic}"
-    if not hour:
-        return base
-    return f"{base}/dt_hour={hour}" if hive_style else f"{base}/{hour}"
+    topic_key, hour_key = ("topic=", "dt_hour=") if hive_style else ("", "")
+    base = f"{root.rstrip('/')}/{topic_key}{topic}"
+    return f"{base}/{hour_key}{hour}" if hour else base
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None, recursive: bool = False) -> DataFrame:
