@@ -44,7 +44,9 @@ def one_per_key(df: DataFrame, keys: Sequence[str], newest_by: Sequence[str] = (
     )
 
 
-def keyed_replace(frames: Iterable[DataFrame], keys: Sequence[str], version: str) -> DataFrame:
+def keyed_replace(
+    frames: Iterable[DataFrame], keys: Sequence[str], version: str, newest_by: Sequence[str] = ()
+) -> DataFrame:
     """Merge loads of one table, later frames superseding earlier ones.
 
     The load number becomes the leading order column, so all loads are resolved
@@ -52,7 +54,7 @@ def keyed_replace(frames: Iterable[DataFrame], keys: Sequence[str], version: str
     """
     loads = [f.withColumn(version, F.lit(i)) for i, f in enumerate(frames)]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loads)
-    return one_per_key(merged, keys, (version,)).drop(version)
+    return one_per_key(merged, keys, (version, *newest_by)).drop(version)
 
 
 def conform(df: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:

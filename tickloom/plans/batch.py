@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import drop_technical, fill_nulls, trim_strings
-from tickloom.operators.latest import one_per_key
+from tickloom.functions.columns import TECHNICAL_COLUMNS, drop_technical, fill_nulls, trim_strings
+from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.sinks.tables import append_load
 from tickloom.sources.lake import scan_topic, split_corrupt
 from tickloom.specs import DATASETS, TABLES, DatasetSpec
@@ -27,13 +27,19 @@ def typed_rows(raw: DataFrame, spec: DatasetSpec) -> DataFrame:
     )
 
 
+def _without_label(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    # Technical columns that do not decide between rows need not be shuffled.
+    return df.drop(*[c for c in TECHNICAL_COLUMNS if c not in spec.stamp])
+
+
 def normalize(raw: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Typed rows, one per business key, without the technical columns.
 
     Nulls are filled before the keys are compared, so rows that lack a key value
     share its default.
     """
-    return one_per_key(typed_rows(raw, spec), spec.keys, spec.stamp).transform(drop_technical)
+    rows = _without_label(typed_rows(raw, spec), spec)
+    return one_per_key(rows, spec.keys, spec.stamp).transform(drop_technical)
 
 
 def normalize_loads(loads: list[tuple[DataFrame, DatasetSpec]]) -> DataFrame:
@@ -41,13 +47,9 @@ def normalize_loads(loads: list[tuple[DataFrame, DatasetSpec]]) -> DataFrame:
 
     The feeds are typed separately and resolved together: one shuffle in all.
     """
-    order = "_load"
-    keys, stamp = loads[0][1].keys, loads[0][1].stamp
-    frames = [typed_rows(raw, spec).withColumn(order, F.lit(i)) for i, (raw, spec) in enumerate(loads)]
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
-    return one_per_key(merged, keys, (order, *stamp)).drop(order).transform(drop_technical)
+    spec = loads[-1][1]
+    typed = [_without_label(typed_rows(raw, s), s) for raw, s in loads]
+    return keyed_replace(typed, spec.keys, "_load", spec.stamp).transform(drop_technical)
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,7 @@ def run(
     written = Observation()
     result = normalize(readable, spec).observe(written, F.count(F.lit(1)).alias("rows"))
     append_load(result, f"{warehouse_root.rstrip('/')}/{spec.table}", TABLES[spec.table], batch_id)
-    rows = int(written.get["rows"])
+    rows = int(written.get.get("rows", 0))
     logger.info("%s: %d rows into %s", spec.topic, rows, spec.table)
     return JobResult(rows, quarantined)
 

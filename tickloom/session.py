@@ -20,6 +20,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Folders are listed in parallel, but not with one task per hour folder.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "128",
     # Pack many small raw files into 128 MB scan tasks.
     "spark.sql.files.maxPartitionBytes": "134217728",
     "spark.sql.files.openCostInBytes": "10485760",

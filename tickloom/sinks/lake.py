@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tickloom.sources.lake import topic_path
@@ -20,17 +20,18 @@ def write_records(
     ``hour`` names the folder for all rows; without it each row carries its own
     ``dt_hour``. The rebalance gives each hour few, evenly sized files and splits
     an hour that outgrows one task. ``by_ticker`` adds a folder per ticker for
-    readers that want one, at the price of many more files.
+    readers that want one, at the price of many more files. Rows are counted while
+    they are written, so the frame is computed once.
     """
-    if df.isEmpty():
-        return False
+    written = Observation()
     stamped = df.withColumn("dt_hour", F.lit(hour)) if hour else df
     folders = ["dt_hour", "ticker"] if by_ticker else ["dt_hour"]
     (
-        stamped.hint("rebalance", *folders)
+        stamped.observe(written, F.count(F.lit(1)).alias("rows"))
+        .hint("rebalance", *folders)
         .write.mode("append")
         .partitionBy(*folders)
         .option("ignoreNullFields", "false")
         .json(topic_path(root, topic))
     )
-    return True
+    return written.get.get("rows", 0) > 0

@@ -63,7 +63,7 @@ def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     written = Observation()
     rows = default_now(latest_ticks(batch)).observe(written, F.count(F.lit(1)).alias("rows"))
     append_load(rows, path, TICK_TABLE, batch_id)
-    logger.info("batch %d: %d ticks", batch_id, written.get["rows"])
+    logger.info("batch %d: %d ticks", batch_id, written.get.get("rows", 0))
 
 
 def start_tick_stream(
