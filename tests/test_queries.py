@@ -1,0 +1,42 @@
+"""Every registered query against its SQL, and properties of all of them."""
+
+from __future__ import annotations
+
+import ast
+import os
+import pathlib
+
+import pytest
+from compare import connect, differences
+
+import __spark_entry__ as entry_point
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+ROOT = pathlib.Path(__file__).resolve().parents[1]
+
+
+@pytest.fixture(scope="module")
+def sql():
+    return connect(SF_DIR)
+
+
+def test_every_query_has_sql_and_the_reverse():
+    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+
+
+def test_entry(spark):
+    assert entry_point.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+def test_query_matches_sql(spark, sql, name):
+    found = differences(entry_point.queries()[name](spark, SF_DIR), sql, entry_point.oracle_sql()[name])
+    assert found is None, found
+
+
+def test_library_never_pulls_rows_to_the_driver():
+    banned = {"collect", "toPandas", "toLocalIterator", "take", "head", "first", "localCheckpoint", "crossJoin", "rdd", "limit", "broadcast"}
+    for file in (ROOT / "tickloom").rglob("*.py"):
+        for node in ast.walk(ast.parse(file.read_text())):
+            if isinstance(node, ast.Attribute) and node.attr in banned:
+                raise AssertionError(f"{file.name}:{node.lineno} uses {node.attr}")

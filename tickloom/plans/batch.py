@@ -8,9 +8,9 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.counting import counted, rows_written
 from tickloom.functions.columns import TECHNICAL_COLUMNS, drop_technical, fill_nulls, trim_strings
 from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.sinks.tables import append_load
@@ -82,10 +82,9 @@ def run(
     if quarantine_root is not None and not corrupt.isEmpty():
         corrupt.write.mode("overwrite").json(f"{quarantine_root.rstrip('/')}/{spec.topic}/batch_id={batch_id}")
         quarantined = True
-    written = Observation()
-    result = normalize(readable, spec).observe(written, F.count(F.lit(1)).alias("rows"))
+    result, counter = counted(normalize(readable, spec))
     append_load(result, f"{warehouse_root.rstrip('/')}/{spec.table}", TABLES[spec.table], batch_id)
-    rows = int(written.get.get("rows", 0))
+    rows = rows_written(counter)
     logger.info("%s: %d rows into %s", spec.topic, rows, spec.table)
     return JobResult(rows, quarantined)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.counting import counted, rows_written
 from tickloom.sources.lake import topic_path
 
 
@@ -23,15 +24,13 @@ def write_records(
     readers that want one, at the price of many more files. Rows are counted while
     they are written, so the frame is computed once.
     """
-    written = Observation()
-    stamped = df.withColumn("dt_hour", F.lit(hour)) if hour else df
+    stamped, rows = counted(df.withColumn("dt_hour", F.lit(hour)) if hour else df)
     folders = ["dt_hour", "ticker"] if by_ticker else ["dt_hour"]
     (
-        stamped.observe(written, F.count(F.lit(1)).alias("rows"))
-        .hint("rebalance", *folders)
+        stamped.hint("rebalance", *folders)
         .write.mode("append")
         .partitionBy(*folders)
         .option("ignoreNullFields", "false")
         .json(topic_path(root, topic))
     )
-    return written.get.get("rows", 0) > 0
+    return rows_written(rows) > 0

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.casts import quoted
+
 CORRUPT = "_corrupt_record"
 
 
@@ -61,5 +63,8 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable records, unreadable ones for quarantine)."""
     if CORRUPT not in df.columns:
         return df, df.where(F.lit(False))
-    readable = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return readable, df.where(F.col(CORRUPT).isNotNull())
+    # A field never equals the text of its whole record, so the comparison below
+    # adds nothing but a second column: Spark refuses to parse for this one alone.
+    anchor = quoted(next(c for c in df.columns if c != CORRUPT)).cast("string")
+    is_readable = F.col(CORRUPT).isNull() | anchor.eqNullSafe(F.col(CORRUPT))
+    return df.where(is_readable).drop(CORRUPT), df.where(~is_readable)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.counting import counted, rows_written
 from tickloom.functions.casts import MONEY, retype
 from tickloom.functions.columns import FILL_TEXT, FILL_WHOLE, default_now
 from tickloom.operators.latest import one_per_key
@@ -60,10 +61,9 @@ def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     """Publish one micro-batch; a replayed batch replaces its first attempt."""
     if batch.isEmpty():
         return
-    written = Observation()
-    rows = default_now(latest_ticks(batch)).observe(written, F.count(F.lit(1)).alias("rows"))
-    append_load(rows, path, TICK_TABLE, batch_id)
-    logger.info("batch %d: %d ticks", batch_id, written.get.get("rows", 0))
+    ticks, counter = counted(default_now(latest_ticks(batch)))
+    append_load(ticks, path, TICK_TABLE, batch_id)
+    logger.info("batch %d: %d ticks", batch_id, rows_written(counter))
 
 
 def start_tick_stream(
