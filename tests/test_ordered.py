@@ -53,6 +53,9 @@ def test_no_task_sees_more_of_a_key_than_a_chunk(spark):
     plan = plan_of(version_history(df, ["ticker"], "time", ["close"]), "simple")
     windows = [line for line in plan.splitlines() if "row_number" in line and "Window [" in line]
     assert windows and all("_chunk0" in line for line in windows)
+    # Per key only the chunk rows are ordered, never the rows themselves.
+    per_key = [line for line in plan.splitlines() if "Window [" in line and "_chunk0" not in line.split("windowspecdefinition(")[1].split("ASC")[0]]
+    assert all("_rows" in line for line in per_key)
 
 
 def test_versions_break_ties(spark):

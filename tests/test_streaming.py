@@ -17,7 +17,7 @@ from tickloom.sources.lake import read_json, scan_topic, split_corrupt
 from tickloom.sources.streams import file_stream
 from tickloom.specs import DATASETS, TABLES
 from tickloom.streaming.archive import stamped_message, start_archive_stream
-from tickloom.streaming.highwater import accepted_rows, start_incremental_stream
+from tickloom.streaming.highwater import accept_batch, accepted_rows, start_incremental_stream
 from tickloom.streaming.ticks import latest_ticks, parse_ticks, start_tick_stream, wait, without_repeats, write_batch
 
 SPEC = TABLES["fact_intraday_tick"]
@@ -170,6 +170,30 @@ def test_incremental_stream_drops_seen_and_late_ticks(spark, path):
     for i, rows in enumerate(polls):
         spark.createDataFrame(rows, schema).write.parquet(f"{path('in')}/{i}")
         source = spark.readStream.schema(schema).parquet(f"{path('in')}/*")
-        wait(start_incremental_stream(source, path("out"), path("ckpt")))
+        send = lambda messages: messages.write.mode("append").json(path("sent"))
+        wait(start_incremental_stream(source, path("out"), path("ckpt"), send))
     out = accepted_rows(spark, path("out"), schema).collect()
     assert sorted((r.batch_id, r.id) for r in out) == [(0, 0), (0, 1), (0, 2), (1, 5), (2, 6), (2, 7)]
+    sent = [(r.key, json.loads(r.value)["id"]) for r in spark.read.json(path("sent")).collect()]
+    assert sorted(sent) == [("A", 0), ("A", 1), ("A", 5), ("B", 2), ("B", 6), ("C", 7)]
+
+
+def test_replayed_poll_decides_as_before(spark, path):
+    schema = "ticker string, time timestamp, id int"
+    t = lambda s: dt.datetime(2024, 1, 2, 9, 0, s)
+    first = spark.createDataFrame([("A", t(1), 0)], schema)
+    second = spark.createDataFrame([("A", t(1), 0), ("A", t(2), 1)], schema)
+    for batch_id, batch in ((0, first), (1, second), (1, second)):
+        accept_batch(batch, batch_id, path("rows"), path("marks"))
+    assert sorted((r.batch_id, r.id) for r in spark.read.parquet(path("rows")).collect()) == [(0, 0), (1, 1)]
+
+
+def test_periodic_trigger(spark, path):
+    os.makedirs(path("in"))
+    with open(f"{path('in')}/0.txt", "w") as f:
+        f.write(message())
+    query = start_tick_stream(file_stream(spark, path("in")), path("table"), path("ckpt"), trigger="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert read_current(spark, path("table"), SPEC).count() == 1
+    assert query.lastProgress is None or query.lastProgress["batchId"] >= 0

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tickloom.operators.ordered import number_rows
 
 
+def hourly(time: str) -> tuple[Column, ...]:
+    """Default chunks: a decade of hours is under 90,000 chunk rows per key, and a
+    key's rows are spread over as many tasks."""
+    return (F.date_trunc("hour", F.col(time)),)
+
+
 def version_history(
     df: DataFrame,
     keys: Sequence[str],
@@ -17,9 +23,13 @@ def version_history(
     tie_break: Sequence[str],
     chunks: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Number every row of a key by age, oldest first, as ``version``."""
-    chunks = chunks or (F.trunc(F.col(created_at), "month"),)
-    return number_rows(df, keys, [created_at, *tie_break], chunks, name="version")
+    """Number every row of a key by age, oldest first, as ``version``.
+
+    Pass ``chunks`` where many rows of a key share one hour, for example
+    ``(created_at, floor(id / 2**26))`` if times are whole days and ``id`` breaks
+    the ties.
+    """
+    return number_rows(df, keys, [created_at, *tie_break], chunks or hourly(created_at), name="version")
 
 
 def validity_intervals(
@@ -30,8 +40,12 @@ def validity_intervals(
     chunks: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Type-2 history: ``version``, ``valid_to`` (open end is null), ``is_current``."""
-    chunks = chunks or (F.trunc(F.col(valid_from), "month"),)
     numbered = number_rows(
-        df, keys, [valid_from, *tie_break], chunks, name="version", next_of={"valid_to": valid_from}
+        df,
+        keys,
+        [valid_from, *tie_break],
+        chunks or hourly(valid_from),
+        name="version",
+        next_of={"valid_to": valid_from},
     )
     return numbered.withColumn("is_current", F.col("valid_to").isNull())

@@ -32,7 +32,7 @@ def moving_indicators(
     there was no loss. Sums are kept in decimals, so they are exact whatever the
     block a row falls into.
     """
-    chunk = F.trunc(F.col("time"), "year") if chunk is None else chunk
+    chunk = F.trunc(F.col("time"), "month") if chunk is None else chunk
     reach = max([1, *[n - 1 for n in sma], *rsi])
     numbered = number_rows(df, ["ticker"], ["time"], [chunk], name="_position")
     blocks = with_halo(numbered, "_position", max(block_rows, reach), reach)

@@ -119,16 +119,22 @@ def failing_tickers(df: DataFrame, topic: str) -> DataFrame:
     return _counted(df, checks).where(found).select(F.col("ticker").alias("_failing"))
 
 
-def split_by_quality(df: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
+def fails_as_a_whole(df: DataFrame, topic: str) -> bool:
+    """Whether the schema alone withholds every ticker."""
+    spec = QUALITY.get(topic)
+    return spec is not None and bool(missing_columns(df, spec) or type_errors(df, spec))
+
+
+def split_by_quality(df: DataFrame, topic: str, failing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows that may land, rows held back).
 
-    A ticker with any finding is held back whole, not only its bad rows.
+    A ticker with any finding is held back whole, not only its bad rows. Pass
+    ``failing`` (see ``failing_tickers``) to use a list that is kept elsewhere.
     """
-    spec = QUALITY.get(topic)
-    if spec is None:
+    if topic not in QUALITY:
         return df, df.where(F.lit(False))
-    if missing_columns(df, spec) or type_errors(df, spec):
+    if fails_as_a_whole(df, topic):
         return df.where(F.lit(False)), df
-    failing = failing_tickers(df, topic)
+    failing = failing_tickers(df, topic) if failing is None else failing
     same = quoted("ticker").eqNullSafe(F.col("_failing"))
     return df.join(failing, same, "left_anti"), df.join(failing, same, "left_semi")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import normalize_names, tag
 from tickloom.operators.incremental import advance_marks, newer_than
-from tickloom.operators.quality import split_by_quality
+from tickloom.operators.quality import failing_tickers, fails_as_a_whole, split_by_quality
 from tickloom.sinks.lake import write_records
 from tickloom.sinks.messages import encode
-from tickloom.specs import INDEX_LABELS
+from tickloom.specs import INDEX_LABELS, QUALITY
 
 
 def relabel_index(df: DataFrame, column: str = "ticker") -> DataFrame:
@@ -51,15 +51,26 @@ def land(
 ) -> bool:
     """Write the accepted tickers to the lake, the others to quarantine.
 
-    True if anything landed.
+    True if anything landed. The list of failing tickers, a row per ticker at
+    most, is kept for both writes, so the rows are judged once.
     """
-    landing = validate(prepare(df, topic), topic)
+    prepared = prepare(df, topic)
+    failing = None
+    if topic in QUALITY and not fails_as_a_whole(prepared, topic):
+        failing = failing_tickers(prepared, topic).persist()
+    accepted, held_back = split_by_quality(prepared, topic, failing)
     if quarantine_root is not None:
-        write_records(landing.held_back, quarantine_root, topic, hour)
-    return write_records(landing.accepted, lake_root, topic, hour)
+        write_records(held_back, quarantine_root, topic, hour)
+    landed = write_records(accepted, lake_root, topic, hour)
+    if failing is not None:
+        failing.unpersist()
+    return landed
 
 
 def new_tick_messages(polled: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages for ticks newer than the marks, the marks afterwards)."""
+    """(messages for ticks newer than the marks, the marks afterwards).
+
+    Both results read ``polled``, so it must be stable: a table, not a live feed.
+    """
     fresh = newer_than(polled, marks)
     return encode(fresh), advance_marks(marks, fresh)

@@ -14,11 +14,10 @@ def encode(df: DataFrame, key: str = "ticker") -> DataFrame:
     return scalar.select(F.col(key).cast("string").alias("key"), json_row(scalar).alias("value"))
 
 
-def publish(df: DataFrame, servers: str, topic: str, key: str = "ticker", linger_ms: int = 5) -> None:
-    """Send every row to a topic; needs the broker connector on the class path."""
+def publish(messages: DataFrame, servers: str, topic: str, linger_ms: int = 5) -> None:
+    """Send encoded rows to a topic; needs the broker connector on the class path."""
     (
-        encode(df, key)
-        .write.format("kafka")
+        messages.write.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("kafka.linger.ms", linger_ms)
         .option("topic", topic)

@@ -7,11 +7,17 @@ makes the same decision as the first attempt.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.counting import counted, rows_written
 from tickloom.operators.incremental import advance_marks, newer_than
+from tickloom.sinks.messages import encode
+
+logger = logging.getLogger(__name__)
 
 _MARKS = "ticker string, last_time timestamp"
 
@@ -22,22 +28,37 @@ def _marks_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return spark.read.schema(_MARKS).parquet(f"{path}/batch_id={batch_id - 1}")
 
 
-def accept_batch(batch: DataFrame, batch_id: int, rows_path: str, marks_path: str) -> None:
-    """Write the batch's new rows and the marks that hold after it."""
+def accept_batch(
+    batch: DataFrame, batch_id: int, rows_path: str, marks_path: str, send: Callable[[DataFrame], None] | None = None
+) -> None:
+    """Write the batch's new rows and the marks that hold after it.
+
+    ``send`` receives the new rows as keyed messages. It is called before the
+    marks are written, so a failure repeats messages rather than losing them.
+    """
     spark = batch.sparkSession
     marks = _marks_before(spark, marks_path, batch_id)
     target = f"{rows_path}/batch_id={batch_id}"
-    newer_than(batch, marks).write.mode("overwrite").parquet(target)
+    fresh, counter = counted(newer_than(batch, marks))
+    fresh.write.mode("overwrite").parquet(target)
     accepted = spark.read.schema(batch.schema).parquet(target)
+    if send is not None:
+        send(encode(accepted))
     advance_marks(marks, accepted).write.mode("overwrite").parquet(f"{marks_path}/batch_id={batch_id}")
+    logger.info("batch %d: sent %d ticks", batch_id, rows_written(counter))
+
 
+def start_incremental_stream(
+    ticks: DataFrame, root: str, checkpoint: str, send: Callable[[DataFrame], None] | None = None, **trigger
+) -> StreamingQuery:
+    """Accept typed ticks into ``<root>/rows``; marks are kept in ``<root>/marks``.
 
-def start_incremental_stream(ticks: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Accept typed ticks into ``<root>/rows``; marks are kept in ``<root>/marks``."""
+    With ``send`` (for instance ``lambda m: publish(...)``) they are also sent on.
+    """
     base = root.rstrip("/")
     return (
         ticks.writeStream.foreachBatch(
-            lambda batch, batch_id: accept_batch(batch, batch_id, f"{base}/rows", f"{base}/marks")
+            lambda batch, batch_id: accept_batch(batch, batch_id, f"{base}/rows", f"{base}/marks", send)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
