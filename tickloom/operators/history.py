@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import number_rows
+from tickloom.operators.ordered import HOT_ROWS, number_rows
 
 
 def hourly(time: str) -> tuple[Column, ...]:
-    """Default chunks: a decade of hours is under 90,000 chunk rows per key, and a
-    key's rows are spread over as many tasks."""
+    """Default chunks: a decade of hours is under 90,000 chunk rows per hot key, and
+    the key's rows are spread over as many windows."""
     return (F.date_trunc("hour", F.col(time)),)
 
 
@@ -22,14 +22,15 @@ def version_history(
     created_at: str,
     tie_break: Sequence[str],
     chunks: Sequence[Column] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Number every row of a key by age, oldest first, as ``version``.
 
-    Pass ``chunks`` where many rows of a key share one hour, for example
+    Pass ``chunks`` where many rows of a hot key share one hour, for example
     ``(created_at, floor(id / 2**26))`` if times are whole days and ``id`` breaks
     the ties.
     """
-    return number_rows(df, keys, [created_at, *tie_break], chunks or hourly(created_at), name="version")
+    return number_rows(df, keys, [created_at, *tie_break], chunks or hourly(created_at), "version", hot_rows=hot_rows)
 
 
 def validity_intervals(
@@ -38,6 +39,7 @@ def validity_intervals(
     valid_from: str,
     tie_break: Sequence[str] = (),
     chunks: Sequence[Column] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Type-2 history: ``version``, ``valid_to`` (open end is null), ``is_current``."""
     numbered = number_rows(
@@ -47,5 +49,6 @@ def validity_intervals(
         chunks or hourly(valid_from),
         name="version",
         next_of={"valid_to": valid_from},
+        hot_rows=hot_rows,
     )
     return numbered.withColumn("is_current", F.col("valid_to").isNull())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.operators.ordered import number_rows, with_halo
+from tickloom.operators.ordered import HOT_ROWS, number_rows, split_hot, with_halo
 
 BLOCK_ROWS = 8192
 
@@ -18,29 +18,15 @@ def _trailing(running: str, rows: int, along) -> Column:
     return F.col(running) - F.coalesce(F.lag(running, rows).over(along), F.lit(0))
 
 
-def moving_indicators(
-    df: DataFrame,
-    sma: Sequence[int] = (),
-    rsi: Sequence[int] = (),
-    chunk: Column | None = None,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Add ``sma_<n>`` and ``rsi_<n>`` to rows of (ticker, time, close, ...).
+def _add_indicators(df: DataFrame, group: Sequence[str], sma: Sequence[int], rsi: Sequence[int]) -> DataFrame:
+    """Indicators of rows numbered by ``_position``, windowed within ``group``.
 
-    ``(ticker, time)`` must be unique. A value is null until its window is full.
-    RSI uses plain averages of the last n gains and losses, and is 100 where
-    there was no loss. Sums are kept in decimals, so they are exact whatever the
-    block a row falls into.
+    Sums are kept in decimals, so they are exact wherever a group begins.
     """
-    chunk = F.trunc(F.col("time"), "month") if chunk is None else chunk
-    reach = max([1, *[n - 1 for n in sma], *rsi])
-    numbered = number_rows(df, ["ticker"], ["time"], [chunk], name="_position")
-    blocks = with_halo(numbered, "_position", max(block_rows, reach), reach)
-
-    along = Window.partitionBy("ticker", "_block").orderBy("_position")
+    along = Window.partitionBy(*group).orderBy("time")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     change = F.coalesce(F.col("close") - F.lag("close").over(along), F.lit(0))
-    moves = blocks.withColumn("_change", change).withColumns(
+    moves = df.withColumn("_change", change).withColumns(
         {
             "_gain": F.greatest(F.col("_change"), F.lit(0)),
             "_loss": F.greatest(-F.col("_change"), F.lit(0)),
@@ -69,8 +55,35 @@ def moving_indicators(
         strength = F.when(loss == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + gain / loss))
         return F.when(F.col("_position") > n, strength)
 
-    return trailing.where("_own").select(
-        *df.columns,
-        *[rsi_value(n).alias(f"rsi_{n}") for n in rsi],
-        *[sma_value(n).alias(f"sma_{n}") for n in sma],
+    return trailing.withColumns(
+        {**{f"rsi_{n}": rsi_value(n) for n in rsi}, **{f"sma_{n}": sma_value(n) for n in sma}}
     )
+
+
+def moving_indicators(
+    df: DataFrame,
+    sma: Sequence[int] = (),
+    rsi: Sequence[int] = (),
+    chunk: Column | None = None,
+    block_rows: int = BLOCK_ROWS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``sma_<n>`` and ``rsi_<n>`` to rows of (ticker, time, close, ...).
+
+    ``(ticker, time)`` must be unique. A value is null until its window is full.
+    RSI uses plain averages of the last n gains and losses, and is 100 where
+    there was no loss. Tickers of ordinary size take one shuffle; a ticker with
+    more than ``hot_rows`` rows is numbered and cut into blocks with a halo.
+    """
+    chunk = F.trunc(F.col("time"), "month") if chunk is None else chunk
+    reach = max([1, *[n - 1 for n in sma], *rsi])
+    out = [*df.columns, *[f"rsi_{n}" for n in rsi], *[f"sma_{n}" for n in sma]]
+
+    ordinary, hot = split_hot(df, ["ticker"], hot_rows)
+    position = F.row_number().over(Window.partitionBy("ticker").orderBy("time"))
+    plain = _add_indicators(ordinary.withColumn("_position", position), ["ticker"], sma, rsi)
+
+    numbered = number_rows(hot, ["ticker"], ["time"], [chunk], name="_position", hot_rows=0)
+    blocks = with_halo(numbered, "_position", max(block_rows, reach), reach)
+    blocked = _add_indicators(blocks, ["ticker", "_block"], sma, rsi).where("_own")
+    return plain.select(*out).unionByName(blocked.select(*out))

@@ -1,9 +1,12 @@
 """Order-dependent operators for keys of any size.
 
 A window partitioned by the key alone pulls the key's whole history into one
-task. Here a history is cut into chunks that follow its order: each chunk is
-windowed on its own, and one small row per chunk carries what the next chunks
-need (rows so far, first value). Results equal the plain window exactly.
+task. That is fine for most keys, and they are windowed just so. The few keys
+with more than ``HOT_ROWS`` rows are cut into chunks that follow their order:
+each chunk is windowed on its own, and one small row per chunk carries what the
+next chunks need (rows so far, first value). Results equal the plain window.
+
+Keys must not be null; fill them first, as every dataset here does.
 """
 
 from __future__ import annotations
@@ -14,9 +17,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+HOT_ROWS = 1 << 20
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, as ``_hot_<key>`` columns.
+
+    Counted with a map-side combine from the key columns alone. There are at most
+    ``total rows / hot_rows`` of them (a million keys in 10^12 rows), which is the
+    bound that allows the broadcast.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    found = counts.where(F.col("_rows") > F.lit(hot_rows))
+    return F.broadcast(found.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_is_hot")))
+
 
-def _chunk_names(chunks: Sequence[Column]) -> list[str]:
-    return [f"_chunk{i}" for i in range(len(chunks))]
+def _is_hot_key(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k) == F.col(f"_hot_{k}") for k in keys]
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of hot keys)."""
+    hot = hot_keys(df, keys, hot_rows)
+    return df.join(hot, _is_hot_key(keys), "left_anti"), df.join(hot, _is_hot_key(keys), "left_semi")
 
 
 def number_rows(
@@ -26,43 +49,55 @@ def number_rows(
     chunks: Sequence[Column],
     name: str = "position",
     next_of: dict[str, str] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row within its key.
 
     ``chunks`` are expressions that never decrease along ``order_by`` (such as
-    the month of the leading time column); they bound how much of one key a
-    task sees. ``next_of`` adds, under the given new name, the value the column
-    has in the key's next row; such a column must be the leading order column.
+    the hour of the leading time column); they bound how much of a hot key a task
+    sees. ``next_of`` adds, under the given new name, the value the column has in
+    the key's next row; such a column must be the leading order column.
+
+    The rows are read and shuffled once. Counts come from narrow reads of the key
+    and order columns, and join to rows that are already placed by key and chunk.
     """
     next_of = next_of or {}
-    parts = _chunk_names(chunks)
-    staged = df.withColumns(dict(zip(parts, chunks)))
+    parts = [f"_chunk{i}" for i in range(len(chunks))]
+    hot = hot_keys(df, keys, hot_rows)
 
-    per_chunk = staged.groupBy(*keys, *parts).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.min(source).alias(f"_first_{target}") for target, source in next_of.items()],
+    per_chunk = (
+        df.join(hot, _is_hot_key(keys), "left_semi")
+        .withColumns(dict(zip(parts, chunks)))
+        .groupBy(*keys, *parts)
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.min(source).alias(f"_first_{target}") for target, source in next_of.items()],
+        )
     )
     along = Window.partitionBy(*keys).orderBy(*parts)
     carried = per_chunk.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         *[F.col(p).alias(f"_k{p}") for p in parts],
-        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         *[F.lead(f"_first_{target}").over(along).alias(f"_after_{target}") for target in next_of],
     )
 
+    # Ordinary keys have null chunks: the whole key is one window, nothing joins.
+    placed = df.join(hot, _is_hot_key(keys), "left").withColumns(
+        {part: F.when(F.col("_is_hot"), chunk) for part, chunk in zip(parts, chunks)}
+    )
     inside = Window.partitionBy(*keys, *parts).orderBy(*order_by)
-    local = staged.withColumns(
+    local = placed.withColumns(
         {
             "_local": F.row_number().over(inside),
             **{f"_lead_{target}": F.lead(source).over(inside) for target, source in next_of.items()},
             **{f"_last_{target}": F.lead(F.lit(True)).over(inside).isNull() for target in next_of},
         }
     )
-    same_chunk = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    same_chunk += [F.col(p).eqNullSafe(F.col(f"_k{p}")) for p in parts]
-    return local.join(carried, same_chunk).select(
+    same_chunk = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(p) == F.col(f"_k{p}") for p in parts]
+    return local.join(carried, same_chunk, "left").select(
         *df.columns,
-        (F.col("_local") + F.col("_before")).alias(name),
+        (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint").alias(name),
         *[
             F.when(F.col(f"_last_{target}"), F.col(f"_after_{target}")).otherwise(F.col(f"_lead_{target}")).alias(target)
             for target in next_of
@@ -79,8 +114,11 @@ def with_halo(df: DataFrame, position: str, size: int, halo: int) -> DataFrame:
     if not 0 <= halo <= size:
         raise ValueError("halo must not exceed the block size")
     offset = F.col(position) - F.lit(1)
-    block = F.floor(offset / F.lit(size)).cast("bigint")
-    homes = F.when(offset % F.lit(size) >= F.lit(size - halo), F.array(block, block + 1)).otherwise(F.array(block))
-    return df.withColumn("_home", block).withColumn("_block", F.explode(homes)).withColumn(
-        "_own", F.col("_block") == F.col("_home")
-    ).drop("_home")
+    home = F.floor(offset / F.lit(size))
+    blocks = F.when(offset % F.lit(size) >= F.lit(size - halo), F.array(home, home + 1)).otherwise(F.array(home))
+    return (
+        df.withColumn("_home", home)
+        .withColumn("_block", F.explode(blocks))
+        .withColumn("_own", F.col("_block") == F.col("_home"))
+        .drop("_home")
+    )
