@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plans import plan_of
 from tickloom.functions.columns import fill_nulls
 from tickloom.operators.latest import conform, keyed_replace, one_per_key
+from tickloom.plans.warehouse import publish_calendar, publish_indicators
 from tickloom.sinks.tables import PARTITION, append_load, compact, read_current, read_loads
 from tickloom.specs import TABLES
 
@@ -130,6 +131,19 @@ def test_version_column_beats_load_order(spark, path):
     assert [r.sma_10 for r in read_current(spark, target, spec).collect()] == [1.0]
 
 
+def test_derived_tables_are_published_and_recalculated(spark, path):
+    rows = [("A", f"2024-01-{d:02d}T00:00:00", str(d), 1) for d in range(1, 13)]
+    daily, root = _bars(spark, rows), path("warehouse")
+    assert publish_calendar(daily, root, 0) == 12
+    assert read_current(spark, f"{root}/dim_date", TABLES["dim_date"]).count() == 12
+    assert publish_indicators(daily, root, 0, long_term=True) == 12
+    for batch_id, frame in ((0, daily), (1, daily.withColumn("close", F.col("close") * 2))):
+        assert publish_indicators(frame, root, batch_id) == 12
+    spec = TABLES["technical_indicators_daily"]
+    last = read_current(spark, f"{root}/technical_indicators_daily", spec).orderBy("time").collect()[-1]
+    assert (last.close, last.sma_10, last.rsi_3) == (Decimal("24.00"), 15.0, 100.0)
+
+
 def test_layout_is_partitioned_by_time_and_sorted_by_key(spark, path):
     spec, target = TABLES["fact_daily_price"], path("sorted")
     rows = [(t, f"2024-01-{d:02d}T00:00:00", "1", d) for d in range(28, 0, -1) for t in "CAB"]

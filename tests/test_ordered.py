@@ -127,6 +127,13 @@ def test_indicators_match_brute_force_whatever_the_block(spark, block_rows, hot_
             assert got[1] == pytest.approx(mean) if mean is not None else got[1] is None
 
 
+def test_daily_series_need_one_window_per_ticker(spark):
+    _, df = series(spark, [30, 5])
+    daily = moving_indicators(df, (5,), (3,), one_per_day=True)
+    assert plan_of(daily, "simple").count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, daily.collect())) == sorted(map(str, moving_indicators(df, (5,), (3,), hot_rows=4).collect()))
+
+
 def test_rsi_is_100_without_losses(spark):
     df = spark.createDataFrame([("A", DAY0 + dt.timedelta(days=i), Decimal(i)) for i in range(5)], "ticker string, time timestamp, close decimal(20,2)")
     out = sorted(moving_indicators(df, (10,), (3,)).collect())

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 def _ohlcv(price: str, volume: str, time: str, tie_break: Sequence[str]) -> list[Column]:
     if tie_break:
-        order = F.struct(time, *tie_break)
-        first = F.min(F.struct(order.alias("o"), F.col(price).alias("p"))).getField("p")
-        last = F.max(F.struct(order.alias("o"), F.col(price).alias("p"))).getField("p")
+        trade = F.struct(time, *tie_break, F.col(price).alias("_price"))
+        first, last = F.min(trade).getField("_price"), F.max(trade).getField("_price")
     else:
         # One row per (ticker, time): the time alone orders the trades, and all
         # buffers are fixed-width, which keeps the plan a hash aggregate.

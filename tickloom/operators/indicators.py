@@ -64,6 +64,7 @@ def moving_indicators(
     df: DataFrame,
     sma: Sequence[int] = (),
     rsi: Sequence[int] = (),
+    one_per_day: bool = False,
     chunk: Column | None = None,
     block_rows: int = BLOCK_ROWS,
     hot_rows: int = HOT_ROWS,
@@ -72,17 +73,23 @@ def moving_indicators(
 
     ``(ticker, time)`` must be unique. A value is null until its window is full.
     RSI uses plain averages of the last n gains and losses, and is 100 where
-    there was no loss. Tickers of ordinary size take one shuffle; a ticker with
-    more than ``hot_rows`` rows is numbered and cut into blocks with a halo.
+    there was no loss.
+
+    Tickers of ordinary size take one shuffle; a ticker with more than
+    ``hot_rows`` rows is numbered and cut into blocks with a halo. Pass
+    ``one_per_day`` for daily bars: a ticker then has as many rows as the calendar
+    has days (a century is 36,525), so none can be hot and none is looked for.
     """
-    chunk = F.trunc(F.col("time"), "month") if chunk is None else chunk
-    reach = max([1, *[n - 1 for n in sma], *rsi])
     out = [*df.columns, *[f"rsi_{n}" for n in rsi], *[f"sma_{n}" for n in sma]]
+    position = F.row_number().over(Window.partitionBy("ticker").orderBy("time"))
+    if one_per_day:
+        return _add_indicators(df.withColumn("_position", position), ["ticker"], sma, rsi).select(*out)
 
     ordinary, hot = split_hot(df, ["ticker"], hot_rows)
-    position = F.row_number().over(Window.partitionBy("ticker").orderBy("time"))
     plain = _add_indicators(ordinary.withColumn("_position", position), ["ticker"], sma, rsi)
 
+    chunk = F.trunc(F.col("time"), "month") if chunk is None else chunk
+    reach = max([1, *[n - 1 for n in sma], *rsi])
     numbered = number_rows(hot, ["ticker"], ["time"], [chunk], name="_position", hot_rows=0)
     blocks = with_halo(numbered, "_position", max(block_rows, reach), reach)
     blocked = _add_indicators(blocks, ["ticker", "_block"], sma, rsi).where("_own")

@@ -29,7 +29,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     found = counts.where(F.col("_rows") > F.lit(hot_rows))
-    return F.broadcast(found.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_is_hot")))
+    return F.broadcast(found.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
 
 
 def _is_hot_key(keys: Sequence[str]) -> list[Column]:
@@ -84,7 +84,7 @@ def number_rows(
 
     # Ordinary keys have null chunks: the whole key is one window, nothing joins.
     placed = df.join(hot, _is_hot_key(keys), "left").withColumns(
-        {part: F.when(F.col("_is_hot"), chunk) for part, chunk in zip(parts, chunks)}
+        {part: F.when(F.col(f"_hot_{keys[0]}").isNotNull(), chunk) for part, chunk in zip(parts, chunks)}
     )
     inside = Window.partitionBy(*keys, *parts).orderBy(*order_by)
     local = placed.withColumns(

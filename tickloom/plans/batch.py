@@ -10,12 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.counting import counted, rows_written
 from tickloom.functions.columns import TECHNICAL_COLUMNS, drop_technical, fill_nulls, trim_strings
 from tickloom.operators.latest import keyed_replace, one_per_key
-from tickloom.sinks.tables import append_load
+from tickloom.sinks.tables import publish
 from tickloom.sources.lake import scan_topic, split_corrupt
-from tickloom.specs import DATASETS, TABLES, DatasetSpec
+from tickloom.specs import DATASETS, DatasetSpec
 
 logger = logging.getLogger(__name__)
 
@@ -82,9 +81,7 @@ def run(
     if quarantine_root is not None and not corrupt.isEmpty():
         corrupt.write.mode("overwrite").json(f"{quarantine_root.rstrip('/')}/{spec.topic}/batch_id={batch_id}")
         quarantined = True
-    result, counter = counted(normalize(readable, spec))
-    append_load(result, f"{warehouse_root.rstrip('/')}/{spec.table}", TABLES[spec.table], batch_id)
-    rows = rows_written(counter)
+    rows = publish(normalize(readable, spec), warehouse_root, spec.table, batch_id)
     logger.info("%s: %d rows into %s", spec.topic, rows, spec.table)
     return JobResult(rows, quarantined)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.temporal import calendar_parts
 from tickloom.operators.history import validity_intervals
 from tickloom.operators.indicators import moving_indicators
+from tickloom.sinks.tables import publish
 
 
 def calendar(dates: DataFrame, column: str = "date_id") -> DataFrame:
@@ -26,15 +27,31 @@ def company_history(snapshots: DataFrame) -> DataFrame:
 
 
 def long_term_indicators(daily: DataFrame) -> DataFrame:
-    """RSI(14) and SMA(200) over the full daily history."""
-    return moving_indicators(daily, sma=(200,), rsi=(14,))
+    """RSI(14) and SMA(200) over the full history of daily bars."""
+    return moving_indicators(daily, sma=(200,), rsi=(14,), one_per_day=True)
 
 
 def short_term_indicators(daily: DataFrame) -> DataFrame:
-    """RSI(3) and SMA(10), refreshed every day."""
-    return moving_indicators(daily, sma=(10,), rsi=(3,))
+    """RSI(3) and SMA(10) of daily bars, refreshed every day."""
+    return moving_indicators(daily, sma=(10,), rsi=(3,), one_per_day=True)
 
 
 def stamp_calculation(df: DataFrame) -> DataFrame:
     """Version column of the indicator tables."""
     return df.withColumn("calculated_at", F.current_timestamp())
+
+
+def publish_calendar(facts: DataFrame, root: str, batch_id: int) -> int:
+    """Write the calendar of the facts' dates."""
+    return publish(calendar(facts), root, "dim_date", batch_id)
+
+
+def publish_indicators(daily: DataFrame, root: str, batch_id: int, long_term: bool = False) -> int:
+    """Calculate and write one of the indicator tables.
+
+    A recalculation is another load: the newest ``calculated_at`` of a ticker and
+    time is the row that readers see.
+    """
+    if long_term:
+        return publish(stamp_calculation(long_term_indicators(daily)), root, "technical_indicators_historical", batch_id)
+    return publish(stamp_calculation(short_term_indicators(daily)), root, "technical_indicators_daily", batch_id)

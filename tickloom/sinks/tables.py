@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.counting import counted, rows_written
 from tickloom.functions.temporal import day_key, month_key
 from tickloom.operators.latest import conform, one_per_key
-from tickloom.specs import TableSpec
+from tickloom.specs import TABLES, TableSpec
 
 PARTITION = "part_key"
 
@@ -51,6 +52,13 @@ def append_load(df: DataFrame, path: str, spec: TableSpec, batch_id: int) -> Non
     _write(conform(df, spec.columns), f"{path.rstrip('/')}/batch_id={batch_id}", spec)
 
 
+def publish(df: DataFrame, root: str, table: str, batch_id: int) -> int:
+    """Append a load to a declared table below ``root``; gives its row count."""
+    rows, counter = counted(df)
+    append_load(rows, f"{root.rstrip('/')}/{table}", TABLES[table], batch_id)
+    return rows_written(counter)
+
+
 def _columns_ddl(spec: TableSpec) -> str:
     columns = ", ".join(f"`{name}` {data_type}" for name, data_type in spec.columns)
     return columns if spec.partition_time is None else f"{columns}, {PARTITION} string"

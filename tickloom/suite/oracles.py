@@ -172,19 +172,26 @@ calendar AS (
         FROM ({days})))"""
 
 
-def _indicators(rsi: int, sma: int) -> str:
-    return f"""
+_DAILY_CLOSES = f"""
 WITH {_SUPPLIER_BARS}, {_DAILY_BARS},
+closes AS (SELECT ticker, CAST(date_id AS TIMESTAMP) AS time, date_id, close FROM daily_bars)"""
+
+_TRADE_CLOSES = f"""
+WITH {_TRADES},
+closes AS (SELECT ticker, time, max(price) AS close FROM trades GROUP BY ticker, time)"""
+
+
+def _indicators(series: str, rsi: int, sma: int) -> str:
+    return f"""{series},
 steps AS (
-  SELECT ticker, CAST(date_id AS TIMESTAMP) AS time, date_id, close,
-         row_number() OVER w AS n, close - lag(close) OVER w AS change
-  FROM daily_bars WINDOW w AS (PARTITION BY ticker ORDER BY date_id)),
+  SELECT *, row_number() OVER w AS n, close - lag(close) OVER w AS change
+  FROM closes WINDOW w AS (PARTITION BY ticker ORDER BY time)),
 sums AS (
   SELECT *, sum(close) OVER (w ROWS BETWEEN {sma - 1} PRECEDING AND CURRENT ROW) AS closes,
          sum(greatest(change, 0)) OVER (w ROWS BETWEEN {rsi - 1} PRECEDING AND CURRENT ROW) AS gain,
          sum(greatest(-change, 0)) OVER (w ROWS BETWEEN {rsi - 1} PRECEDING AND CURRENT ROW) AS loss
-  FROM steps WINDOW w AS (PARTITION BY ticker ORDER BY date_id))
-SELECT ticker, time, date_id, close,
+  FROM steps WINDOW w AS (PARTITION BY ticker ORDER BY time))
+SELECT * EXCLUDE (n, change, closes, gain, loss),
        CASE WHEN n > {rsi} THEN round(CASE WHEN loss = 0 THEN 100.0
             ELSE 100.0 - 100.0 / (1.0 + CAST(gain AS DOUBLE) / CAST(loss AS DOUBLE)) END, 6) END AS rsi_{rsi},
        CASE WHEN n >= {sma} THEN round(CAST(closes AS DOUBLE) / {sma}.0, 6) END AS sma_{sma}
@@ -312,8 +319,9 @@ FROM daily_bars JOIN calendar USING (date_id) LEFT JOIN groups USING (ticker)
 GROUP BY "group", day_of_week, is_weekend""",
     "ohlcv_bars_5m": f"WITH {_TRADES}, {_FIVE_MINUTES} SELECT * FROM bars",
     "ohlcv_bars_daily": f"WITH {_SUPPLIER_BARS}, {_DAILY_BARS} SELECT * FROM daily_bars",
-    "indicators_long_term": _indicators(14, 200),
-    "indicators_short_term": _indicators(3, 10),
+    "indicators_long_term": _indicators(_DAILY_CLOSES, 14, 200),
+    "indicators_short_term": _indicators(_DAILY_CLOSES, 3, 10),
+    "indicators_of_trades": _indicators(_TRADE_CLOSES, 3, 10),
     "company_history_scd2": f"""
 WITH {_COMPANY}
 SELECT ticker, as_of_date, charter_capital, exchange,

@@ -12,6 +12,7 @@ from tickloom.functions.columns import normalize_names
 from tickloom.functions.temporal import flexible_date, hour_bucket, month_key
 from tickloom.operators.bars import daily_bars, intraday_bars
 from tickloom.operators.history import validity_intervals, version_history
+from tickloom.operators.indicators import moving_indicators
 from tickloom.operators.incremental import backfill_range, high_water, lookback, newer_than
 from tickloom.operators.joins import members_only, with_calendar, with_dimension
 from tickloom.operators.latest import keyed_replace, one_per_key
@@ -483,6 +484,13 @@ def indicators_short_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(short_term_indicators(_daily_closes(spark, sf_dir)), "rsi_3", "sma_10")
 
 
+@query
+def indicators_of_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSI(3) and SMA(10) over single trades, which a ticker may have any number of."""
+    closes = raw.trades(spark, sf_dir).select("ticker", "time", F.col("price").alias("close"))
+    return _rounded(moving_indicators(one_per_key(closes, ["ticker", "time"]), (10,), (3,)), "rsi_3", "sma_10")
+
+
 @query
 def company_history_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company snapshots with version, validity interval and current flag."""
