@@ -9,7 +9,6 @@ from decimal import Decimal
 
 import pytest
 from plans import plan_of
-from pyspark.sql import functions as F
 
 from tickloom.plans.batch import normalize, normalize_loads, run, run_topic
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows

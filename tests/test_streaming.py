@@ -13,7 +13,8 @@ from plans import plan_of
 from pyspark.sql import functions as F
 
 from tickloom.sinks.tables import read_current, read_loads
-from tickloom.sources.lake import read_json, scan_topic, split_corrupt
+from tickloom.plans.batch import run_topic
+from tickloom.sources.lake import read_json, scan_archive, scan_topic, split_corrupt
 from tickloom.sources.streams import file_stream
 from tickloom.specs import DATASETS, TABLES
 from tickloom.streaming.archive import stamped_message, start_archive_stream
@@ -157,6 +158,14 @@ def test_archive_feeds_the_batch_scan(spark, path):
     assert corrupt.count() == 1
     tickers, _ = split_corrupt(scan_topic(spark, path("lake"), "ticker_list", schema=DATASETS["ticker_list"].raw_schema))
     assert sorted(r.ticker for r in tickers.collect()) == ["A", "B"]
+    # A file the stream did not commit is invisible to the archive scan.
+    hour = os.listdir(f"{path('lake')}/topic=daily_price")[0]
+    with open(f"{path('lake')}/topic=daily_price/{hour}/part-left-behind.json", "w") as f:
+        f.write('{"ticker":"LOST"}')
+    archived, _ = split_corrupt(scan_archive(spark, path("lake"), "daily_price", schema=DATASETS["daily_price"].raw_schema))
+    assert [r.ticker for r in archived.collect()] == ["VNM"]
+    result = run_topic(spark, "daily_price", path("lake"), path("warehouse"), 0, hour=hour.split("=")[1], scan=scan_archive, quarantine_root=path("held"))
+    assert (result.rows, result.quarantined) == (1, True)
 
 
 def test_incremental_stream_drops_seen_and_late_ticks(spark, path):

@@ -6,6 +6,7 @@ Every dataset runs the same chain; ``tickloom.specs`` holds what differs.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,14 +66,17 @@ def run(
     batch_id: int,
     hour: str | None = None,
     quarantine_root: str | None = None,
-    hive_style: bool = True,
+    scan: Callable[..., DataFrame] = scan_topic,
 ) -> JobResult:
     """Publish one hour of a topic, or all of it.
 
+    ``scan`` reads the lake: ``scan_topic`` any folder of JSON files,
+    ``scan_archive`` what the archive stream wrote.
+
     An empty folder writes nothing. Failures are raised, not logged away. The row
     count is observed while the rows are written, so nothing is computed twice.
     """
-    raw = scan_topic(spark, lake_root, spec.topic, hour, spec.raw_schema, hive_style)
+    raw = scan(spark, lake_root, spec.topic, hour, spec.raw_schema)
     if raw.isEmpty():
         logger.info("%s: no data under %s", spec.topic, hour or "any hour")
         return JobResult(0)

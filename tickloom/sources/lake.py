@@ -59,6 +59,22 @@ def scan_partitioned(spark: SparkSession, root: str, topic: str, schema: str, ho
     return df.where(F.col("dt_hour") == hour) if hour else df
 
 
+def scan_archive(
+    spark: SparkSession, root: str, topic: str, hour: str | None = None, schema: str | None = None
+) -> DataFrame:
+    """Records of a topic that the archive stream has committed.
+
+    Read from the root, where the stream keeps its commit log, files left behind by
+    failed tasks are not seen; topic and hour prune folders.
+    """
+    if schema is None:
+        raise ValueError("an archive of several topics has no common schema to infer")
+    df = read_json(spark, root, f"{schema}, topic string, dt_hour string").where(F.col("topic") == topic)
+    if hour:
+        df = df.where(F.col("dt_hour") == hour)
+    return df.drop("topic", "dt_hour")
+
+
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable records, unreadable ones for quarantine)."""
     if CORRUPT not in df.columns:

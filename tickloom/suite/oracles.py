@@ -305,7 +305,7 @@ FROM events""",
     "incremental_tick_stream": f"""
 WITH {_TRADES}
 SELECT *, CAST(CASE WHEN time < TIMESTAMP '2024-01-11' THEN 0 WHEN time < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS BIGINT) AS batch_id
-FROM trades WHERE time < TIMESTAMP '2024-02-01'""",
+FROM trades""",
     "dim_date_build": f"WITH {_calendar('SELECT o_orderdate AS t FROM orders')} SELECT * FROM calendar",
     "star_join_monthly": f"""
 WITH {_UPDATES}, {_COMPANY}, {_LATEST_COMPANY}, {_calendar('SELECT created_at AS t FROM updates')}

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.columns import normalize_names
-from tickloom.functions.temporal import flexible_date, hour_bucket, month_key
+from tickloom.functions.temporal import flexible_date, hour_bucket
 from tickloom.operators.bars import daily_bars, intraday_bars
-from tickloom.operators.history import validity_intervals, version_history
-from tickloom.operators.indicators import moving_indicators
+from tickloom.operators.history import version_history
 from tickloom.operators.incremental import backfill_range, high_water, lookback, newer_than
+from tickloom.operators.indicators import moving_indicators
 from tickloom.operators.joins import members_only, with_calendar, with_dimension
 from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.operators.quality import batch_sizes, quality_report
 from tickloom.plans.batch import normalize, normalize_loads, typed_rows
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows, validate
-from tickloom.plans.warehouse import calendar, long_term_indicators, short_term_indicators
+from tickloom.plans.warehouse import calendar, company_history, long_term_indicators, short_term_indicators
 from tickloom.session import apply_session_conf
 from tickloom.sinks.lake import write_records
 from tickloom.sinks.messages import encode
@@ -111,7 +111,8 @@ def financial_ratio_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _five_minute_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = intraday_bars(raw.trades(spark, sf_dir), tie_break=("event_id",))
-    return bars.select("ticker", *[F.col(c).cast("string").alias(c) for c in ("time", "open", "high", "low", "close", "volume")], F.lit("intraday_price").alias("type"))
+    values = [raw.text(c).alias(c) for c in ("time", "open", "high", "low", "close", "volume")]
+    return bars.select("ticker", *values, F.lit("intraday_price").alias("type"))
 
 
 @query
@@ -140,14 +141,13 @@ def flexible_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_lake_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks written as JSON lines and read back with an explicit schema."""
     root = shared_dir(spark, "lake")
-    ticks = parse_ticks(raw.tick_messages(spark, sf_dir)).withColumn("dt_hour", F.date_format("time", "yyyy-MM-dd"))
-    write_records(ticks.withColumn("time", F.col("time").cast("string")), root, TICK_TOPIC)
-    scanned, _ = split_corrupt(
-        scan_topic(
-            spark, root, TICK_TOPIC,
-            schema="ticker string, time string, price string, volume bigint, match_type string, buy_vol bigint, sell_vol bigint",
-        )
+    ticks = parse_ticks(raw.tick_messages(spark, sf_dir)).withColumn("time", raw.text("time"))
+    write_records(ticks, root, TICK_TOPIC, hour="2024-02-01_00")
+    schema = (
+        "ticker string, time string, price string, volume bigint, "
+        "match_type string, buy_vol bigint, sell_vol bigint"
     )
+    scanned, _ = split_corrupt(scan_topic(spark, root, TICK_TOPIC, schema=schema))
     return scanned
 
 
@@ -157,19 +157,21 @@ def hour_partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_dir(spark, "hours")
     trades = raw.trades(spark, sf_dir).withColumn("dt_hour", hour_bucket(F.col("time")))
     write_records(trades.withColumn("time", F.col("time").cast("string")), root, "trades")
-    scanned = scan_partitioned(spark, root, "trades", "ticker string, time string, price decimal(20,2), volume bigint, event_id bigint")
-    return scanned.groupBy("dt_hour").agg(
-        F.count(F.lit(1)).alias("records"), F.sum("price").cast("decimal(38,2)").alias("price_sum"), F.sum("volume").alias("volume")
+    schema = "ticker string, time string, price decimal(20,2), volume bigint, event_id bigint"
+    return scan_partitioned(spark, root, "trades", schema).groupBy("dt_hour").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.sum("price").cast("decimal(38,2)").alias("price_sum"),
+        F.sum("volume").alias("volume"),
     )
 
 
 @query
 def validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, land as JSON, then run the batch job over what landed."""
-    root = shared_dir(spark, "landing")
-    land(_typed_bars(spark, sf_dir), "daily_price", root, hour="2024-01-02_17")
-    landed, _ = split_corrupt(scan_topic(spark, root, "daily_price", "2024-01-02_17", DATASETS["daily_price"].raw_schema))
-    return normalize(landed, DATASETS["daily_price"])
+    root, hour, spec = shared_dir(spark, "landing"), "2024-01-02_17", DATASETS["daily_price"]
+    land(_typed_bars(spark, sf_dir), "daily_price", root, hour)
+    landed, _ = split_corrupt(scan_topic(spark, root, "daily_price", hour, spec.raw_schema))
+    return normalize(landed, spec)
 
 
 # --- keyed tables ------------------------------------------------------------
@@ -189,9 +191,8 @@ def _order_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_replace_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three loads of one keyed table; the latest load of a key wins."""
     updates = _order_updates(spark, sf_dir)
-    loads = [
-        updates.where(F.col("o_orderstatus") == status) for status in ("F", "O", "P")
-    ]
+    status = F.col("o_orderstatus")
+    loads = [updates.where(status == "F"), updates.where(status == "O"), updates.where(~status.isin("F", "O"))]
     return keyed_replace(loads, ["ticker"], "load")
 
 
@@ -216,7 +217,8 @@ def versioned_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_table_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads published as partitioned, sorted files; one row per key read."""
     path, spec = shared_dir(spark, "fact_daily_price"), TABLES["fact_daily_price"]
-    for load, topic, feed in ((0, "daily_price_backfill", raw.backfill_feed), (1, "daily_price", raw.bars_feed)):
+    feeds = (("daily_price_backfill", raw.backfill_feed), ("daily_price", raw.bars_feed))
+    for load, (topic, feed) in enumerate(feeds):
         append_load(normalize(feed(spark, sf_dir), DATASETS[topic]), path, spec, load)
     return read_current(spark, path, spec)
 
@@ -238,7 +240,7 @@ def _typed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched frame: numbers typed, some closes missing, some lows negative."""
     price, part = F.col("l_extendedprice"), F.col("l_partkey")
     return raw.table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("S"), (F.col("l_suppkey")).cast("string"), F.lit("-"), (part % 40).cast("string")).alias("ticker"),
+        F.concat(F.lit("S"), raw.text("l_suppkey"), F.lit("-"), (part % 40).cast("string")).alias("ticker"),
         F.when(part % 211 != 0, raw.text("l_shipdate")).alias("Time"),
         price.alias("open"),
         (price + F.col("l_quantity")).alias(" High"),
@@ -354,11 +356,8 @@ def tick_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tick table computed by the stream in several micro-batches."""
     root = shared_dir(spark, "ticks")
     raw.tick_messages(spark, sf_dir).repartition(8).write.text(f"{root}/messages")
-    wait(
-        start_tick_stream(
-            file_stream(spark, f"{root}/messages", files_per_batch=3), f"{root}/table", f"{root}/checkpoint", available_now=True
-        )
-    )
+    messages = file_stream(spark, f"{root}/messages", files_per_batch=3)
+    wait(start_tick_stream(messages, f"{root}/table", f"{root}/checkpoint", available_now=True))
     return read_current(spark, f"{root}/table", TABLES["fact_intraday_tick"])
 
 
@@ -367,24 +366,18 @@ def raw_archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of several topics archived by one stream and read back."""
     root = shared_dir(spark, "archive")
     events = raw.table(spark, sf_dir, "events")
-    by_type = F.create_map(
-        *[F.lit(x) for pair in _TOPIC_OF_EVENT.items() for x in pair]
-    )
+    by_type = F.create_map(*[F.lit(x) for pair in _TOPIC_OF_EVENT.items() for x in pair])
     messages = events.select(
         F.to_json(F.struct("event_id", "user_id", "value", "event_type")).alias("value"),
         by_type[F.col("event_type")].alias("topic"),
     )
     messages.hint("rebalance", "topic").write.partitionBy("topic").text(f"{root}/messages")
-    wait(
-        start_archive_stream(file_stream(spark, f"{root}/messages"), f"{root}/lake", f"{root}/checkpoint", available_now=True)
-    )
-    archived = read_json(
-        spark, f"{root}/lake",
-        "event_id bigint, user_id bigint, value double, event_type string, kafka_ingested_at string, topic string, dt_hour string",
-    )
-    return archived.select(
-        "event_id", "user_id", "value", "event_type", "topic", F.col("kafka_ingested_at").isNotNull().alias("is_stamped")
-    )
+    source = file_stream(spark, f"{root}/messages")
+    wait(start_archive_stream(source, f"{root}/lake", f"{root}/checkpoint", available_now=True))
+    schema = "event_id bigint, user_id bigint, value double, event_type string, kafka_ingested_at string"
+    archived = read_json(spark, f"{root}/lake", f"{schema}, topic string, dt_hour string")
+    is_stamped = F.col("kafka_ingested_at").isNotNull().alias("is_stamped")
+    return archived.select("event_id", "user_id", "value", "event_type", "topic", is_stamped)
 
 
 # Which archived topic stands in for each kind of event.
@@ -403,8 +396,8 @@ def incremental_tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_dir(spark, "polls")
     schema = "ticker string, time timestamp, price decimal(20,2), volume bigint, event_id bigint"
     polled = raw.trades(spark, sf_dir)
-    for poll, until in enumerate(("2024-01-11", "2024-01-21", "2024-02-01")):
-        part = polled.where(F.col("time") < F.lit(until).cast("timestamp"))
+    for poll, until in enumerate(("2024-01-11", "2024-01-21", None)):
+        part = polled.where(F.col("time") < F.lit(until).cast("timestamp")) if until else polled
         part.write.parquet(f"{root}/polls/{poll}")
         source = spark.readStream.schema(schema).parquet(f"{root}/polls/*")
         wait(start_incremental_stream(source, f"{root}/sent", f"{root}/checkpoint"))
@@ -497,4 +490,4 @@ def company_history_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = typed_rows(raw.company_feed(spark, sf_dir), DATASETS["company_metadata"]).select(
         "ticker", "as_of_date", "charter_capital", "exchange"
     )
-    return validity_intervals(snapshots, ["ticker"], "as_of_date")
+    return company_history(snapshots)

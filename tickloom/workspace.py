@@ -11,13 +11,13 @@ _local_base: str | None = None
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or set as checkpoint folder.
 
     Only a single-machine session may fall back to a temporary folder: on a
     cluster such a folder is invisible to the other machines.
     """
     global _local_base
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
