@@ -54,11 +54,22 @@ def test_rows_are_windowed_by_chunk_and_shuffled_once(spark):
     _, df = series(spark, [50])
     plan = plan_of(version_history(df, ["ticker"], "time", ["close"]), "simple")
     windows = [line for line in plan.splitlines() if "Window [row_number" in line]
-    assert len(windows) == 1 and "_chunk0" in windows[0].split("ASC")[0]
+    assert len(windows) == 1 and "_chunk" in windows[0].split("ASC")[0]
     # Per key only the chunk rows are ordered, never the rows themselves.
     assert all("_rows" in line for line in plan.splitlines() if "Window [" in line and line not in windows)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_null_keys_and_null_times(spark, hot_rows):
+    days = [None, None, DAY0, DAY0 + dt.timedelta(days=1)]
+    df = spark.createDataFrame([(k, d, i) for k in ("A", None) for i, d in enumerate(days)], "k string, t timestamp, id int")
+    out = validity_intervals(df, ["k"], "t", ["id"], hot_rows=hot_rows).collect()
+    for key in ("A", None):
+        rows = sorted((r for r in out if r.k == key), key=lambda r: r.id)
+        assert [r.version for r in rows] == [1, 2, 3, 4]
+        assert [r.valid_to for r in rows] == [None, days[2], days[3], None]
+
+
 def test_hot_keys_are_found_by_size(spark):
     _, df = series(spark, [50, 49, 2])
     cold, hot = split_hot(df, ["ticker"], 49)

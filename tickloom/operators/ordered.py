@@ -6,7 +6,8 @@ with more than ``HOT_ROWS`` rows are cut into chunks that follow their order:
 each chunk is windowed on its own, and one small row per chunk carries what the
 next chunks need (rows so far, first value). Results equal the plain window.
 
-Keys must not be null; fill them first, as every dataset here does.
+Rows whose key is null form one group that is never cut; datasets here fill their
+keys first.
 """
 
 from __future__ import annotations
@@ -62,31 +63,32 @@ def number_rows(
     and order columns, and join to rows that are already placed by key and chunk.
     """
     next_of = next_of or {}
-    parts = [f"_chunk{i}" for i in range(len(chunks))]
+    # One struct for all chunk expressions: a null inside it sorts first and equals
+    # itself, so rows without a time have their chunk like all others.
+    chunk = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(chunks)])
     hot = hot_keys(df, keys, hot_rows)
 
     per_chunk = (
         df.join(hot, _is_hot_key(keys), "left_semi")
-        .withColumns(dict(zip(parts, chunks)))
-        .groupBy(*keys, *parts)
+        .withColumn("_chunk", chunk)
+        .groupBy(*keys, "_chunk")
         .agg(
             F.count(F.lit(1)).alias("_rows"),
             *[F.min(source).alias(f"_first_{target}") for target, source in next_of.items()],
         )
     )
-    along = Window.partitionBy(*keys).orderBy(*parts)
+    along = Window.partitionBy(*keys).orderBy("_chunk")
     carried = per_chunk.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[F.col(p).alias(f"_k{p}") for p in parts],
+        F.col("_chunk").alias("_k_chunk"),
         F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         *[F.lead(f"_first_{target}").over(along).alias(f"_after_{target}") for target in next_of],
     )
 
-    # Ordinary keys have null chunks: the whole key is one window, nothing joins.
-    placed = df.join(hot, _is_hot_key(keys), "left").withColumns(
-        {part: F.when(F.col(f"_hot_{keys[0]}").isNotNull(), chunk) for part, chunk in zip(parts, chunks)}
-    )
-    inside = Window.partitionBy(*keys, *parts).orderBy(*order_by)
+    # Ordinary keys have no chunk: the whole key is one window, nothing joins.
+    is_hot = F.col(f"_hot_{keys[0]}").isNotNull()
+    placed = df.join(hot, _is_hot_key(keys), "left").withColumn("_chunk", F.when(is_hot, chunk))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_by)
     local = placed.withColumns(
         {
             "_local": F.row_number().over(inside),
@@ -94,7 +96,7 @@ def number_rows(
             **{f"_last_{target}": F.lead(F.lit(True)).over(inside).isNull() for target in next_of},
         }
     )
-    same_chunk = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(p) == F.col(f"_k{p}") for p in parts]
+    same_chunk = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_chunk") == F.col("_k_chunk")]
     return local.join(carried, same_chunk, "left").select(
         *df.columns,
         (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint").alias(name),
