@@ -88,6 +88,34 @@ def test_joins(spark):
     assert (out["A"].group, out["A"].is_weekend, out["B"].group, out["B"].day_of_week) == ("G", 1, None, 1)
 
 
+def test_hot_ticker_is_split_in_every_key_join(spark, path):
+    spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("T"), F.col("id").cast("string"))).alias("ticker"),
+        F.timestamp_seconds("id").alias("time"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    ).repartition(8).write.parquet(path("ticks"))
+    ticks = spark.read.parquet(path("ticks"))
+    marks = high_water(ticks.where("time < timestamp_seconds(100000)"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        # 66,666 rows are HOT; of the others, those below 100,000 have a mark.
+        for joined, rows in ((newer_than(ticks, marks), 100_000), (members_only(ticks, marks), 133_333), (with_dimension(ticks, marks), 200_000)):
+            assert abs(len(joined.collect()) - rows) <= 1
+            assert "skew=true" in plan_of(joined, "simple")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_calendar_matches_its_table(spark):
     days = calendar(spark.createDataFrame([(dt.date(2024, 2, 28),), (dt.date(2024, 3, 1),)], "date_id date"))
     assert [(f.name, f.dataType.simpleString()) for f in days.schema] == list(TABLES["dim_date"].columns)

@@ -15,6 +15,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def same_key(left: str, right: str) -> Column:
+    """Equality of two key columns (null equals null) that lets Spark split hot keys.
+
+    The small side of such a join usually comes out of an aggregation by the same
+    key. Compared directly, it would be joined in that very partitioning, and
+    adaptive execution only splits inputs that were shuffled for the join itself.
+    Comparing one-field structs asks for that shuffle; the small side pays for it.
+    """
+    return F.struct(quoted(left).alias("k")) == F.struct(quoted(right).alias("k"))
+
+
 def cast_or_null(column: Column, source: T.DataType, target: str) -> Column:
     """Cast ``column`` to ``target``; what does not fit becomes null.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.casts import quoted
+from tickloom.functions.casts import quoted, same_key
 from tickloom.specs import BACKFILL_START, LOOKBACK_DAYS
 
 
@@ -51,10 +51,11 @@ def high_water(df: DataFrame, time_col: str = "time", key: str = "ticker") -> Da
 
 def newer_than(df: DataFrame, marks: DataFrame, time_col: str = "time", key: str = "ticker") -> DataFrame:
     """Rows strictly newer than their ticker's mark; unseen tickers pass whole."""
+    known = marks.where(quoted(key).isNotNull()).select(quoted(key).alias("_marked"), "last_time")
     return (
-        df.join(marks.select(key, "last_time"), key, "left")
+        df.join(known, same_key(key, "_marked"), "left")
         .where(F.col("last_time").isNull() | (F.col(time_col) > F.col("last_time")))
-        .drop("last_time")
+        .drop("_marked", "last_time")
     )
 
 

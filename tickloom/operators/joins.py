@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tickloom.functions.casts import quoted, same_key
+
 
 def members_only(df: DataFrame, members: DataFrame, on: str = "ticker") -> DataFrame:
     """Rows whose ticker belongs to the group."""
-    return df.join(members.select(on), on, "left_semi")
+    listed = members.where(quoted(on).isNotNull()).select(quoted(on).alias("_member"))
+    return df.join(listed, same_key(on, "_member"), "left_semi")
 
 
 def with_calendar(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
@@ -22,4 +25,5 @@ def with_calendar(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
 
 def with_dimension(fact: DataFrame, dim: DataFrame, on: str = "ticker") -> DataFrame:
     """Attach a dimension; facts without a match are kept."""
-    return fact.join(dim, on, "left")
+    keyed = dim.where(quoted(on).isNotNull()).withColumnRenamed(on, "_dimension_key")
+    return fact.join(keyed, same_key(on, "_dimension_key"), "left").drop("_dimension_key")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.casts import quoted
+from tickloom.functions.casts import quoted, same_key
 from tickloom.specs import QUALITY, QualitySpec
 
 logger = logging.getLogger(__name__)
@@ -136,5 +136,5 @@ def split_by_quality(df: DataFrame, topic: str, failing: DataFrame | None = None
     if fails_as_a_whole(df, topic):
         return df.where(F.lit(False)), df
     failing = failing_tickers(df, topic) if failing is None else failing
-    same = quoted("ticker").eqNullSafe(F.col("_failing"))
+    same = same_key("ticker", "_failing")
     return df.join(failing, same, "left_anti"), df.join(failing, same, "left_semi")
