@@ -1,8 +1,77 @@
-"""Placeholder for the pipeline's stages, filled in below as operators land."""
+"""A corpus pipeline of four stages: toxicity, near duplicates, repeated passages, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage works on all rows its predecessor kept and is written before the next one
+reads it. All but the last return the columns of ``documents``.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+import os
+import sys
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from tickloom.llm import ngram_join, packing, repeats, toxicity  # noqa: E402
+from tickloom.llm.common import prepare, stored, table  # noqa: E402
+
+PASSAGE_BYTES = 256  # about forty words; a passage of fifty repeats at least so many
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half."""
+    prepare(spark)
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return scored.where("_toxicity < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles overlap by 0.8 or more: that with the smallest id.
+
+    Documents without words or without id stay; of rows repeated with id and text one stays.
+    """
+    prepare(spark)
+    classes = ngram_join.similar_sets(docs, n=5, percent=80)
+    beaten = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    first = classes.where("doc_id = component_id").select("doc_id").distinct()
+    # An id that is repeated may be first in one group and beaten in another.
+    gone = beaten.join(first, "doc_id", "left_anti")
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
+    kept = kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand more than once; those of which nothing is left go.
+
+    Characters that a cut splits go with the passage. ``n_chars`` is counted anew.
+    """
+    prepare(spark)
+    cleaned = repeats.remove_repeats(docs, PASSAGE_BYTES)
+    changed = F.size("_spans") > 0
+    rest = F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("�"), F.lit(""))
+    text = F.when(changed, rest).otherwise(F.col("text"))
+    cleaned = cleaned.where(~changed | (F.octet_length("_kept") > 0)).withColumn("text", text)
+    cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_duplicates), ("suffix_array_dedup", drop_repeats), ("packing", pack)]
+ORACLE_SQL = None  # no stage can be said in SQL; tests compare them with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``; each is written to the shared folder."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

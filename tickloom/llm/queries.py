@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import license_scan, packing, perspectives, sentencepiece_codec, url_filters
+from tickloom.llm import collision_search, itq_dedup, license_scan, ngram_join, packing, perspectives, repeats, sentencepiece_codec, toxicity, url_filters
 from tickloom.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with the same label."""
+    return itq_dedup.near_duplicates(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     coded = sentencepiece_codec.encode_decode(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -26,6 +31,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the rows that are not held out."""
+    scored = toxicity.score(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", F.col("_held_out").alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's side."""
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
@@ -36,6 +49,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    base = table(prepare(spark), sf_dir, "embeddings")
+    return collision_search.nearest(base, base.where("vec_id % 20 = 0"), 20)
+
+
 # The rules of hosts and paths.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 # Words in a URL that speak of spam, advertising or adult pages.
@@ -49,11 +68,25 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar shingle sets."""
+    return ngram_join.similar_sets(table(prepare(spark), sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template labels of every document."""
     return license_scan.scan(table(spark, sf_dir, "documents")).documents
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 400 bytes."""
+    cleaned = repeats.remove_repeats(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"), 400)
+    length = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return cleaned.select(
+        "doc_id", F.col("_bytes").alias("n_bytes"), length.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256")
+    )
+
+
 _WORDS_SQL = "|".join(w.replace("-", "[-_.]") for w in BLOCKED_WORDS)
 URL_SQL = f"""
 WITH split AS (
@@ -79,6 +112,10 @@ FROM rules
 """
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_sentencepiece, op4_perspectives, op5_packing, op7_url_filters, op9_license_scan)
+    f.__name__: f
+    for f in (
+        op1_itq_near_duplicates, op2_sentencepiece, op3_toxicity, op4_perspectives, op5_packing,
+        op6_collision_search, op7_url_filters, op8_ngram_join, op9_license_scan, op10_repeats,
+    )
 }
 SQL: dict[str, str] = {"op4_perspectives": perspectives.ROTATE_SQL, "op7_url_filters": URL_SQL}
