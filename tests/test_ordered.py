@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.history import validity_intervals, version_history
 from tickloom.operators.indicators import moving_indicators
-from tickloom.operators.ordered import number_rows, split_hot, with_halo
+from tickloom.operators.ordered import number_rows, with_halo
 
 DAY0 = dt.datetime(2020, 1, 1)
 
@@ -30,10 +30,10 @@ def series(spark, lengths, step_days=9, seed=1):
     return rows, spark.createDataFrame(shuffled, "ticker string, time timestamp, close decimal(20,2)").repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 3, 10**6])
-def test_positions_match_a_plain_ranking(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [None, 3, 40])
+def test_positions_match_a_plain_ranking(spark, ranges):
     rows, df = series(spark, [200, 3, 1])
-    out = number_rows(df, ["ticker"], ["time"], [F.trunc("time", "month")], hot_rows=hot_rows).collect()
+    out = number_rows(df, ["ticker"], ["time"], ranges=ranges).collect()
     expected = defaultdict(list)
     for ticker, time, _ in rows:
         expected[ticker].append(time)
@@ -42,54 +42,48 @@ def test_positions_match_a_plain_ranking(spark, hot_rows):
     }
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10**6])
-def test_two_level_chunks(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_two_level_order(spark, ranges):
     rows = [(k, 1, i) for k in "AB" for i in range(50)]
     df = spark.createDataFrame(rows, "k string, day int, id int").repartition(4)
-    out = number_rows(df, ["k"], ["day", "id"], [F.col("day"), F.floor(F.col("id") / 7)], hot_rows=hot_rows).collect()
+    out = number_rows(df, ["k"], ["day", "id"], ranges=ranges).collect()
     assert len(out) == 100 and all(r.position == r.id + 1 for r in out)
 
 
-def test_rows_are_windowed_by_chunk_and_shuffled_once(spark):
+def test_rows_are_windowed_by_range(spark):
     _, df = series(spark, [50])
-    plan = plan_of(version_history(df, ["ticker"], "time", ["close"]), "simple")
+    plan = plan_of(version_history(df, ["ticker"], "time", ["close"], ranges=4), "simple")
     windows = [line for line in plan.splitlines() if "Window [row_number" in line]
-    assert len(windows) == 1 and "_chunk" in windows[0].split("ASC")[0]
-    # Per key only the chunk rows are ordered, never the rows themselves.
+    assert len(windows) == 1 and "_range" in windows[0].split("ASC")[0]
+    # Per key only the rows of its cuts are ordered, never the rows themselves.
     assert all("_rows" in line for line in plan.splitlines() if "Window [" in line and line not in windows)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10**6])
-def test_null_keys_and_null_times(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [None, 5])
+def test_null_keys_and_null_times(spark, ranges):
     days = [None, None, DAY0, DAY0 + dt.timedelta(days=1)]
     df = spark.createDataFrame([(k, d, i) for k in ("A", None) for i, d in enumerate(days)], "k string, t timestamp, id int")
-    out = validity_intervals(df, ["k"], "t", ["id"], hot_rows=hot_rows).collect()
+    out = validity_intervals(df, ["k"], "t", ["id"], ranges=ranges).collect()
     for key in ("A", None):
         rows = sorted((r for r in out if r.k == key), key=lambda r: r.id)
         assert [r.version for r in rows] == [1, 2, 3, 4]
         assert [r.valid_to for r in rows] == [None, days[2], days[3], None]
 
 
-def test_hot_keys_are_found_by_size(spark):
-    _, df = series(spark, [50, 49, 2])
-    cold, hot = split_hot(df, ["ticker"], 49)
-    assert {r.ticker for r in hot.collect()} == {"T0"} and {r.ticker for r in cold.collect()} == {"T1", "T2"}
-
-
-@pytest.mark.parametrize("hot_rows", [0, 10**6])
-def test_versions_break_ties(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [None, 5])
+def test_versions_break_ties(spark, ranges):
     df = spark.createDataFrame(
         [("A", DAY0, 2), ("A", DAY0, 1), ("A", DAY0 - dt.timedelta(days=400), 9)], "ticker string, created_at timestamp, id int"
     )
-    out = {r.id: r.version for r in version_history(df, ["ticker"], "created_at", ["id"], hot_rows=hot_rows).collect()}
+    out = {r.id: r.version for r in version_history(df, ["ticker"], "created_at", ["id"], ranges=ranges).collect()}
     assert out == {9: 1, 1: 2, 2: 3}
 
 
-@pytest.mark.parametrize("hot_rows", [0, 3, 10**6])
-def test_validity_intervals_cross_chunks(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [None, 2, 9])
+def test_validity_intervals_cross_chunks(spark, ranges):
     days = [0, 1, 40, 400, 401]
     df = spark.createDataFrame([("A", DAY0 + dt.timedelta(days=d)) for d in days] + [("B", DAY0)], "ticker string, as_of timestamp")
-    out = sorted(validity_intervals(df, ["ticker"], "as_of", hot_rows=hot_rows).collect())
+    out = sorted(validity_intervals(df, ["ticker"], "as_of", ranges=ranges).collect())
     a = [r for r in out if r.ticker == "A"]
     assert [r.version for r in a] == [1, 2, 3, 4, 5]
     assert [r.valid_to for r in a[:-1]] == [r.as_of for r in a[1:]]
@@ -122,10 +116,10 @@ def brute_force(closes, rsi, sma):
     return out
 
 
-@pytest.mark.parametrize("block_rows,hot_rows", [(1, 0), (16, 14), (8192, 0), (8192, 10**6)])
-def test_indicators_match_brute_force_whatever_the_block(spark, block_rows, hot_rows):
+@pytest.mark.parametrize("block_rows,ranges", [(1, None), (16, 9), (8192, 4), (8192, None)])
+def test_indicators_match_brute_force_whatever_the_block(spark, block_rows, ranges):
     rows, df = series(spark, [120, 14, 15, 2])
-    out = {(r.ticker, r.time): (r.rsi_14, r.sma_20) for r in moving_indicators(df, (20,), (14,), block_rows=block_rows, hot_rows=hot_rows).collect()}
+    out = {(r.ticker, r.time): (r.rsi_14, r.sma_20) for r in moving_indicators(df, (20,), (14,), block_rows=block_rows, ranges=ranges).collect()}
     assert len(out) == len(rows)
     by_ticker = defaultdict(list)
     for ticker, time, close in rows:
@@ -142,7 +136,7 @@ def test_daily_series_need_one_window_per_ticker(spark):
     _, df = series(spark, [30, 5])
     daily = moving_indicators(df, (5,), (3,), one_per_day=True)
     assert plan_of(daily, "simple").count("Exchange hashpartitioning") == 1
-    assert sorted(map(str, daily.collect())) == sorted(map(str, moving_indicators(df, (5,), (3,), hot_rows=4).collect()))
+    assert sorted(map(str, daily.collect())) == sorted(map(str, moving_indicators(df, (5,), (3,), ranges=4).collect()))
 
 
 def test_rsi_is_100_without_losses(spark):

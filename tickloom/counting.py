@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
-    """The same rows, and the observation that counts them once they are written."""
+def counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, Observation]:
+    """The same rows, and the observation that counts them (or those ``which`` holds for) once they are written."""
     rows = Observation()
-    return df.observe(rows, F.count(F.lit(1)).alias("rows")), rows
+    one = F.lit(1) if which is None else F.when(which, F.lit(1))
+    return df.observe(rows, F.count(one).alias("rows")), rows
 
 
 def rows_written(rows: Observation) -> int:
@@ -21,5 +22,8 @@ def rows_written(rows: Observation) -> int:
     """
     try:
         return int(rows.get["rows"])
-    except Py4JJavaError:
-        return 0
+    except Py4JJavaError as error:
+        # The observation holds a row without a schema; anything else is a real failure.
+        if error.java_exception.getClass().getName() == "java.lang.AssertionError":
+            return 0
+        raise

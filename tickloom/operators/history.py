@@ -4,51 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import HOT_ROWS, number_rows
-
-
-def hourly(time: str) -> tuple[Column, ...]:
-    """Default chunks: a decade of hours is under 90,000 chunk rows per hot key, and
-    the key's rows are spread over as many windows."""
-    return (F.date_trunc("hour", F.col(time)),)
+from tickloom.operators.ordered import number_rows
 
 
 def version_history(
-    df: DataFrame,
-    keys: Sequence[str],
-    created_at: str,
-    tie_break: Sequence[str],
-    chunks: Sequence[Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], created_at: str, tie_break: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
-    """Number every row of a key by age, oldest first, as ``version``.
-
-    Pass ``chunks`` where many rows of a hot key share one hour, for example
-    ``(created_at, floor(id / 2**26))`` if times are whole days and ``id`` breaks
-    the ties.
-    """
-    return number_rows(df, keys, [created_at, *tie_break], chunks or hourly(created_at), "version", hot_rows=hot_rows)
+    """Number every row of a key by age, oldest first, as ``version``."""
+    return number_rows(df, keys, [created_at, *tie_break], "version", ranges=ranges)
 
 
 def validity_intervals(
-    df: DataFrame,
-    keys: Sequence[str],
-    valid_from: str,
-    tie_break: Sequence[str] = (),
-    chunks: Sequence[Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], valid_from: str, tie_break: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
-    """Type-2 history: ``version``, ``valid_to`` (open end is null), ``is_current``."""
-    numbered = number_rows(
-        df,
-        keys,
-        [valid_from, *tie_break],
-        chunks or hourly(valid_from),
-        name="version",
-        next_of={"valid_to": valid_from},
-        hot_rows=hot_rows,
-    )
+    """Type-2 history: ``version``, ``valid_to`` (open end is null), ``is_current``.
+
+    Rows of a key with equal ``valid_from`` need a ``tie_break`` that orders them, or
+    their versions are arbitrary; reduce them to one row first where only one is valid.
+    """
+    numbered = number_rows(df, keys, [valid_from, *tie_break], "version", {"valid_to": valid_from}, ranges)
     return numbered.withColumn("is_current", F.col("valid_to").isNull())

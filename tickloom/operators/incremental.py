@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tickloom.functions.casts import quoted, same_key
 from tickloom.specs import BACKFILL_START, LOOKBACK_DAYS
@@ -50,7 +51,11 @@ def high_water(df: DataFrame, time_col: str = "time", key: str = "ticker") -> Da
 
 
 def newer_than(df: DataFrame, marks: DataFrame, time_col: str = "time", key: str = "ticker") -> DataFrame:
-    """Rows strictly newer than their ticker's mark; unseen tickers pass whole."""
+    """Rows strictly newer than their ticker's mark; unseen tickers pass whole.
+
+    Rows without ticker have no mark to be held against and never pass.
+    """
+    df = df.where(quoted(key).isNotNull())
     known = marks.where(quoted(key).isNotNull()).select(quoted(key).alias("_marked"), "last_time")
     return (
         df.join(known, same_key(key, "_marked"), "left")
@@ -59,6 +64,20 @@ def newer_than(df: DataFrame, marks: DataFrame, time_col: str = "time", key: str
     )
 
 
+def first_of_polls(df: DataFrame, poll: str, time_col: str = "time", key: str = "ticker") -> DataFrame:
+    """Rows of several polls that are newer than all earlier polls of their ticker.
+
+    Polls overlap; a row counts in the first poll that holds its time. Ticks of one poll with
+    the same time all stay. One small row per ticker and poll carries the time so far.
+    """
+    newest = df.groupBy(quoted(key), quoted(poll)).agg(F.max(time_col).alias("_newest"))
+    earlier = Window.partitionBy(quoted(key)).orderBy(quoted(poll)).rowsBetween(Window.unboundedPreceding, -1)
+    marks = newest.select(quoted(key).alias("_marked"), quoted(poll).alias("_poll"), F.max("_newest").over(earlier).alias("last_time"))
+    same = (F.struct(quoted(key).alias("k"), quoted(poll).alias("p")) == F.struct(F.col("_marked").alias("k"), F.col("_poll").alias("p")))
+    fresh = df.join(marks, same, "left").where(F.col("last_time").isNull() | (F.col(time_col) > F.col("last_time")))
+    return fresh.drop("_marked", "_poll", "last_time")
+
+
 def advance_marks(marks: DataFrame, accepted: DataFrame, time_col: str = "time", key: str = "ticker") -> DataFrame:
     """The marks after the accepted rows have been sent."""
     both = marks.select(key, "last_time").unionByName(high_water(accepted, time_col, key))

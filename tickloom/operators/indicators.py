@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.operators.ordered import HOT_ROWS, number_rows, split_hot, with_halo
+from tickloom.operators.ordered import number_rows, with_halo
 
 BLOCK_ROWS = 8192
 
@@ -65,9 +65,8 @@ def moving_indicators(
     sma: Sequence[int] = (),
     rsi: Sequence[int] = (),
     one_per_day: bool = False,
-    chunk: Column | None = None,
     block_rows: int = BLOCK_ROWS,
-    hot_rows: int = HOT_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``sma_<n>`` and ``rsi_<n>`` to rows of (ticker, time, close, ...).
 
@@ -75,22 +74,16 @@ def moving_indicators(
     RSI uses plain averages of the last n gains and losses, and is 100 where
     there was no loss.
 
-    Tickers of ordinary size take one shuffle; a ticker with more than
-    ``hot_rows`` rows is numbered and cut into blocks with a halo. Pass
+    Rows are numbered and cut into blocks with a halo, so a ticker may have any number of them. Pass
     ``one_per_day`` for daily bars: a ticker then has as many rows as the calendar
-    has days (a century is 36,525), so none can be hot and none is looked for.
+    has days (a century is 36,525), so one window per ticker is bounded and one shuffle is enough.
     """
     out = [*df.columns, *[f"rsi_{n}" for n in rsi], *[f"sma_{n}" for n in sma]]
-    position = F.row_number().over(Window.partitionBy("ticker").orderBy("time"))
     if one_per_day:
+        position = F.row_number().over(Window.partitionBy("ticker").orderBy("time"))
         return _add_indicators(df.withColumn("_position", position), ["ticker"], sma, rsi).select(*out)
 
-    ordinary, hot = split_hot(df, ["ticker"], hot_rows)
-    plain = _add_indicators(ordinary.withColumn("_position", position), ["ticker"], sma, rsi)
-
-    chunk = F.trunc(F.col("time"), "month") if chunk is None else chunk
     reach = max([1, *[n - 1 for n in sma], *rsi])
-    numbered = number_rows(hot, ["ticker"], ["time"], [chunk], name="_position", hot_rows=0)
+    numbered = number_rows(df, ["ticker"], ["time"], name="_position", ranges=ranges)
     blocks = with_halo(numbered, "_position", max(block_rows, reach), reach)
-    blocked = _add_indicators(blocks, ["ticker", "_block"], sma, rsi).where("_own")
-    return plain.select(*out).unionByName(blocked.select(*out))
+    return _add_indicators(blocks, ["ticker", "_block"], sma, rsi).where("_own").select(*out)

@@ -1,94 +1,71 @@
 """Order-dependent operators for keys of any size.
 
 A window partitioned by the key alone pulls the key's whole history into one
-task. That is fine for most keys, and they are windowed just so. The few keys
-with more than ``HOT_ROWS`` rows are cut into chunks that follow their order:
-each chunk is windowed on its own, and one small row per chunk carries what the
-next chunks need (rows so far, first value). Results equal the plain window.
-
-Rows whose key is null form one group that is never cut; datasets here fill their
-keys first.
+task. Here rows are first dealt out by ranges of (key, order), so that any key, a null one too, is cut
+wherever it outgrows a range. Each stretch of a key is windowed on its own, and
+one small row per cut carries what the next stretch needs (rows so far, first
+value). There is one path for keys of every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_ROWS = 1 << 20
+from tickloom.workspace import shared_dir
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, as ``_hot_<key>`` columns.
+def in_ranges(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """The rows with ``_range``, which never decreases along ``(keys, order_by)``.
 
-    Counted with a map-side combine from the key columns alone. There are at most
-    ``total rows / hot_rows`` of them (a million keys in 10^12 rows), which is the
-    bound that allows the broadcast.
+    Written to the shared folder: ranges come from a sample, and every later read must
+    see the same ones. Without ``ranges`` their number follows the data's size.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    found = counts.where(F.col("_rows") > F.lit(hot_rows))
-    return F.broadcast(found.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
-
-
-def _is_hot_key(keys: Sequence[str]) -> list[Column]:
-    return [F.col(k) == F.col(f"_hot_{k}") for k in keys]
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys)."""
-    hot = hot_keys(df, keys, hot_rows)
-    return df.join(hot, _is_hot_key(keys), "left_anti"), df.join(hot, _is_hot_key(keys), "left_semi")
+    columns = [*keys, *order_by]
+    dealt = df.repartitionByRange(ranges, *columns) if ranges else df.repartitionByRange(*columns)
+    dealt = dealt.withColumn("_range", F.spark_partition_id())
+    path = shared_dir(df.sparkSession, "ranges")
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
-    chunks: Sequence[Column],
     name: str = "position",
     next_of: dict[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row within its key.
 
-    ``chunks`` are expressions that never decrease along ``order_by`` (such as
-    the hour of the leading time column); they bound how much of a hot key a task
-    sees. ``next_of`` adds, under the given new name, the value the column has in
+    ``next_of`` adds, under the given new name, the value the column has in
     the key's next row; such a column must be the leading order column.
-
-    The rows are read and shuffled once. Counts come from narrow reads of the key
-    and order columns, and join to rows that are already placed by key and chunk.
     """
     next_of = next_of or {}
-    # One struct for all chunk expressions: a null inside it sorts first and equals
-    # itself, so rows without a time have their chunk like all others.
-    chunk = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(chunks)])
-    hot = hot_keys(df, keys, hot_rows)
-
-    per_chunk = (
-        df.join(hot, _is_hot_key(keys), "left_semi")
-        .withColumn("_chunk", chunk)
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.min(source).alias(f"_first_{target}") for target, source in next_of.items()],
-        )
+    placed = in_ranges(df, keys, order_by, ranges)
+    per_range = placed.groupBy(*keys, "_range").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        # Inside a struct a null is the smallest value, as in the order.
+        *[F.min(F.struct(F.col(source).alias("v"))).alias(f"_first_{target}") for target, source in next_of.items()],
     )
-    along = Window.partitionBy(*keys).orderBy("_chunk")
-    carried = per_chunk.select(
+    along = Window.partitionBy(*keys).orderBy("_range")
+    carried = per_range.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_chunk").alias("_k_chunk"),
+        F.col("_range").alias("_k_range"),
         F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         *[F.lead(f"_first_{target}").over(along).alias(f"_after_{target}") for target in next_of],
     )
+    # Only the first key of a range can go on from the one before, and only the last
+    # into the next: at most two rows for each range, which bounds the broadcast.
+    goes_on = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ("_before", *[f"_after_{t}" for t in next_of])])
+    cuts = F.broadcast(carried.where(goes_on))
 
-    # Ordinary keys have no chunk: the whole key is one window, nothing joins.
-    is_hot = F.col(f"_hot_{keys[0]}").isNotNull()
-    placed = df.join(hot, _is_hot_key(keys), "left").withColumn("_chunk", F.when(is_hot, chunk))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_by)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order_by)
     local = placed.withColumns(
         {
             "_local": F.row_number().over(inside),
@@ -96,12 +73,12 @@ def number_rows(
             **{f"_last_{target}": F.lead(F.lit(True)).over(inside).isNull() for target in next_of},
         }
     )
-    same_chunk = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_chunk") == F.col("_k_chunk")]
-    return local.join(carried, same_chunk, "left").select(
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_range") == F.col("_k_range")]
+    return local.join(cuts, same, "left").select(
         *df.columns,
         (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint").alias(name),
         *[
-            F.when(F.col(f"_last_{target}"), F.col(f"_after_{target}")).otherwise(F.col(f"_lead_{target}")).alias(target)
+            F.when(F.col(f"_last_{target}"), F.col(f"_after_{target}").getField("v")).otherwise(F.col(f"_lead_{target}")).alias(target)
             for target in next_of
         ],
     )

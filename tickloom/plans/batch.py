@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.counting import counted, rows_written
 from tickloom.functions.columns import TECHNICAL_COLUMNS, drop_technical, fill_nulls, trim_strings
 from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.sinks.tables import publish
-from tickloom.sources.lake import scan_topic, split_corrupt
+from tickloom.sources.lake import is_corrupt, scan_topic, split_corrupt
 from tickloom.specs import DATASETS, DatasetSpec
 
 logger = logging.getLogger(__name__)
@@ -54,8 +55,11 @@ def normalize_loads(loads: list[tuple[DataFrame, DatasetSpec]]) -> DataFrame:
 
 @dataclass(frozen=True)
 class JobResult:
+    """Rows published, unreadable records met, and whether those were kept in quarantine."""
+
     rows: int
     quarantined: bool = False
+    corrupt_rows: int = 0
 
 
 def run(
@@ -73,21 +77,26 @@ def run(
     ``scan`` reads the lake: ``scan_topic`` any folder of JSON files,
     ``scan_archive`` what the archive stream wrote.
 
-    An empty folder writes nothing. Failures are raised, not logged away. The row
-    count is observed while the rows are written, so nothing is computed twice.
+    An empty folder writes nothing. Failures are raised, not logged away. Rows and
+    unreadable records are counted while the rows are written; the lake is parsed once more only if
+    there are unreadable records to keep under ``quarantine_root``. Without one they are counted and logged.
     """
     raw = scan(spark, lake_root, spec.topic, hour, spec.raw_schema)
     if raw.isEmpty():
         logger.info("%s: no data under %s", spec.topic, hour or "any hour")
         return JobResult(0)
-    readable, corrupt = split_corrupt(raw)
-    quarantined = False
-    if quarantine_root is not None and not corrupt.isEmpty():
-        corrupt.write.mode("overwrite").json(f"{quarantine_root.rstrip('/')}/{spec.topic}/batch_id={batch_id}")
-        quarantined = True
+    watched, unreadable = counted(raw, is_corrupt(raw))
+    readable, _ = split_corrupt(watched)
     rows = publish(normalize(readable, spec), warehouse_root, spec.table, batch_id)
+    corrupt_rows = rows_written(unreadable)
+    quarantined = quarantine_root is not None and corrupt_rows > 0
+    if quarantined:
+        _, corrupt = split_corrupt(raw)
+        corrupt.write.mode("overwrite").json(f"{quarantine_root.rstrip('/')}/{spec.topic}/batch_id={batch_id}")
+    if corrupt_rows:
+        logger.warning("%s: %d unreadable records, %s", spec.topic, corrupt_rows, "kept" if quarantined else "not kept")
     logger.info("%s: %d rows into %s", spec.topic, rows, spec.table)
-    return JobResult(rows, quarantined)
+    return JobResult(rows, quarantined, corrupt_rows)
 
 
 def run_topic(spark: SparkSession, topic: str, lake_root: str, warehouse_root: str, batch_id: int, **kwargs) -> JobResult:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.temporal import calendar_parts
 from tickloom.operators.history import validity_intervals
 from tickloom.operators.indicators import moving_indicators
+from tickloom.operators.latest import one_per_key
 from tickloom.sinks.tables import publish
 
 
@@ -21,9 +22,20 @@ def calendar(dates: DataFrame, column: str = "date_id") -> DataFrame:
     return days.select("date_id", *[part.alias(name) for name, part in calendar_parts(F.col("date_id")).items()])
 
 
-def company_history(snapshots: DataFrame) -> DataFrame:
-    """Type-2 history of company snapshots by ``as_of_date``."""
-    return validity_intervals(snapshots, ["ticker"], "as_of_date")
+def company_history(snapshots: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Type-2 history of company snapshots by ``as_of_date``.
+
+    Of several snapshots of one company and day the greatest row counts, so that
+    versions are reproducible and no interval is empty.
+    """
+    daily = one_per_key(snapshots, ["ticker", "as_of_date"])
+    return validity_intervals(daily, ["ticker"], "as_of_date", ranges=ranges)
+
+
+def publish_company_history(snapshots: DataFrame, root: str, batch_id: int) -> int:
+    """Write the history as a load: a snapshot's newest interval is the one readers see."""
+    history = company_history(snapshots).withColumnRenamed("as_of_date", "valid_from")
+    return publish(history, root, "dim_company_history", batch_id)
 
 
 def long_term_indicators(daily: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def read_loads(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
 
 
 def read_current(spark: SparkSession, path: str, spec: TableSpec, parts: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the declared version wins, else the latest load.
+    """One row per key: the declared version wins, then the latest load.
 
     ``parts`` limits the read to some partition keys. A key never spans two
     partitions, so nothing outside them needs to be read.
@@ -79,7 +79,7 @@ def read_current(spark: SparkSession, path: str, spec: TableSpec, parts: Sequenc
     loads = read_loads(spark, path, spec)
     if parts:
         loads = loads.where(F.col(PARTITION).isin(list(parts)))
-    newest = spec.version or ("batch_id",)
+    newest = (*spec.version, "batch_id")
     merged = one_per_key(loads.drop(PARTITION), spec.keys, newest)
     return merged.select(*[name for name, _ in spec.columns])
 

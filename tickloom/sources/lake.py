@@ -6,7 +6,7 @@ row per record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.casts import quoted
@@ -75,12 +75,16 @@ def scan_archive(
     return df.drop("topic", "dt_hour")
 
 
-def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(readable records, unreadable ones for quarantine)."""
+def is_corrupt(df: DataFrame) -> Column:
+    """True for records that could not be read."""
     if CORRUPT not in df.columns:
-        return df, df.where(F.lit(False))
+        return F.lit(False)
     # A field never equals the text of its whole record, so the comparison below
     # adds nothing but a second column: Spark refuses to parse for this one alone.
     anchor = quoted(next(c for c in df.columns if c != CORRUPT)).cast("string")
-    is_readable = F.col(CORRUPT).isNull() | anchor.eqNullSafe(F.col(CORRUPT))
-    return df.where(is_readable).drop(CORRUPT), df.where(~is_readable)
+    return F.col(CORRUPT).isNotNull() & ~anchor.eqNullSafe(F.col(CORRUPT))
+
+
+def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readable records, unreadable ones for quarantine)."""
+    return df.where(~is_corrupt(df)).drop(CORRUPT), df.where(is_corrupt(df))

@@ -115,6 +115,17 @@ TABLES: dict[str, TableSpec] = {
     for spec in (
         TableSpec("dim_ticker", (("ticker", "string"), ("group", "string")), ("ticker",)),
         TableSpec("dim_company", _COMPANY_COLUMNS, ("ticker",), version=("as_of_date",)),
+        TableSpec(
+            "dim_company_history",
+            (
+                *((name, kind) for name, kind in _COMPANY_COLUMNS if name != "as_of_date"),
+                ("valid_from", "timestamp"),
+                ("valid_to", "timestamp"),
+                ("version", "bigint"),
+                ("is_current", "boolean"),
+            ),
+            ("ticker", "valid_from"),
+        ),
         TableSpec(
             "dim_date",
             (

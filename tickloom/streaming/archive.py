@@ -9,22 +9,23 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.functions.temporal import hour_bucket
 from tickloom.sources.streams import decode
 
+# Fixed value: the field that carries a message's arrival.
 STAMP = "kafka_ingested_at"
 
 
 def stamped_message(value: Column, now: Column) -> Column:
-    """Append the ingest time to a JSON object; any other text is left as it is.
+    """Append the ingest time to a JSON object; any other text only loses its line breaks.
 
     The field goes in before the closing brace, so unknown fields keep their
     order, types and spelling; readers take the last value of a repeated field.
-    Line breaks between tokens become blanks, because a record is a line.
+    Line breaks become blanks, because a record is a line: one message gives one record.
     """
     line = F.regexp_replace(value, r"[\r\n]+", " ")
     is_object = F.ltrim(line).startswith("{") & F.try_parse_json(value).isNotNull()
     body = F.regexp_replace(line, r"\s*\}\s*$", "")
     comma = F.when(F.trim(body) == "{", F.lit("")).otherwise(F.lit(","))
     stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.when(is_object, F.concat(body, comma, F.lit(f'"{STAMP}":"'), stamp, F.lit('"}'))).otherwise(value)
+    return F.when(is_object, F.concat(body, comma, F.lit(f'"{STAMP}":"'), stamp, F.lit('"}'))).otherwise(line)
 
 
 def archive_rows(messages: DataFrame) -> DataFrame:

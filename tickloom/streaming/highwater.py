@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.counting import counted, rows_written
-from tickloom.operators.incremental import advance_marks, newer_than
+from tickloom.operators.incremental import advance_marks, first_of_polls, newer_than
 from tickloom.sinks.messages import encode
 
 logger = logging.getLogger(__name__)
@@ -29,19 +29,30 @@ def _marks_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 
 
 def accept_batch(
-    batch: DataFrame, batch_id: int, rows_path: str, marks_path: str, send: Callable[[DataFrame], None] | None = None
+    batch: DataFrame,
+    batch_id: int,
+    rows_path: str,
+    marks_path: str,
+    send: Callable[[DataFrame], None] | None = None,
+    poll: str | None = None,
 ) -> None:
     """Write the batch's new rows and the marks that hold after it.
 
+    ``poll`` names a column that numbers the polls; a batch may then hold any number of
+    overlapping polls, and a tick still counts once. It is not kept.
+
     ``send`` receives the new rows as keyed messages. It is called before the
     marks are written, so a failure repeats messages rather than losing them.
     """
     spark = batch.sparkSession
     marks = _marks_before(spark, marks_path, batch_id)
     target = f"{rows_path}/batch_id={batch_id}"
-    fresh, counter = counted(newer_than(batch, marks))
+    fresh = newer_than(batch, marks)
+    if poll is not None:
+        fresh = first_of_polls(fresh, poll).drop(poll)
+    fresh, counter = counted(fresh)
     fresh.write.mode("overwrite").parquet(target)
-    accepted = spark.read.schema(batch.schema).parquet(target)
+    accepted = spark.read.schema(fresh.schema).parquet(target)
     if send is not None:
         send(encode(accepted))
     advance_marks(marks, accepted).write.mode("overwrite").parquet(f"{marks_path}/batch_id={batch_id}")
@@ -49,16 +60,21 @@ def accept_batch(
 
 
 def start_incremental_stream(
-    ticks: DataFrame, root: str, checkpoint: str, send: Callable[[DataFrame], None] | None = None, **trigger
+    ticks: DataFrame,
+    root: str,
+    checkpoint: str,
+    send: Callable[[DataFrame], None] | None = None,
+    poll: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
     """Accept typed ticks into ``<root>/rows``; marks are kept in ``<root>/marks``.
 
-    With ``send`` (for instance ``lambda m: publish(...)``) they are also sent on.
+    Name the ``poll`` column where one micro-batch may hold several polls. With ``send`` (for instance ``lambda m: publish(...)``) they are also sent on.
     """
     base = root.rstrip("/")
     return (
         ticks.writeStream.foreachBatch(
-            lambda batch, batch_id: accept_batch(batch, batch_id, f"{base}/rows", f"{base}/marks", send)
+            lambda batch, batch_id: accept_batch(batch, batch_id, f"{base}/rows", f"{base}/marks", send, poll)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

@@ -329,4 +329,24 @@ SELECT ticker, as_of_date, charter_capital, exchange,
        lead(as_of_date) OVER (PARTITION BY ticker ORDER BY as_of_date) AS valid_to,
        lead(as_of_date) OVER (PARTITION BY ticker ORDER BY as_of_date) IS NULL AS is_current
 FROM company""",
+    "company_history_same_day": f"""
+WITH {_COMPANY}
+SELECT ticker, as_of_date, CAST(charter_capital + 1 AS DECIMAL(20,2)) AS charter_capital, exchange,
+       row_number() OVER (PARTITION BY ticker ORDER BY as_of_date) AS version,
+       lead(as_of_date) OVER (PARTITION BY ticker ORDER BY as_of_date) AS valid_to,
+       lead(as_of_date) OVER (PARTITION BY ticker ORDER BY as_of_date) IS NULL AS is_current
+FROM company""",
+    "company_history_published": f"""
+WITH {_COMPANY}
+SELECT ticker, as_of_date AS valid_from, lead(as_of_date) OVER (PARTITION BY ticker ORDER BY as_of_date) AS valid_to,
+       row_number() OVER (PARTITION BY ticker ORDER BY as_of_date) AS version,
+       lead(as_of_date) OVER (PARTITION BY ticker ORDER BY as_of_date) IS NULL AS is_current,
+       CAST(charter_capital + 1 AS DECIMAL(30,2)) AS charter_capital, exchange
+FROM company""",
+    "incremental_backlog": f"WITH {_TRADES} SELECT * FROM trades",
+    "published_corrections": f"""
+WITH {_COMPANY}, {_LATEST_COMPANY}
+SELECT ticker, as_of_date, CAST(charter_capital - 1 AS DECIMAL(30,2)) AS charter_capital, exchange FROM latest_company""",
 }
+# The same results by another cut of the rows.
+ORACLES |= {f"{name}_cut": ORACLES[name] for name in ("versioned_history", "indicators_of_trades")}

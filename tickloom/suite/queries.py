@@ -19,7 +19,7 @@ from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.operators.quality import batch_sizes, quality_report
 from tickloom.plans.batch import normalize, normalize_loads, typed_rows
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows, validate
-from tickloom.plans.warehouse import calendar, company_history, long_term_indicators, short_term_indicators
+from tickloom.plans.warehouse import calendar, company_history, long_term_indicators, publish_company_history, short_term_indicators
 from tickloom.session import apply_session_conf
 from tickloom.sinks.lake import write_records
 from tickloom.sinks.messages import encode
@@ -204,13 +204,18 @@ def keyed_replace_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def versioned_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order of a customer, numbered by age.
+    """Every order of a customer, numbered by age."""
+    return version_history(_order_updates(spark, sf_dir), ["ticker"], "created_at", ["o_orderkey"])
 
-    Order times are whole days, so the day and a stretch of order keys make a
-    chunk: a customer with a third of all orders is still spread over many tasks.
-    """
-    chunks = (F.col("created_at"), F.floor(F.col("o_orderkey") / 2**26))
-    return version_history(_order_updates(spark, sf_dir), ["ticker"], "created_at", ["o_orderkey"], chunks)
+
+# So many ranges that customers and tickers are cut even in the test tables.
+_MANY_RANGES = 61
+
+
+@query
+def versioned_history_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every busy customer cut into several ranges."""
+    return version_history(_order_updates(spark, sf_dir), ["ticker"], "created_at", ["o_orderkey"], _MANY_RANGES)
 
 
 @query
@@ -484,6 +489,14 @@ def indicators_of_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(moving_indicators(one_per_key(closes, ["ticker", "time"]), (10,), (3,)), "rsi_3", "sma_10")
 
 
+@query
+def indicators_of_trades_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with tickers cut into ranges and short blocks."""
+    closes = raw.trades(spark, sf_dir).select("ticker", "time", F.col("price").alias("close"))
+    moved = moving_indicators(one_per_key(closes, ["ticker", "time"]), (10,), (3,), block_rows=64, ranges=_MANY_RANGES)
+    return _rounded(moved, "rsi_3", "sma_10")
+
+
 @query
 def company_history_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company snapshots with version, validity interval and current flag."""
@@ -491,3 +504,50 @@ def company_history_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ticker", "as_of_date", "charter_capital", "exchange"
     )
     return company_history(snapshots)
+
+
+def _repeated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every company snapshot twice a day, the second with another capital."""
+    snapshots = typed_rows(raw.company_feed(spark, sf_dir), DATASETS["company_metadata"]).select(
+        "ticker", "as_of_date", "charter_capital", "exchange"
+    )
+    return snapshots.unionByName(snapshots.withColumn("charter_capital", (F.col("charter_capital") + 1).cast("decimal(20,2)")))
+
+
+@query
+def company_history_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of a company on one day, companies cut into ranges: one reproducible version."""
+    return company_history(_repeated_snapshots(spark, sf_dir), _MANY_RANGES)
+
+
+@query
+def company_history_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history written as a table and read back."""
+    root = shared_dir(spark, "history")
+    publish_company_history(_repeated_snapshots(spark, sf_dir), root, 0)
+    current = read_current(spark, f"{root}/dim_company_history", TABLES["dim_company_history"])
+    return current.select("ticker", "valid_from", "valid_to", "version", "is_current", "charter_capital", "exchange")
+
+
+@query
+def incremental_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same three polls, all waiting when the stream starts: the same ticks, each once."""
+    root = shared_dir(spark, "backlog")
+    schema = "ticker string, time timestamp, price decimal(20,2), volume bigint, event_id bigint, poll int"
+    polled = raw.trades(spark, sf_dir)
+    for poll, until in enumerate(("2024-01-11", "2024-01-21", None)):
+        part = polled.where(F.col("time") < F.lit(until).cast("timestamp")) if until else polled
+        part.withColumn("poll", F.lit(poll)).write.parquet(f"{root}/polls/{poll}")
+    source = spark.readStream.schema(schema).parquet(f"{root}/polls/*")
+    wait(start_incremental_stream(source, f"{root}/sent", f"{root}/checkpoint", poll="poll"))
+    return accepted_rows(spark, f"{root}/sent", schema.removesuffix(", poll int")).drop("batch_id")
+
+
+@query
+def published_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company profiles written again with the same date: the later load wins, whatever it says."""
+    root, spec = shared_dir(spark, "corrections"), TABLES["dim_company"]
+    first = normalize(raw.company_feed(spark, sf_dir), DATASETS["company_metadata"])
+    append_load(first, root, spec, 0)
+    append_load(first.withColumn("charter_capital", (F.col("charter_capital") - 1).cast("decimal(20,2)")), root, spec, 1)
+    return read_current(spark, root, spec).select("ticker", "as_of_date", "charter_capital", "exchange")
