@@ -13,7 +13,7 @@ from plans import plan_of
 from tickloom.plans.batch import normalize, normalize_loads, run, run_topic
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows
 from tickloom.sinks.lake import write_records
-from tickloom.sinks.tables import read_current, read_loads
+from tickloom.sinks.tables import append_load, read_current, read_loads
 from tickloom.sources.lake import CORRUPT, read_json, scan_partitioned, scan_topic, split_corrupt, topic_path
 from tickloom.specs import DATASETS, TABLES
 
@@ -100,6 +100,25 @@ def test_ratio_casts_only_what_is_there(spark):
     assert tuple(out.collect()[0]) == ("VNM", 2020, "Q1", Decimal("12.3457"))
 
 
+def test_ratio_job_keeps_any_spelling_and_leaves_absent_metrics_null(spark, path):
+    put(path("lake"), "financial_ratio", "2024-01-02_03", "a.json", {"Ticker": "VNM", "YEAR": "2020", "quarter": "Q1", "PE": 12.5, "pb": None})
+    put(path("lake"), "financial_ratio", "2024-01-02_04", "b.json", [{"ticker": "FPT", "year": 2021, "quarter": "Q2", " EV EBITDA": 3}])
+    put(path("lake"), "financial_ratio", "2024-01-02_04", "c.json", "{oops")
+    result = run_topic(spark, "financial_ratio", path("lake"), path("warehouse"), 0)
+    assert (result.rows, result.corrupt_rows, result.quarantined) == (2, 1, False)
+    out = {r.ticker: r for r in read_current(spark, f"{path('warehouse')}/fact_financial_ratio", TABLES["fact_financial_ratio"]).collect()}
+    assert (out["VNM"].pe, out["VNM"].pb, out["VNM"].ps, out["VNM"].ev_ebitda) == (Decimal("12.5"), Decimal(0), None, Decimal(0))
+    assert (out["FPT"].pe, out["FPT"].ev_ebitda, out["FPT"].roe) == (Decimal(0), Decimal(3), None)
+
+
+def test_later_load_wins_on_equal_versions(spark, path):
+    spec = TABLES["fact_intraday_tick"]
+    for load, price in enumerate(("100", "90")):
+        row = [("VNM", dt.datetime(2024, 1, 2), price, dt.datetime(2024, 1, 3))]
+        append_load(spark.createDataFrame(row, "ticker string, time timestamp, price string, ingested_at timestamp"), path("ticks"), spec, load)
+    assert [r.price for r in read_current(spark, path("ticks"), spec).collect()] == [Decimal(90)]
+
+
 def test_backfill_is_superseded_by_daily(spark):
     schema = "ticker string, time string, open string, high string, low string, close string, volume string, type string"
     backfill = spark.createDataFrame([("A", "2024-01-01", "9", "9", "9", "9", "9", "b"), ("A", "2024-01-02", "9", "9", "9", "9", "9", "b")], schema)

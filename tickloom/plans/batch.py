@@ -15,7 +15,7 @@ from tickloom.counting import counted, rows_written
 from tickloom.functions.columns import TECHNICAL_COLUMNS, drop_technical, fill_nulls, trim_strings
 from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.sinks.tables import publish
-from tickloom.sources.lake import is_corrupt, scan_topic, split_corrupt
+from tickloom.sources.lake import KEYS, carried, is_corrupt, scan_topic, split_corrupt
 from tickloom.specs import DATASETS, DatasetSpec
 
 logger = logging.getLogger(__name__)
@@ -81,10 +81,15 @@ def run(
     unreadable records are counted while the rows are written; the lake is parsed once more only if
     there are unreadable records to keep under ``quarantine_root``. Without one they are counted and logged.
     """
-    raw = scan(spark, lake_root, spec.topic, hour, spec.raw_schema)
+    options = {"any_case": True} if spec.any_case else {}
+    raw = scan(spark, lake_root, spec.topic, hour, spec.raw_schema, **options)
     if raw.isEmpty():
         logger.info("%s: no data under %s", spec.topic, hour or "any hour")
         return JobResult(0)
+    if spec.any_case:
+        # Only what some record carries is filled where it is null; the rest stays null in the table.
+        held = carried(raw, spec.optional)
+        raw = raw.drop(KEYS, *[c for c in spec.optional if c not in held])
     watched, unreadable = counted(raw, is_corrupt(raw))
     readable, _ = split_corrupt(watched)
     rows = publish(normalize(readable, spec), warehouse_root, spec.table, batch_id)

@@ -6,12 +6,16 @@ row per record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickloom.functions.casts import quoted
 
 CORRUPT = "_corrupt_record"
+KEYS = "_keys"  # the cleaned names of a record's fields, where names come in any case
 
 
 def topic_path(root: str, topic: str, hour: str | None = None, hive_style: bool = True) -> str:
@@ -41,6 +45,39 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, recursi
     return reader.json(path)
 
 
+def read_any_case(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON files whose field names come in any case, with blanks around or inside them.
+
+    All values are read as text. ``_keys`` lists what each record carries, so that a field that
+    is null can be told from one that is not there. Unreadable records keep their text.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
+    many = F.from_json("value", "array<map<string,string>>")
+    one = F.array(F.from_json("value", "map<string,string>"))
+    records = F.explode_outer(F.when(F.ltrim("value").startswith("["), many).otherwise(one))
+    fields = lines.select("value", records.alias("_record"))
+    clean = F.transform(
+        F.map_entries("_record"),
+        lambda e: F.struct(F.replace(F.lower(F.trim(e["key"])), F.lit(" "), F.lit("_")).alias("key"), e["value"].alias("value")),
+    )
+    fields = fields.select("value", F.col("_record").isNull().alias("_bad"), clean.alias("_fields"))
+
+    def value_of(name: str) -> Column:
+        # The last value of a repeated field counts, as with exact names.
+        return F.try_element_at(F.filter("_fields", lambda e: e["key"] == name), F.lit(-1))["value"].alias(name)
+
+    names = StructType.fromDDL(schema).names
+    return fields.select(*map(value_of, names), F.col("_fields.key").alias(KEYS), F.when(F.col("_bad"), F.col("value")).alias(CORRUPT))
+
+
+def carried(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Those of ``names`` that any record of ``read_any_case`` carries, counted in one pass."""
+    seen = Observation()
+    watched = df.observe(seen, *[F.coalesce(F.max(F.array_contains(KEYS, n)), F.lit(False)).alias(n) for n in names])
+    watched.write.format("noop").mode("overwrite").save()
+    return [n for n in names if seen.get[n]]
+
+
 def scan_topic(
     spark: SparkSession,
     root: str,
@@ -48,8 +85,11 @@ def scan_topic(
     hour: str | None = None,
     schema: str | None = None,
     hive_style: bool = True,
+    any_case: bool = False,
 ) -> DataFrame:
     """Every record of a topic, or of one of its hours."""
+    if any_case:
+        return read_any_case(spark, topic_path(root, topic, hour, hive_style), schema)
     return read_json(spark, topic_path(root, topic, hour, hive_style), schema, recursive=True)
 
 
@@ -81,7 +121,7 @@ def is_corrupt(df: DataFrame) -> Column:
         return F.lit(False)
     # A field never equals the text of its whole record, so the comparison below
     # adds nothing but a second column: Spark refuses to parse for this one alone.
-    anchor = quoted(next(c for c in df.columns if c != CORRUPT)).cast("string")
+    anchor = quoted(next(c for c in df.columns if c not in (CORRUPT, KEYS))).cast("string")
     return F.col(CORRUPT).isNotNull() & ~anchor.eqNullSafe(F.col(CORRUPT))
 
 

@@ -242,6 +242,9 @@ class DatasetSpec:
     # Newest value of these columns wins; the rest of the row breaks ties.
     stamp: tuple[str, ...] = ("kafka_ingested_at",)
     fill_numeric: bool = True
+    # Field names come in any case, and the ``optional`` ones may be wholly absent.
+    any_case: bool = False
+    optional: tuple[str, ...] = ()
 
 
 DATASETS: dict[str, DatasetSpec] = {
@@ -266,6 +269,8 @@ DATASETS: dict[str, DatasetSpec] = {
             _text_schema("ticker", "year", "quarter", *RATIO_METRICS),
             type_ratio,
             ("ticker", "year", "quarter"),
+            any_case=True,
+            optional=RATIO_METRICS,
         ),
     )
 }

@@ -350,3 +350,18 @@ SELECT ticker, as_of_date, CAST(charter_capital - 1 AS DECIMAL(30,2)) AS charter
 }
 # The same results by another cut of the rows.
 ORACLES |= {f"{name}_cut": ORACLES[name] for name in ("versioned_history", "indicators_of_trades")}
+
+# Jobs publish what normalizing gives, in the declared columns of the table.
+_BARS = "ticker, time, date_id, open, high, low, close, volume"
+ORACLES |= {
+    "daily_price_job": f"SELECT {_BARS} FROM ({ORACLES['daily_price_normalize']})",
+    "daily_price_backfill_job": f"SELECT {_BARS} FROM ({ORACLES['daily_price_with_backfill']})",
+    "benchmark_index_job": f"SELECT {_BARS} FROM ({ORACLES['benchmark_index_normalize']})",
+    "intraday_price_job": f"SELECT {_BARS} FROM ({ORACLES['intraday_price_normalize']})",
+    "ticker_list_job": ORACLES["ticker_list_normalize"],
+    "company_metadata_job": f"""
+SELECT ticker, symbol, exchange, founded_date, CAST(charter_capital AS DECIMAL(30,2)) AS charter_capital, listing_price, as_of_date
+FROM ({ORACLES['company_metadata_normalize']})""",
+    "financial_ratio_job": f"""
+SELECT ticker, year, quarter, pe, pb, CAST(NULL AS DECIMAL(20,4)) AS ps, ev_ebitda, roe FROM ({ORACLES['financial_ratio_normalize']})""",
+}

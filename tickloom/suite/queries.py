@@ -17,7 +17,7 @@ from tickloom.operators.indicators import moving_indicators
 from tickloom.operators.joins import members_only, with_calendar, with_dimension
 from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.operators.quality import batch_sizes, quality_report
-from tickloom.plans.batch import normalize, normalize_loads, typed_rows
+from tickloom.plans.batch import normalize, normalize_loads, run_topic, typed_rows
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows, validate
 from tickloom.plans.warehouse import calendar, company_history, long_term_indicators, publish_company_history, short_term_indicators
 from tickloom.session import apply_session_conf
@@ -174,6 +174,74 @@ def validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(landed, spec)
 
 
+# --- jobs, from raw files to published tables ----------------------------------
+
+
+def _run_job(spark: SparkSession, topic: str, feed: DataFrame, lake: str, warehouse: str, load: int = 0) -> DataFrame:
+    """Lay the feed down in two ingest hours with broken records between, run the job, read the table."""
+    hours = ("2024-01-02_16", "2024-01-02_17")
+    for i, hour in enumerate(hours):
+        write_records(feed.where(F.pmod(F.xxhash64(*feed.columns), F.lit(2)) == i), lake, topic, hour)
+    broken = spark.range(3).select(F.concat(F.lit('{"ticker": "X'), F.col("id").cast("string"), F.lit('", ')).alias("value"))
+    broken.write.mode("append").text(f"{lake}/topic={topic}/dt_hour={hours[0]}")
+    result = run_topic(spark, topic, lake, warehouse, load, quarantine_root=f"{lake}/held")
+    if result.corrupt_rows != 3 or not result.quarantined:
+        raise AssertionError(f"{topic}: {result}")
+    table = DATASETS[topic].table
+    return read_current(spark, f"{warehouse}/{table}", TABLES[table])
+
+
+def _job(spark: SparkSession, topic: str, feed: DataFrame) -> DataFrame:
+    root = shared_dir(spark, "job")
+    return _run_job(spark, topic, feed, f"{root}/lake", f"{root}/tables")
+
+
+@query
+def daily_price_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars from raw files to the fact table."""
+    return _job(spark, "daily_price", raw.bars_feed(spark, sf_dir))
+
+
+@query
+def daily_price_backfill_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backfill's load, then the daily load of the same table."""
+    root = shared_dir(spark, "job")
+    _run_job(spark, "daily_price_backfill", raw.backfill_feed(spark, sf_dir), f"{root}/lake", f"{root}/tables", 0)
+    return _run_job(spark, "daily_price", raw.bars_feed(spark, sf_dir), f"{root}/lake", f"{root}/tables", 1)
+
+
+@query
+def benchmark_index_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index bars from raw files to the fact table."""
+    return _job(spark, "benchmark_index", relabel_index(raw.index_feed(spark, sf_dir)))
+
+
+@query
+def company_metadata_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company profiles from raw files to the dimension; columns the source lacks are null."""
+    current = _job(spark, "company_metadata", raw.company_feed(spark, sf_dir))
+    return current.select("ticker", "symbol", "exchange", "founded_date", "charter_capital", "listing_price", "as_of_date")
+
+
+@query
+def ticker_list_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers and groups from raw files to the dimension."""
+    return _job(spark, "ticker_list", raw.ticker_feed(spark, sf_dir))
+
+
+@query
+def financial_ratio_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios under any spelling to the fact table; a metric no record carries stays null."""
+    current = _job(spark, "financial_ratio", raw.ratio_feed(spark, sf_dir))
+    return current.select("ticker", "year", "quarter", "pe", "pb", "ps", "ev_ebitda", "roe")
+
+
+@query
+def intraday_price_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute bars from raw files to the fact table."""
+    return _job(spark, "intraday_price", _five_minute_feed(spark, sf_dir))
+
+
 # --- keyed tables ------------------------------------------------------------
 
 
