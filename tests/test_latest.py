@@ -16,7 +16,7 @@ from plans import plan_of
 from tickloom.functions.columns import fill_nulls
 from tickloom.operators.latest import conform, keyed_replace, one_per_key
 from tickloom.plans.warehouse import publish_calendar, publish_indicators
-from tickloom.sinks.tables import PARTITION, append_load, compact, read_current, read_loads
+from tickloom.sinks.tables import PARTITION, append_load, compact, expire, read_current, read_loads
 from tickloom.specs import TABLES
 
 ROWS = [("A", 1, s, f"v{s}") for s in range(5)] + [("B", 2, 1, "x"), ("B", 2, 1, "y"), (None, None, 0, None)]
@@ -117,9 +117,14 @@ def test_published_table_replay_replace_and_compaction(spark, path):
     february = read_current(spark, target, spec, parts=["202402"])
     assert february.count() == 2
     assert re.search(r"PartitionFilters: \[[^\]]*part_key", plan_of(february))
-    compact(spark, target, path("compacted"), spec)
-    assert tuples(read_current(spark, path("compacted"), spec)) == tuples(current)
-    assert read_loads(spark, path("compacted"), spec).count() == 3
+    last = compact(spark, target, spec)
+    assert last == compact(spark, target, spec)
+    assert tuples(read_current(spark, target, spec)) == tuples(current)
+    assert read_loads(spark, target, spec).count() == 3
+    append_load(current, target, spec, last + 1)
+    assert tuples(read_current(spark, target, spec)) == tuples(current) and read_loads(spark, target, spec).count() == 6
+    expire(spark, target)
+    assert tuples(read_current(spark, target, spec)) == tuples(current) and read_loads(spark, target, spec).count() == 6
 
 
 def test_version_column_beats_load_order(spark, path):

@@ -17,7 +17,7 @@ FILL_TIMESTAMP = "1970-01-01 00:00:00"
 FILL_FLAG = False
 
 # Bookkeeping columns of the raw records, never published.
-TECHNICAL_COLUMNS = ("type", "kafka_ingested_at")
+TECHNICAL_COLUMNS = ("type", "kafka_ingested_at", "dt_hour")
 
 _PRIMITIVE = (T.IntegralType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType, T.NullType)
 

@@ -81,7 +81,7 @@ def run(
     unreadable records are counted while the rows are written; the lake is parsed once more only if
     there are unreadable records to keep under ``quarantine_root``. Without one they are counted and logged.
     """
-    options = {"any_case": True} if spec.any_case else {}
+    options = {"any_case": spec.any_case, "with_hour": True} if scan is scan_topic else {}
     raw = scan(spark, lake_root, spec.topic, hour, spec.raw_schema, **options)
     if raw.isEmpty():
         logger.info("%s: no data under %s", spec.topic, hour or "any hour")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickloom.functions.temporal import calendar_parts
 from tickloom.operators.history import validity_intervals
@@ -12,6 +13,9 @@ from tickloom.operators.latest import one_per_key
 from tickloom.sinks.tables import publish
 
 
+SHORT_SMA, SHORT_RSI = 10, 3  # days of the daily indicators
+
+
 def calendar(dates: DataFrame, column: str = "date_id") -> DataFrame:
     """One row per day between the first and the last date found.
 
@@ -45,7 +49,19 @@ def long_term_indicators(daily: DataFrame) -> DataFrame:
 
 def short_term_indicators(daily: DataFrame) -> DataFrame:
     """RSI(3) and SMA(10) of daily bars, refreshed every day."""
-    return moving_indicators(daily, sma=(10,), rsi=(3,), one_per_day=True)
+    return moving_indicators(daily, sma=(SHORT_SMA,), rsi=(SHORT_RSI,), one_per_day=True)
+
+
+def newer_indicators(daily: DataFrame, since: Column) -> DataFrame:
+    """``short_term_indicators`` of the days from ``since`` on.
+
+    Of older days only the last rows of each ticker that a window reaches back to are kept, so
+    an append reads the new days and the table's last partitions (filter ``daily`` to them), not the history.
+    """
+    reach = max(SHORT_SMA - 1, SHORT_RSI)
+    back = Window.partitionBy("ticker").orderBy(F.col("time").desc())
+    older = daily.where(F.col("time") < since).withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= reach)
+    return short_term_indicators(older.drop("_back").unionByName(daily.where(F.col("time") >= since))).where(F.col("time") >= since)
 
 
 def stamp_calculation(df: DataFrame) -> DataFrame:

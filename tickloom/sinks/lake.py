@@ -26,8 +26,10 @@ def write_records(
     """
     stamped, rows = counted(df.withColumn("dt_hour", F.lit(hour)) if hour else df)
     folders = ["dt_hour", "ticker"] if by_ticker else ["dt_hour"]
+    # One folder for all rows needs even files only; a key would send them all to one task first.
+    spread = folders if hour is None or by_ticker else []
     (
-        stamped.hint("rebalance", *folders)
+        stamped.hint("rebalance", *spread)
         .write.mode("append")
         .partitionBy(*folders)
         .option("ignoreNullFields", "false")

@@ -1,8 +1,9 @@
 """Published tables as Parquet: appended per load, resolved to one row per key.
 
 A load is written to its own ``batch_id=<n>`` folder, so writing the same load
-again replaces it and nothing else. Readers merge the loads by key; compaction
-writes the merged rows to a fresh location.
+again replaces it and nothing else. Readers merge the loads by key. Compaction writes the
+merged loads up to some number beside them, in ``<table>.compacted/base=<n>``; from then on readers take
+that base and the loads after it.
 """
 
 from __future__ import annotations
@@ -64,10 +65,26 @@ def _columns_ddl(spec: TableSpec) -> str:
     return columns if spec.partition_time is None else f"{columns}, {PARTITION} string"
 
 
+def _numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the finished folders ``<prefix>=<n>`` under ``path``."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{prefix}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def _compacted(path: str) -> str:
+    return f"{path.rstrip('/')}.compacted"
+
+
 def read_loads(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """All appended rows, with ``batch_id``; a filter on it or on the partition
-    key skips folders."""
-    return spark.read.schema(f"{_columns_ddl(spec)}, batch_id bigint").parquet(path)
+    """The last base and all loads after it, with ``batch_id``; a filter on it or on the
+    partition key skips folders."""
+    loads = spark.read.schema(f"{_columns_ddl(spec)}, batch_id bigint").parquet(path)
+    bases = _numbered(spark, _compacted(path), "base")
+    if not bases:
+        return loads
+    base = spark.read.schema(_columns_ddl(spec)).parquet(f"{_compacted(path)}/base={bases[-1]}")
+    return loads.where(F.col("batch_id") > bases[-1]).unionByName(base.withColumn("batch_id", F.lit(bases[-1]).cast("bigint")))
 
 
 def read_current(spark: SparkSession, path: str, spec: TableSpec, parts: Sequence[str] = ()) -> DataFrame:
@@ -84,6 +101,29 @@ def read_current(spark: SparkSession, path: str, spec: TableSpec, parts: Sequenc
     return merged.select(*[name for name, _ in spec.columns])
 
 
-def compact(spark: SparkSession, path: str, target: str, spec: TableSpec) -> None:
-    """Merge every load of ``path`` into one load of the new table ``target``."""
-    append_load(read_current(spark, path, spec), target, spec, 0)
+def compact(spark: SparkSession, path: str, spec: TableSpec, upto: int | None = None) -> int | None:
+    """Merge the loads up to ``upto`` (by default all finished ones) into a base; gives its number.
+
+    Nothing is moved or removed, so readers that started earlier are not disturbed, and later
+    loads keep landing in ``path``. ``expire`` removes what the base has replaced. Repeating it, or naming a
+    number no newer than the last base, changes nothing.
+    """
+    loads = [n for n in _numbered(spark, path, "batch_id") if upto is None or n <= upto]
+    bases = _numbered(spark, _compacted(path), "base")
+    if not loads or bases and loads[-1] <= bases[-1]:
+        return bases[-1] if bases else None
+    rows = read_loads(spark, path, spec).where(F.col("batch_id") <= loads[-1])
+    merged = one_per_key(rows.drop(PARTITION), spec.keys, (*spec.version, "batch_id"))
+    _write(merged.select(*[name for name, _ in spec.columns]), f"{_compacted(path)}/base={loads[-1]}", spec)
+    return loads[-1]
+
+
+def expire(spark: SparkSession, path: str) -> None:
+    """Delete the loads that the last base holds, and older bases. For when no reader still needs them."""
+    bases = _numbered(spark, _compacted(path), "base")
+    if not bases:
+        return
+    old = [f"{path.rstrip('/')}/batch_id={n}" for n in _numbered(spark, path, "batch_id") if n <= bases[-1]]
+    for folder in [*old, *[f"{_compacted(path)}/base={n}" for n in bases[:-1]]]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -45,29 +45,35 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, recursi
     return reader.json(path)
 
 
-def read_any_case(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _hour() -> Column:
+    return F.regexp_extract("_metadata.file_path", r"(?:dt_hour=)?([^/]*)/[^/]*$", 1)
+
+
+def read_any_case(spark: SparkSession, path: str, schema: str, with_hour: bool = False) -> DataFrame:
     """JSON files whose field names come in any case, with blanks around or inside them.
 
     All values are read as text. ``_keys`` lists what each record carries, so that a field that
     is null can be told from one that is not there. Unreadable records keep their text.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
+    hour = [_hour().alias("dt_hour")] if with_hour else []
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", *hour).where(F.trim("value") != "")
+    kept = ["value", *["dt_hour"] * with_hour]
     many = F.from_json("value", "array<map<string,string>>")
     one = F.array(F.from_json("value", "map<string,string>"))
     records = F.explode_outer(F.when(F.ltrim("value").startswith("["), many).otherwise(one))
-    fields = lines.select("value", records.alias("_record"))
+    fields = lines.select(*kept, records.alias("_record"))
     clean = F.transform(
         F.map_entries("_record"),
         lambda e: F.struct(F.replace(F.lower(F.trim(e["key"])), F.lit(" "), F.lit("_")).alias("key"), e["value"].alias("value")),
     )
-    fields = fields.select("value", F.col("_record").isNull().alias("_bad"), clean.alias("_fields"))
+    fields = fields.select(*kept, F.col("_record").isNull().alias("_bad"), clean.alias("_fields"))
 
     def value_of(name: str) -> Column:
         # The last value of a repeated field counts, as with exact names.
         return F.try_element_at(F.filter("_fields", lambda e: e["key"] == name), F.lit(-1))["value"].alias(name)
 
     names = StructType.fromDDL(schema).names
-    return fields.select(*map(value_of, names), F.col("_fields.key").alias(KEYS), F.when(F.col("_bad"), F.col("value")).alias(CORRUPT))
+    return fields.select(*map(value_of, names), *kept[1:], F.col("_fields.key").alias(KEYS), F.when(F.col("_bad"), F.col("value")).alias(CORRUPT))
 
 
 def carried(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -86,11 +92,17 @@ def scan_topic(
     schema: str | None = None,
     hive_style: bool = True,
     any_case: bool = False,
+    with_hour: bool = False,
 ) -> DataFrame:
-    """Every record of a topic, or of one of its hours."""
+    """Every record of a topic, or of one of its hours.
+
+    ``with_hour`` adds the ingest hour, which is the name of a file's folder, as ``dt_hour``.
+    """
+    path = topic_path(root, topic, hour, hive_style)
     if any_case:
-        return read_any_case(spark, topic_path(root, topic, hour, hive_style), schema)
-    return read_json(spark, topic_path(root, topic, hour, hive_style), schema, recursive=True)
+        return read_any_case(spark, path, schema, with_hour)
+    records = read_json(spark, path, schema, recursive=True)
+    return records.select("*", _hour().alias("dt_hour")) if with_hour else records
 
 
 def scan_partitioned(spark: SparkSession, root: str, topic: str, schema: str, hour: str | None = None) -> DataFrame:

@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def broker_options(servers: str, topics: Sequence[str], starting: str) -> dict[str, str]:
+# Messages that one micro-batch takes at most: a first batch from ``earliest`` is not the whole topic.
+MOST_OFFSETS = 5_000_000
+
+
+def broker_options(servers: str, topics: Sequence[str], starting: str, most_offsets: int = MOST_OFFSETS) -> dict[str, str]:
     return {
+        "maxOffsetsPerTrigger": str(most_offsets),
         "kafka.bootstrap.servers": servers,
         "subscribe": ",".join(topics),
         "startingOffsets": starting,

@@ -240,7 +240,7 @@ class DatasetSpec:
     transform: Callable[[DataFrame], DataFrame]
     keys: tuple[str, ...] = ("ticker", "time")
     # Newest value of these columns wins; the rest of the row breaks ties.
-    stamp: tuple[str, ...] = ("kafka_ingested_at",)
+    stamp: tuple[str, ...] = ("kafka_ingested_at", "dt_hour")
     fill_numeric: bool = True
     # Field names come in any case, and the ``optional`` ones may be wholly absent.
     any_case: bool = False
@@ -257,7 +257,7 @@ DATASETS: dict[str, DatasetSpec] = {
             _text_schema(*(name for name, _ in _COMPANY_COLUMNS)),
             type_company,
             ("ticker",),
-            ("as_of_date", "kafka_ingested_at"),
+            ("as_of_date", "kafka_ingested_at", "dt_hour"),
         ),
         DatasetSpec("daily_price", "fact_daily_price", _text_schema(*_BAR_FIELDS), type_ohlcv),
         DatasetSpec("daily_price_backfill", "fact_daily_price", _text_schema(*_BAR_FIELDS), type_ohlcv),

@@ -18,6 +18,7 @@ from tickloom.specs import TABLES, TICK_SCHEMA
 
 logger = logging.getLogger(__name__)
 
+# Fixed value: the time between two micro-batches.
 TRIGGER = "15 seconds"
 TICK_TABLE = TABLES["fact_intraday_tick"]
 

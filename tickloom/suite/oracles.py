@@ -365,3 +365,19 @@ FROM ({ORACLES['company_metadata_normalize']})""",
     "financial_ratio_job": f"""
 SELECT ticker, year, quarter, pe, pb, CAST(NULL AS DECIMAL(20,4)) AS ps, ev_ebitda, roe FROM ({ORACLES['financial_ratio_normalize']})""",
 }
+
+ORACLES |= {
+    "compacted_plus_later_loads": f"""
+SELECT {_BARS.replace(', volume', '')}, CASE WHEN ticker IN (SELECT ticker FROM (SELECT DISTINCT ticker FROM ({ORACLES['daily_price_normalize']})) WHERE CAST(substr(ticker, 2) AS INTEGER) % 3 = 0)
+       AND (ticker, time) IN (SELECT (ticker, time) FROM ({ORACLES['daily_price_normalize']})) THEN volume + 1 ELSE volume END AS volume
+FROM ({ORACLES['published_table_current']})""",
+    "later_hour_wins": f"SELECT ticker, time, open FROM ({ORACLES['daily_price_normalize']}) WHERE time > TIMESTAMP '1970-01-01'",
+    "published_row_counts": f"""
+SELECT 'ticker_list' AS topic, count(*) AS reported FROM ({ORACLES['ticker_list_normalize']})
+UNION ALL SELECT 'company_metadata', count(*) FROM ({ORACLES['company_metadata_normalize']})
+UNION ALL SELECT 'daily_price', count(*) FROM ({ORACLES['daily_price_normalize']})""",
+    "ingest_time_default": f"""
+WITH {_TRADES}
+SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN time END AS ingested_at, event_id % 3 = 0 AS filled FROM trades""",
+    "indicators_short_term_incremental": ORACLES["indicators_short_term"],
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.columns import normalize_names
+from tickloom.functions.columns import default_now, normalize_names
 from tickloom.functions.temporal import flexible_date, hour_bucket
 from tickloom.operators.bars import daily_bars, intraday_bars
 from tickloom.operators.history import version_history
@@ -19,11 +19,11 @@ from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.operators.quality import batch_sizes, quality_report
 from tickloom.plans.batch import normalize, normalize_loads, run_topic, typed_rows
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows, validate
-from tickloom.plans.warehouse import calendar, company_history, long_term_indicators, publish_company_history, short_term_indicators
+from tickloom.plans.warehouse import calendar, company_history, long_term_indicators, newer_indicators, publish_company_history, short_term_indicators
 from tickloom.session import apply_session_conf
 from tickloom.sinks.lake import write_records
 from tickloom.sinks.messages import encode
-from tickloom.sinks.tables import PARTITION, append_load, read_current, read_loads
+from tickloom.sinks.tables import PARTITION, append_load, compact, expire, read_current, read_loads
 from tickloom.sources.lake import read_json, scan_partitioned, scan_topic, split_corrupt
 from tickloom.sources.streams import file_stream
 from tickloom.specs import DATASETS, TABLES, TICK_TOPIC
@@ -180,8 +180,10 @@ def validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run_job(spark: SparkSession, topic: str, feed: DataFrame, lake: str, warehouse: str, load: int = 0) -> DataFrame:
     """Lay the feed down in two ingest hours with broken records between, run the job, read the table."""
     hours = ("2024-01-02_16", "2024-01-02_17")
+    # The rows of a key land in one hour: between hours the later one would win.
+    key = [c for c in DATASETS[topic].keys if c in feed.columns]
     for i, hour in enumerate(hours):
-        write_records(feed.where(F.pmod(F.xxhash64(*feed.columns), F.lit(2)) == i), lake, topic, hour)
+        write_records(feed.where(F.pmod(F.xxhash64(*key), F.lit(2)) == i), lake, topic, hour)
     broken = spark.range(3).select(F.concat(F.lit('{"ticker": "X'), F.col("id").cast("string"), F.lit('", ')).alias("value"))
     broken.write.mode("append").text(f"{lake}/topic={topic}/dt_hour={hours[0]}")
     result = run_topic(spark, topic, lake, warehouse, load, quarantine_root=f"{lake}/held")
@@ -611,6 +613,63 @@ def incremental_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted_rows(spark, f"{root}/sent", schema.removesuffix(", poll int")).drop("batch_id")
 
 
+@query
+def compacted_plus_later_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backfill and daily loads compacted, then a load that corrects a third of the tickers."""
+    path, spec = shared_dir(spark, "fact_daily_price"), TABLES["fact_daily_price"]
+    feeds = (("daily_price_backfill", raw.backfill_feed), ("daily_price", raw.bars_feed))
+    for load, (topic, feed) in enumerate(feeds):
+        append_load(normalize(feed(spark, sf_dir), DATASETS[topic]), path, spec, load)
+    compact(spark, path, spec)
+    fixed = normalize(raw.bars_feed(spark, sf_dir), DATASETS["daily_price"]).where(F.substring("ticker", 2, 9).cast("int") % 3 == 0)
+    append_load(fixed.withColumn("volume", F.col("volume") + 1), path, spec, 2)
+    expire(spark, path)
+    return read_current(spark, path, spec)
+
+
+@query
+def later_hour_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fetches of the same bars, the later one lower: it is what the table shows."""
+    root, topic = shared_dir(spark, "hours"), "daily_price"
+    bars = raw.bars_feed(spark, sf_dir).where("time IS NOT NULL")
+    write_records(bars.withColumn("open", F.col("open") + 1000), f"{root}/lake", topic, "2024-01-02_17")
+    write_records(bars, f"{root}/lake", topic, "2024-01-03_17")
+    run_topic(spark, topic, f"{root}/lake", f"{root}/tables", 0)
+    current = read_current(spark, f"{root}/tables/fact_daily_price", TABLES["fact_daily_price"])
+    return current.select("ticker", "time", "open")
+
+
+@query
+def published_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the jobs report as written, against the tables."""
+    root = shared_dir(spark, "counts")
+    feeds = {"ticker_list": raw.ticker_feed, "company_metadata": raw.company_feed, "daily_price": raw.bars_feed}
+    reported = []
+    for topic, feed in feeds.items():
+        write_records(feed(spark, sf_dir), f"{root}/lake", topic, "2024-01-02_17")
+        reported.append((topic, run_topic(spark, topic, f"{root}/lake", f"{root}/tables", 0).rows))
+    return spark.createDataFrame(reported, "topic string, reported bigint")
+
+
+@query
+def ingest_time_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of which some lack an ingest time: the load time stands in for it."""
+    known = F.when(F.col("event_id") % 3 != 0, F.col("time"))
+    stamped = default_now(raw.trades(spark, sf_dir).withColumn("ingested_at", known))
+    return stamped.select("event_id", "ingested_at", (F.col("ingested_at") != F.col("time")).alias("filled")).select(
+        "event_id", F.when(~F.col("filled"), F.col("ingested_at")).alias("ingested_at"), "filled"
+    )
+
+
+@query
+def indicators_short_term_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily indicators of the history, then those of later days from the rows they need alone."""
+    closes = _daily_closes(spark, sf_dir)
+    cut = F.lit("1998-01-01").cast("timestamp")
+    history = short_term_indicators(closes.where(F.col("time") < cut))
+    return _rounded(history.unionByName(newer_indicators(closes, cut)), "rsi_3", "sma_10")
+
+
 @query
 def published_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company profiles written again with the same date: the later load wins, whatever it says."""
