@@ -142,6 +142,7 @@ def test_connector_options():
         "subscribe": "benchmark_index,company_metadata,daily_price,daily_price_backfill,intraday_price,ticker_list",
         "startingOffsets": "earliest",
         "failOnDataLoss": "false",
+            "maxOffsetsPerTrigger": "5000000",
     }
     assert read_options("jdbc:x", "t", {"user": "u"}) == {"url": "jdbc:x", "dbtable": "t", "fetchsize": "10000", "user": "u"}
     split = read_options("jdbc:x", "t", {}, split_column="id", bounds=(0, 100), splits=8)
