@@ -31,13 +31,13 @@ BLOCK_ROWS = 512  # rows of one key compared in one piece
 def learn_rotation(unit: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
     """Directions whose signs are the bits: principal axes, rotated to lose least by quantisation."""
     dim = unit.shape[1]
-    _, _, axes = np.linalg.svd(unit - unit.mean(0), full_matrices=True)
-    projected = unit @ axes.T
+    _, axes = np.linalg.eigh(np.cov(unit, rowvar=False).reshape(dim, dim) if len(unit) > 1 else np.eye(dim))
+    projected = unit @ axes
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0]
     for _ in range(rounds):
         u, _, vt = np.linalg.svd(np.where(projected @ rotation >= 0, 1.0, -1.0).T @ projected)
         rotation = (u @ vt).T
-    return axes.T @ rotation
+    return axes @ rotation
 
 
 def table_plan(rows: int, dim: int, threshold: float) -> tuple[int, int]:
