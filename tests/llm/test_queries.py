@@ -1,0 +1,87 @@
+"""The registered queries on the smallest tables: SQL, brute force, and the pipeline."""
+
+from __future__ import annotations
+
+import ast
+import pathlib
+import zlib
+
+import brute
+import pyarrow.parquet as pq
+import pytest
+from compare import connect, differences
+
+import corpus_pipeline
+from tickloom.llm import common, packing
+from tickloom.llm.queries import QUERIES, SQL
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def rows(name):
+    return pq.read_table(f"{SF_DIR}/{name}.parquet").to_pylist()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(spark, name):
+    found = differences(QUERIES[name](spark, SF_DIR), connect(SF_DIR), SQL[name])
+    assert found is None, found
+
+
+def test_near_vectors(spark):
+    out = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op1_itq_near_duplicates"](spark, SF_DIR).collect()}
+    assert out == brute.near_vectors([(r["vec_id"], r["embedding"], r["label"]) for r in rows("embeddings")])
+
+
+def test_similar_sets(spark):
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op8_ngram_join"](spark, SF_DIR).collect()}
+    assert out == brute.similar_sets({r["doc_id"]: r["text"] for r in rows("documents")})
+
+
+def test_repeats(spark):
+    docs = rows("documents")
+    want = dict(zip((r["doc_id"] for r in docs), brute.repeats([r["text"] for r in docs], 400)))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op10_repeats"](spark, SF_DIR).collect()} == want
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    docs = common.table(spark, SF_DIR, "documents")
+    kept = common.stored(corpus_pipeline.drop_toxic(spark, docs, SF_DIR), "t")
+    assert kept.columns == docs.columns and 0.8 * docs.count() < kept.count() <= docs.count()
+    before = {r.doc_id: r.text for r in kept.collect()}
+    unique = common.stored(corpus_pipeline.drop_near_duplicates(spark, kept, SF_DIR), "n")
+    classes = brute.similar_sets(before, 5, 80)
+    assert {r.doc_id for r in unique.collect()} == {i for i, (n, c) in classes.items() if i == c} and unique.columns == docs.columns
+    texts = {r.doc_id: r.text for r in unique.collect()}
+    cleaned = common.stored(corpus_pipeline.drop_repeats(spark, unique, SF_DIR), "r")
+    want = dict(zip(texts, brute.repeats(list(texts.values()), corpus_pipeline.PASSAGE_BYTES)))
+    left = {r.doc_id: r for r in cleaned.collect()}
+    assert set(left) == {i for i, w in want.items() if w[0] > w[1] or not w[1]} and cleaned.columns == docs.columns
+    assert all((left[i].text == texts[i]) == (want[i][1] == 0) and left[i].n_chars == len(left[i].text) for i in left if want[i][1])
+    packed = corpus_pipeline.pack(spark, cleaned, SF_DIR).collect()
+    own = packing.tokenizer(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    assert {r.doc_id for r in packed} == set(left)
+    for r in packed[:50]:
+        ids = own.encode_batch([left[r.doc_id].text])[0] + (2).to_bytes(4, "little")
+        assert zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+
+
+def test_pipeline_stages_on_empty_and_null_rows(spark):
+    docs = common.table(spark, SF_DIR, "documents")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b c", None, None, 5)], docs.schema)
+    for frame in (docs.limit(0), odd):
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, frame, SF_DIR).count() >= 0
+
+
+def test_native_operators_run_no_python(spark):
+    for name in ("op4_perspectives", "op9_license_scan"):
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "InArrow" not in plan and "Pandas" not in plan
+
+
+def test_no_local_checkpoints_or_cross_joins():
+    root = pathlib.Path(__file__).resolve().parents[2]
+    for file in [*(root / "tickloom" / "llm").glob("*.py"), root / "corpus_pipeline.py"]:
+        for node in ast.walk(ast.parse(file.read_text())):
+            assert not (isinstance(node, ast.Attribute) and node.attr in {"localCheckpoint", "crossJoin", "collect", "toLocalIterator", "rdd"}), file.name
