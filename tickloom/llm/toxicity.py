@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import prepare, stored
 from tickloom.llm.rolling import Prefix, pieces
+from tickloom.llm.shipping import shipped, unsqueezed
 
 BEGINNINGS = (6, 5, 4)  # bytes of the word beginnings behind whole words
-DISCOUNT = 4.0  # least discount of a count
+DISCOUNT = 2.0  # least discount of a token count; half as much of a count of words
 KEPT = 1 << 17  # the discount is at least this share of a class, so no more expressions of it are kept
-STRONG = 1.5  # a word speaks for toxicity from this log-ratio on
+STRONG = (1.5, 3.0, 4.5)  # log-ratios from which on a word speaks for toxicity, more or less strongly
+FEATURES = 2 + 2 * len(STRONG)
 FIT_ROWS = 20_000  # labelled rows for the logistic curve, those with the smallest hashes
 
 
@@ -47,13 +49,13 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray
 
 
 def counted(labelled: DataFrame) -> DataFrame:
-    """``word, b0.., toxic, ordinary``: tokens of every word of ``labelled(text, toxic)`` in each class."""
+    """``word, b0.., toxic, ordinary``: tokens of every word of shipped texts with ``toxic`` in each class."""
     names = ["word", *(f"b{i}" for i in range(len(BEGINNINGS)))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for row, data, at in pieces(batch.column("text")):
+            for row, data, at in pieces(unsqueezed(batch)):
                 texts, hashes = words(data, at)
                 word, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
                 bad = toxic[texts + row] == 1
@@ -61,7 +63,7 @@ def counted(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(h[first].view(np.int64)) for h in hashes), *map(pa.array, sums)], [*names, "toxic", "ordinary"])
 
     fields = ", ".join(f"{n} long" for n in [*names, "toxic", "ordinary"])
-    parts = labelled.select("text", "toxic").mapInArrow(count, fields)
+    parts = labelled.select("bytes", "squeezed", "toxic").mapInArrow(count, fields)
     return parts.groupBy(*names).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -133,15 +135,18 @@ def learn(vocabulary: DataFrame) -> list[Level]:
 
 
 def features(data: np.ndarray, at: np.ndarray, levels: list[Level]) -> np.ndarray:
-    """Length-normalised log-ratio of each text: over all words, over the strong ones, and their sum."""
+    """Length-normalised log-ratio of each text over all words and over the strong ones, the sums of those, and the length."""
     texts, hashes = words(data, at)
     ratio = np.zeros(len(texts))
     for level, h in zip(reversed(levels), reversed(hashes)):
         ratio = level.of(h, ratio)
     n = len(at) - 1
     counts = np.maximum(np.bincount(texts, minlength=n), 1)
-    strong = np.bincount(texts, np.where(ratio > STRONG, ratio, 0), n)
-    return np.stack([np.bincount(texts, ratio, n) / counts, np.log(strong / counts + 1e-3), np.log1p(strong), np.log(counts)], 1)
+    out = [np.bincount(texts, ratio, n) / counts, np.log(counts)]
+    for least in STRONG:
+        strong = np.bincount(texts, np.where(ratio > least, ratio, 0), n)
+        out += [np.log(strong / counts + 1e-3), np.log1p(strong)]
+    return np.stack(out, 1)
 
 
 @dataclass
@@ -155,7 +160,7 @@ class Curve:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Curve:
         if not len(x):
-            x, y = np.zeros((1, 4)), np.zeros(1)
+            x, y = np.zeros((1, FEATURES)), np.zeros(1)
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
         z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
         w = np.zeros(z.shape[1])
@@ -188,19 +193,23 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % 5
     out = F.coalesce(held_out if held_out is not None else fold == 0, F.lit(False))
     truth = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
-    known = docs.where(~out).select(F.col(key), fold.alias("fold"), F.col(text).cast("string").alias("text")).join(truth, key)
-    known = stored(known.select(F.col(key).alias("key"), "fold", "text", "toxic"), "labelled")
+    truth = stored(truth.withColumnRenamed(key, "id"), "labels")
+    teachers = docs.where(~out).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    known = shipped(teachers, truth).join(truth, "id")
+    known = stored(known.withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 5), "labelled")
     levels = learn(stored(counted(known.where("fold <> 1")), "vocabulary"))
     model = spark.sparkContext.broadcast(levels)  # at most 2 * KEPT expressions a level
 
+    names = [f"f{i}" for i in range(FEATURES)]
+
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([features(data, at, model.value) for _, data, at in pieces(batch.column("text"))] or [np.zeros((0, 4))])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column("toxic")], ["a", "b", "c", "d", "toxic"])
+            x = np.concatenate([features(data, at, model.value) for _, data, at in pieces(unsqueezed(batch))] or [np.zeros((0, FEATURES))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column("toxic")], [*names, "toxic"])
 
-    sample = known.where("fold = 1").orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("text", "toxic")
-    fitted = sample.mapInArrow(examples, "a double, b double, c double, d double, toxic int").toPandas()
-    curve = Curve.fit(fitted[["a", "b", "c", "d"]].to_numpy(float), fitted["toxic"].to_numpy(float))
+    sample = known.where("fold = 1").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("bytes", "squeezed", "toxic")
+    fitted = sample.mapInArrow(examples, ", ".join([*(f"{n} double" for n in names), "toxic int"])).toPandas()
+    curve = Curve.fit(fitted[names].to_numpy(float), fitted["toxic"].to_numpy(float))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
