@@ -11,7 +11,7 @@ makes all norms equal.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import prepare
 
 SHARD_ROWS = 8192  # rows indexed together; sorted arrays are built for each shard
+STRETCHES = 256  # parts of a sorted array by which windows grow
 QUERY_ROWS = 2048  # queries that visit a shard together
 ARRAYS = 2  # sorted arrays for each dimension
 SHARE = 0.6  # of the arrays in which a row must collide to be verified
 VERIFIED = 0.2  # of a shard's rows, besides the k asked for: windows widen until so many collide often enough
-FIRST, WIDER = 0.7, 1.12  # half of a first window in standard deviations; factor from one widening to the next
+FIRST, WIDER = 0.9, 1.12  # half of a first window in standard deviations; factor from one widening to the next
 
 
 def usable(vector: Column) -> Column:
@@ -51,29 +52,47 @@ class Shard:
         order = np.argsort(projected, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, 0).T)
         self.first = max(FIRST * float(projected.std(0).mean()), 1e-12)  # half of a first window
-        self.place = np.empty((projected.shape[1], len(ids)), np.uint16)  # each row's place in each array
-        np.put_along_axis(self.place, order.T, np.arange(len(ids), dtype=np.uint16)[None, :], 1)
-
-    def search(self, query_id: int, query: np.ndarray, k: int, share: float = SHARE, verified: float = VERIFIED) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the ``k`` best rows found, best first."""
-        n, m = len(self.ids), self.place.shape[0]
-        own = self.ids == query_id
-        enough = min(n, k + int(own.sum()) + math.ceil(verified * n))
-        at = np.append(query, 0.0) @ self.axes
-        need, width = max(1, math.ceil(share * m)), self.first
-        while True:
-            low = np.array([np.searchsorted(column, x - width, "left") for column, x in zip(self.sorted, at)])
-            high = np.array([np.searchsorted(column, x + width, "right") for column, x in zip(self.sorted, at)])
-            # A row lies in a window if its place does: places wrap below the window's begin.
-            inside = (self.place - low.astype(np.uint16)[:, None]) < (high - low).astype(np.uint16)[:, None]
-            often = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16 if m > 255 else np.uint8) >= need
-            if often.sum() >= enough or (low == 0).all() and (high == n).all():
-                break
-            width *= WIDER
-        found = np.flatnonzero(often & ~own)
-        score = self.rows[found] @ query
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found][best], score[best]
+        # Each row's stretch of each array. A window is a run of stretches.
+        n = len(ids)
+        self.width = max(1, math.ceil(n / STRETCHES))
+        self.stretch = np.empty((projected.shape[1], n), np.uint8)
+        np.put_along_axis(self.stretch, order.T, (np.arange(n) // self.width).astype(np.uint8)[None, :], 1)
+
+    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First stretch and number of stretches, less one, of each query's window in each array."""
+        low, high = (np.stack([np.searchsorted(column, at[:, j] + x, side) for j, column in enumerate(self.sorted)], 1) for x, side in ((-half, "left"), (half, "right")))
+        low = np.minimum(low, len(self.ids) - 1) // self.width
+        high = np.maximum(high - 1, 0) // self.width
+        return low.astype(np.uint8), np.maximum(high - low, 0).astype(np.uint8)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its id, then ids and inner products of the ``k`` best rows found, best first."""
+        n, m = len(self.ids), len(self.stretch)
+        need, enough = max(1, math.ceil(SHARE * m)), min(n, k + 1 + math.ceil(VERIFIED * n))
+        at = np.hstack([queries, np.zeros((len(queries), 1))]) @ self.axes
+        waiting, half = np.arange(len(queries)), self.first
+        off, inside = np.empty((m, n), np.uint8), np.empty((m, n), bool)
+        while len(waiting):
+            low, wide = self.windows(at[waiting], half)
+            whole = (low == 0).all(1) & (wide >= (n - 1) // self.width).all(1)
+            still = []
+            for q, first, reach, all_in in zip(waiting.tolist(), low, wide, whole.tolist()):
+                # Stretches below a window's begin wrap around and lie beyond its end.
+                np.subtract(self.stretch, first[:, None], out=off)
+                np.less_equal(off, reach[:, None], out=inside)
+                often = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if m < 256 else np.uint16) >= need
+                if not all_in and np.count_nonzero(often) < enough:
+                    still.append(q)
+                    continue
+                found = np.flatnonzero(often)
+                found = found[self.ids[found] != query_ids[q]]
+                score = self.rows[found] @ queries[q]
+                if len(found) > k:
+                    close = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    found, score = found[close], score[close]
+                best = np.lexsort((self.ids[found], -score))[:k]
+                yield int(query_ids[q]), self.ids[found][best], score[best]
+            waiting, half = np.array(still, int), half * WIDER
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -89,8 +108,8 @@ def visit(longest: float, k: int) -> Callable[[pa.Table], pa.Table]:
         out: list[tuple] = []
         if asked.any() and not asked.all():
             shard = Shard(ids[~asked], rows[~asked], longest)
-            for query_id, query in zip(ids[asked].tolist(), rows[asked]):
-                out += [(query_id, i, s) for i, s in zip(*(x.tolist() for x in shard.search(query_id, query, k)))]
+            for query_id, found, score in shard.search(ids[asked], rows[asked], k):
+                out += [(query_id, i, s) for i, s in zip(found.tolist(), score.tolist())]
         query_id, found, score = zip(*out) if out else [()] * 3
         return pa.table({"query_id": pa.array(query_id, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
 
