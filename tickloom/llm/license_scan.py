@@ -143,3 +143,55 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES
     )
     spans = spans.select(F.col("_key").alias(key), F.col("_hash").alias("text_hash"), "template", "label", "first_word", "end_word", "votes", "coverage")
     return Scan(documents, spans)
+
+
+def scan_sql(templates: tuple = TEMPLATES) -> str:
+    """The same ``documents`` over the table of that name in SQL, with the usual phrases, k and cover."""
+    quoted = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(templates))
+    split = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+    gram = "w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]"
+    return f"""
+WITH words AS (
+  SELECT doc_id, {split} AS w FROM documents
+), templates(template, label, text) AS (
+  VALUES {quoted}
+), template_words AS (
+  SELECT template, label, {split} AS w FROM templates
+), template_grams AS (
+  SELECT template, label, n_grams, i AS t_at, {gram} AS gram
+  FROM (SELECT *, len(w) - 2 AS n_grams, unnest(range(0, len(w) - 2)) AS i FROM template_words)
+), grams AS (
+  SELECT doc_id, i AS d_at, {gram} AS gram FROM (SELECT *, unnest(range(0, len(w) - 2)) AS i FROM words WHERE len(w) >= 3)
+), hits AS (
+  SELECT DISTINCT doc_id, template, label, n_grams, d_at, t_at FROM grams JOIN template_grams USING (gram)
+), diagonals AS (
+  SELECT doc_id, template, label, n_grams, d_at - t_at AS diagonal, min(d_at) AS first_at, max(d_at) AS last_at, list(t_at) AS held
+  FROM hits GROUP BY doc_id, template, label, n_grams, d_at - t_at
+), marked AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 4 THEN 0 ELSE 1 END AS fresh FROM diagonals
+), banded AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM marked
+), bands AS (
+  SELECT doc_id, label, n_grams, min(first_at) AS first_at, max(last_at) + 3 AS end_at, len(list_distinct(flatten(list(held)))) AS held
+  FROM banded GROUP BY doc_id, template, label, n_grams, band
+), spans AS (
+  SELECT doc_id, label, held / CAST(n_grams AS DOUBLE) AS coverage FROM bands
+  WHERE held / CAST(n_grams AS DOUBLE) >= 0.6 AND end_at - first_at <= 2 * (n_grams + 3) + 4
+), found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS best FROM spans GROUP BY doc_id
+), places AS (
+  SELECT doc_id, len(w) AS n_words,
+         [i FOR i IN range(0, len(w)) IF w[i + 1] = 'mit' AND w[i + 2] = 'license'] AS mit,
+         [i FOR i IN range(0, len(w)) IF w[i + 1] = 'apache' AND w[i + 2] = 'license'] AS apache,
+         [i FOR i IN range(0, len(w)) IF w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license'] AS gpl FROM words
+), base AS (
+  SELECT doc_id, n_words, mit || apache || gpl AS every,
+         (CASE WHEN len(apache) > 0 THEN ['apache'] ELSE [] END) || (CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END)
+         || (CASE WHEN len(mit) > 0 THEN ['mit'] ELSE [] END) AS labels FROM places
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(list_min(every) AS BIGINT) AS first_word,
+       CAST(list_max(every) AS BIGINT) AS last_word, array_to_string(base.labels, ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(base.labels || coalesce(found.labels, []))), ',') AS labels,
+       CASE WHEN len(every) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM base LEFT JOIN found USING (doc_id)
+"""

@@ -118,4 +118,10 @@ QUERIES: dict[str, Query] = {
         op6_collision_search, op7_url_filters, op8_ngram_join, op9_license_scan, op10_repeats,
     )
 }
-SQL: dict[str, str] = {"op4_perspectives": perspectives.ROTATE_SQL, "op7_url_filters": URL_SQL}
+SQL: dict[str, str] = {
+    "op1_itq_near_duplicates": itq_dedup.LINKS_SQL,
+    "op4_perspectives": perspectives.ROTATE_SQL,
+    "op7_url_filters": URL_SQL,
+    "op8_ngram_join": ngram_join.SETS_SQL,
+    "op9_license_scan": license_scan.scan_sql(),
+}
