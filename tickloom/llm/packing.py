@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import prepare, stored
 
-KEPT_WORDS = 1_000_000  # words that a worker remembers
+KEPT_WORDS = 300_000  # words that a worker remembers
 GROUP_ROWS = 4096  # pieces ranked together
 
 # The vocabulary's own word pattern always ends a word between a letter and another mark, save that
@@ -158,8 +158,11 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                 heapq.heappop(spaces)
             free = -spaces[0] if spaces else 0
             if free < length:
-                put(capacity - length, left, [(length, 1)])
-                break
+                # As many new packs as these pieces need, one piece in each to begin with.
+                opened = math.ceil(left / (capacity // length))
+                put(capacity - length, opened, [(length, 1)])
+                left -= opened
+                continue
             count, pattern = packs[free].pop()
             used = min(count, left)
             if count > used:

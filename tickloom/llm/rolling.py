@@ -10,7 +10,7 @@ import pyarrow as pa
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 _BYTES = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64)
-PIECE_BYTES = 1 << 21  # texts hashed together; a longer text is hashed alone
+PIECE_BYTES = 1 << 19  # texts hashed together; a longer text is hashed alone
 
 _powers: list[np.ndarray] = []
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import prepare
 
 SPACE = "▁"
-KEPT_CHUNKS = 1_000_000  # chunks that a worker remembers
+KEPT_CHUNKS = 300_000  # chunks that a worker remembers
 KEPT_LENGTH = 64  # longer chunks are encoded anew each time
 
 
