@@ -12,7 +12,8 @@ kept, never all pairs of a group.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import components, prepare, stored
 from tickloom.llm.grouped import batched, key_groups
 from tickloom.llm.rolling import ODD, Prefix, mix, pieces
+from tickloom.llm.shipping import shipped, unsqueezed
 
-CELLS = 1 << 18  # counters of the n-gram statistics, whatever the corpus
-STRIPE = 1 << 12  # counters summed together
+CELLS = 1 << 21  # counters of the n-gram statistics, whatever the corpus
+STRIPE = 1 << 16  # counters summed together
+HELD_GRAMS = 1 << 20  # n-grams whose cells are counted at once
 BLOCK_SETS = 1024  # sets of one centre compared in one piece
-WIDTH = 6  # bytes that stand for an n-gram in a stored set
 
 
 def gram_hashes(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,16 +51,17 @@ def gram_hashes(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, n
     texts = np.searchsorted(at, starts, "right") - 1
     counts = np.bincount(texts, minlength=len(at) - 1)
     begin = np.cumsum(counts) - counts
-    total = np.zeros(max(len(words) - n + 1, 0), np.uint64)
+    runs = max(len(words) - n + 1, 0)
+    total = np.zeros(runs, np.uint64)
     for j in range(n):
-        total = mix(total + words[j : len(words) - n + 1 + j] * ODD + np.uint64(j + 1))
-    whole = (texts[: len(total)] == texts[n - 1 :]) if len(total) else np.zeros(0, bool)
+        total = mix(total + words[j : j + runs] * ODD + np.uint64(j + 1))
+    whole = (texts[:runs] == texts[n - 1 :]) if runs else np.zeros(0, bool)
     short = np.flatnonzero((counts > 0) & (counts < n))
     small = np.zeros(len(short), np.uint64)
     for j in range(n - 1):
         more = counts[short] > j
         small[more] = mix(small[more] + words[begin[short[more]] + j] * ODD + np.uint64(100 + j))
-    return np.concatenate([total[whole], small]), np.concatenate([texts[: len(total)][whole], short])
+    return np.concatenate([total[whole], small]), np.concatenate([texts[:runs][whole], short])
 
 
 def cells(hashes: np.ndarray) -> np.ndarray:
@@ -69,29 +72,36 @@ def gram_counts(texts: DataFrame, n: int) -> np.ndarray:
     """How often n-grams of each cell occur in all texts: ``CELLS`` numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total, held = np.zeros(CELLS, np.int64), []
         for batch in batches:
             for _, data, at in pieces(batch.column("text")):
-                total += np.bincount(cells(gram_hashes(data, at, n)[0]), minlength=CELLS)
+                held.append(cells(gram_hashes(data, at, n)[0]))
+                if sum(map(len, held)) >= HELD_GRAMS:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
         parts = total.reshape(-1, STRIPE)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(parts)), pa.int32()), pa.array([int(total.sum()) % 16] * len(parts), pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())],
+            [pa.array(range(len(parts)), pa.int32()), pa.array([int(total.sum()) % 16] * len(parts), pa.int32()), pa.array([squeeze(p) for p in parts], pa.binary())],
             ["stripe", "salt", "counts"],
         )
 
-    def adding(kind: type) -> Callable[[pa.Table], pa.Table]:
-        def add(group: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(b, kind).astype(np.int64) for b in group["counts"].to_pylist())
-            return pa.table({"stripe": group["stripe"][:1], "salt": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def squeeze(counts: np.ndarray) -> bytes:
+        return pa.compress(counts.tobytes(), "zstd", asbytes=True)
 
-        return add
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(STRIPE, np.int64)
+        for part in group["counts"].to_pylist():
+            total += np.frombuffer(pa.decompress(part, 8 * STRIPE, "zstd"), np.int64)
+        return pa.table({"stripe": group["stripe"][:1], "salt": pa.array([0], pa.int32()), "counts": pa.array([squeeze(total)], pa.binary())})
 
     fields = "stripe int, salt int, counts binary"
-    parts = texts.select("text").mapInArrow(count, fields).groupBy("stripe", "salt").applyInArrow(adding(np.uint32), fields)
-    parts = parts.groupBy("stripe").applyInArrow(adding(np.int64), fields).toPandas()  # CELLS numbers in all
+    parts = texts.select("text").mapInArrow(count, fields).groupBy("stripe", "salt").applyInArrow(add, fields)
+    parts = parts.groupBy("stripe").applyInArrow(add, fields).toPandas()  # CELLS numbers in all
     out = np.zeros((CELLS // STRIPE, STRIPE), np.int64)
     for stripe, got in zip(parts["stripe"], parts["counts"]):
-        out[stripe] = np.frombuffer(got, np.int64)
+        out[stripe] = np.frombuffer(pa.decompress(got, 8 * STRIPE, "zstd"), np.int64)
     return out.reshape(-1)
 
 
@@ -114,12 +124,6 @@ def ordered_sets(data: np.ndarray, at: np.ndarray, n: int, classes: np.ndarray)
     return out
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """The leading ``WIDTH`` bytes of each 60-bit number, in order."""
-    short = (tokens >> np.uint64(60 - 8 * WIDTH)).astype(">u8")
-    return short.view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()
-
-
 def node_of(tokens: np.ndarray) -> int:
     """A number for a set."""
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -182,14 +186,10 @@ class Trie:
             stack += [(c, overlap) for c in children]
 
 
-def trie_links(sets: list[bytes], asks: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], asks: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Links that join the components of some sets; only sets that ``asks`` marks look for partners."""
-    order = sorted(range(len(sets)), key=sets.__getitem__)
-    arrays = []
-    for i in order:
-        wide = np.zeros((len(sets[i]) // WIDTH, 8), np.uint8)
-        wide[:, 8 - WIDTH :] = np.frombuffer(sets[i], np.uint8).reshape(-1, WIDTH)
-        arrays.append(wide.view(">u8").ravel().astype(np.uint64))
+    order = sorted(range(len(sets)), key=[t.astype(">u8").tobytes() for t in sets].__getitem__)
+    arrays = [sets[i] for i in order]
     trie = Trie(arrays, np.array([len(a) for a in arrays]))
     component, asks, all_ask = component[order].copy(), asks[order], bool(asks.all())
     for q in np.flatnonzero(asks).tolist():
@@ -211,7 +211,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    # 16 classes of rarity for a fixed number of cells: 256 kB, whatever the corpus.
+    # 16 classes of rarity for a fixed number of cells: 2 MB, whatever the corpus.
     classes = spark.sparkContext.broadcast(rarity(gram_counts(rows, n)).astype(np.uint8))
 
     def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -233,27 +233,41 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
             )
 
     known = stored(rows.mapInArrow(prefixes, "id long, node long, size long, prefix array<long>"), "prefixes")
-    nodes = known.where("size > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("prefix").alias("prefix"))
-    grams = nodes.select("node", F.explode("prefix").alias("gram"))
-    centres = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").select("gram", "centre")
-    members = stored(grams.join(centres, "gram").select("node", "centre").distinct(), "members")
-
-    # Whole sets, of those texts alone that meet another: one text for each set.
-    least = known.where("size > 0").groupBy("node").agg(F.min("id").alias("id"))
-    wanted = least.join(members.select("node").distinct(), "node", "left_semi").select("id")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(node_of(t), packed(t)) for t in sets_of(batch) if len(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "grams"])
+    nodes = known.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    grams = nodes.select("node", F.floor(F.log("size") / (1.0001 * math.log(100 / percent))).cast("int").alias("band"), F.explode("prefix").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    active = stored(grams.join(shared, "gram"), "shared-grams")
+    # Similar sets lie in the same or neighbouring bands of size: a gram whose other holders are all
+    # much larger or smaller brings nothing together.
+    bands = active.groupBy("gram", "band").count()
+    near = bands.select("gram", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "count")
+    near = near.groupBy("gram", "band").agg(F.sum("count").alias("n")).where("n > 1").select("gram", "band")
+    active = active.join(near, ["gram", "band"]).select("gram", "node")
+    centres = active.groupBy("gram").agg(F.min("node").alias("centre"))
+    members = stored(active.join(centres, "gram").select("node", "centre").distinct(), "members")
+
+    # The texts of those sets alone that meet another one, one text for each set. They are shipped
+    # compressed and become sets again where they meet.
+    least = known.where("size > 0").groupBy("node").agg(F.min("id").alias("id")).where("id IS NOT NULL")
+    wanted = stored(least.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    texts = shipped(rows, wanted.select("id"))
+
+    def group_sets(group: pa.RecordBatch) -> dict[int, tuple[int, np.ndarray]]:
+        """Row and set of each node of a group; what came by a wrong or repeated id is left out."""
+        out: dict[int, tuple[int, np.ndarray]] = {}
+        own = classes.value.astype(np.uint64)
+        every = (tokens for _, data, at in pieces(unsqueezed(group)) for tokens in ordered_sets(data, at, n, own))
+        for row, (node, tokens) in enumerate(zip(group.column("node").to_pylist(), every)):
+            if node not in out and node_of(tokens) == node:
+                out[node] = row, tokens
+        return out
 
-    sets = rows.join(wanted, "id", "left_semi").mapInArrow(whole, "node long, grams binary").dropDuplicates(["node"])
     sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks"))
     dealt = members.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # The centre visits every block of its members, so that what it links needs no more comparing.
     visits = dealt.where("node = centre").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = dealt.where("node <> centre").unionByName(visits)
-    met = placed.join(sets, "node").select("centre", "block", "blocks", "node", "grams")
+    placed = dealt.where("node <> centre").unionByName(visits).join(wanted, "node")
+    met = placed.join(texts, "id").select("centre", "block", "blocks", "node", "bytes", "squeezed")
     met = met.repartition("centre", "block").sortWithinPartitions("centre", "block")
     links = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.bool_()), ("block", pa.int32())])
 
@@ -262,16 +276,17 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
 
         def run() -> Iterator[tuple]:
             for group in key_groups(batches, ["centre", "block"]):
-                ids = group.column("node").to_pylist()
+                found = group_sets(group) if group.num_rows > 1 else {}
+                ids = list(found)
                 if len(ids) < 2:
                     continue
                 centre, block, blocks = (group.column(c)[0].as_py() for c in ("centre", "block", "blocks"))
                 component = np.arange(len(ids))
-                for i, j in trie_links(group.column("grams").to_pylist(), np.ones(len(ids), bool), component, percent):
+                for i, j in trie_links([t for _, t in found.values()], np.ones(len(ids), bool), component, percent):
                     component[component == component[j]] = component[i]
                     yield ids[i], ids[j], False, block
                 if blocks > 1:
-                    held = component[ids.index(centre)]
+                    held = component[ids.index(centre)] if centre in found else -1
                     yield from ((node, centre, True, block) for node, c in zip(ids, component) if c != held)
 
         yield from batched(run(), links)
@@ -288,15 +303,19 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
         both = targets.select("centre", "block", "asker", "node", F.coalesce("free", F.lit(False)).alias("free"), F.lit(False).alias("asks")).unionByName(
             askers.select("centre", "block", "asker", "node", F.lit(True).alias("free"), F.lit(True).alias("asks"))
         )
-        both = both.join(sets, "node").repartition("centre", "block", "asker").sortWithinPartitions("centre", "block", "asker")
+        both = both.join(wanted, "node").join(texts, "id").repartition("centre", "block", "asker").sortWithinPartitions("centre", "block", "asker")
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def run() -> Iterator[tuple]:
                 for group in key_groups(batches, ["centre", "block", "asker"]):
-                    ids, free = group.column("node").to_pylist(), np.array(group.column("free").to_pylist(), bool)
+                    found = group_sets(group)
+                    ids, rows_of = list(found), [row for row, _ in found.values()]
+                    free = np.array(group.column("free").to_pylist(), bool)[rows_of]
                     component = np.where(free, np.arange(len(ids)) + 1, 0)  # what the centre reaches is one
-                    asks = np.array(group.column("asks").to_pylist(), bool)
-                    for i, j in trie_links(group.column("grams").to_pylist(), asks, component, percent):
+                    asks = np.array(group.column("asks").to_pylist(), bool)[rows_of]
+                    if not asks.any():
+                        continue
+                    for i, j in trie_links([t for _, t in found.values()], asks, component, percent):
                         yield ids[i], ids[j], False, 0
 
             yield from batched(run(), links)
@@ -312,3 +331,23 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
     return known.select("id", "size", "node").join(classes_of, "node", "left").select(
         F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
+
+
+SETS_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM words
+), grams AS (
+  SELECT doc_id, len(s) AS size, unnest(s) AS gram FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
+"""
