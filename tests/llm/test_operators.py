@@ -129,6 +129,30 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_discount_does_not_grow_with_the_corpus(spark):
+    # words 1 and 2 are rare in classes of 1e9 tokens, 3 has no count; none shares its beginnings with the rest
+    rows = [(1, 7000, 0), (2, 0, 7000), (3, 0, 0), *((i, 10**7, 10**7) for i in range(10, 110))]
+    frame = spark.createDataFrame([(w, *[1000 * d + w for d in (1, 2, 3)], t, o) for w, t, o in rows], "word long, b0 long, b1 long, b2 long, toxic long, ordinary long")
+    ratio = {r.word: r.ratio for r in toxicity.learn(frame).collect()}
+    assert set(ratio) == {w for w, _, _ in rows}  # every word stays in the table
+    assert ratio[1] > 5 and ratio[2] < -5 and abs(ratio[3]) < 0.1 and abs(ratio[50]) < 0.1
+
+
+def test_blocks_of_texts_ask_for_their_words(spark, monkeypatch):
+    texts = ["b a B", "", "c", "a c a"]
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", most)
+        posts = toxicity.posted(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "text_hash long, text string").coalesce(1)).collect()
+        got: dict[int, dict] = {}
+        for block in {r.block for r in posts}:
+            ids, pairs, times = toxicity.unpacked(*next((r.size, bytes(r.squeezed)) for r in posts if r.block == block and r.squeezed))
+            asked = [r.word for r in posts if r.block == block and r.word is not None]
+            assert asked == sorted(set(asked))
+            for p, t in zip(pairs.tolist(), times.tolist()):
+                got.setdefault(int(ids[p // len(asked)]), {})[asked[p % len(asked)]] = t
+        assert [sorted(got.get(i, {}).values()) for i in range(4)] == [[1, 2], [], [1], [1, 2]]
+
+
 def test_scores_without_labels_words_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (None, ""), (1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -1,10 +1,11 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
 Toxic and ordinary texts each have a model of expressions: words, then word beginnings of falling
-length. A model keeps an expression's count less a discount; the discounted mass goes to
+length. A model keeps an expression's count less a constant discount; the discounted mass goes to
 the next shorter beginning, by counts that both classes share, so a word that was never or
 rarely seen is judged by how it begins. Shorter levels count distinct words, not
-tokens. A text's words give the difference of both log-likelihoods; its length-normalised
+tokens. All expressions stay in stored tables that grow with the corpus. The texts' words are joined to them, in blocks
+of texts that ask once for each distinct word, and add up to the difference of both log-likelihoods; its length-normalised
 features are set against each other by a logistic curve fitted on labelled rows that no model counted.
 """
 
@@ -12,25 +13,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import prepare, stored
-from tickloom.llm.rolling import Prefix, pieces
+from tickloom.llm.rolling import Prefix, mix, pieces
 from tickloom.llm.shipping import shipped, unsqueezed
 
 BEGINNINGS = (6, 5, 4)  # bytes of the word beginnings behind whole words
-DISCOUNT = 2.0  # least discount of a token count; half as much of a count of words
-KEPT = 1 << 17  # the discount is at least this share of a class, so no more expressions of it are kept
+NAMES = ("word", *(f"b{i}" for i in range(len(BEGINNINGS))))
+DISCOUNT = 2.0  # of a token count, whatever the corpus; half as much of a count of words
+BLOCK_BYTES = 1 << 22  # texts whose words are looked up together
 STRONG = (1.5, 3.0, 4.5)  # log-ratios from which on a word speaks for toxicity, more or less strongly
 FEATURES = 2 + 2 * len(STRONG)
 FIT_ROWS = 20_000  # labelled rows for the logistic curve, those with the smallest hashes
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def words(data: np.ndarray, at: np.ndarray, beginnings: tuple[int, ...] = BEGINNINGS) -> tuple[np.ndarray, list[np.ndarray]]:
     """Text of each word, then its hash and those of its beginnings.
 
     Words are runs of ASCII letters and digits and of all bytes beyond ASCII, A-Z in lower case.
@@ -45,12 +49,11 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray
     last[:-1] &= ~inside[1:] | first[1:]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     prefix = Prefix(data)
-    return np.searchsorted(at, start, "right") - 1, [prefix.of(start, stop), *(prefix.of(start, np.minimum(start + k, stop)) for k in BEGINNINGS)]
+    return np.searchsorted(at, start, "right") - 1, [prefix.of(start, stop), *(prefix.of(start, np.minimum(start + k, stop)) for k in beginnings)]
 
 
 def counted(labelled: DataFrame) -> DataFrame:
-    """``word, b0.., toxic, ordinary``: tokens of every word of shipped texts with ``toxic`` in each class."""
-    names = ["word", *(f"b{i}" for i in range(len(BEGINNINGS)))]
+    """``word, b0.., toxic, ordinary``: tokens of words of shipped texts with ``toxic`` in each class, in parts to be added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,95 +63,138 @@ def counted(labelled: DataFrame) -> DataFrame:
                 word, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
                 bad = toxic[texts + row] == 1
                 sums = [np.bincount(back[side], minlength=len(word)) for side in (bad, ~bad)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(h[first].view(np.int64)) for h in hashes), *map(pa.array, sums)], [*names, "toxic", "ordinary"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(h[first].view(np.int64)) for h in hashes), *map(pa.array, sums)], [*NAMES, "toxic", "ordinary"])
 
-    fields = ", ".join(f"{n} long" for n in [*names, "toxic", "ordinary"])
-    parts = labelled.select("bytes", "squeezed", "toxic").mapInArrow(count, fields)
-    return parts.groupBy(*names).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    fields = ", ".join(f"{n} long" for n in [*NAMES, "toxic", "ordinary"])
+    return labelled.select("bytes", "squeezed", "toxic").mapInArrow(count, fields)
 
 
-@dataclass
-class Level:
-    """Log-ratios of the kept expressions of one length, and of all others to their beginning's."""
-
-    hashes: np.ndarray
-    ratios: np.ndarray
-    backoff: float
-
-    def __post_init__(self) -> None:
-        order = np.argsort(self.hashes)
-        self.hashes, self.ratios = self.hashes[order], self.ratios[order]
-        self.shift = np.uint64(64 - max(1, int(len(self.hashes)).bit_length()))
-        cells = (self.hashes >> self.shift).astype(np.int64)
-        #: where the hashes of each leading cell begin
-        self.start = np.searchsorted(cells, np.arange((1 << (64 - int(self.shift))) + 1))
-        self.most = int(np.diff(self.start).max(initial=0))
-
-    def of(self, hashes: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Ratios of some expressions, given those of their beginnings."""
-        out = self.backoff + shorter
-        cell = (hashes >> self.shift).astype(np.int64)
-        at, stop = self.start[cell], self.start[cell + 1]
-        for _ in range(self.most):
-            open_ = at < stop
-            if not open_.any():
-                break
-            hit = open_ & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes)
-            out[hit] = self.ratios[at[hit]]
-            at = np.where(hit, stop, at + 1)
-        return out
+def blocks(column: pa.Array, beginnings: tuple[int, ...] = BEGINNINGS) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
+    """First row and end of runs of rows, then text (from the first row on) and hashes of each of their words."""
+    held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+    first = size = 0
+    for row, data, at in pieces(column):
+        texts, hashes = words(data, at, beginnings)
+        held.append((texts + (row - first), hashes))
+        size, stop = size + len(data), row + len(at) - 1
+        if size >= BLOCK_BYTES or stop == len(column):
+            yield first, stop, np.concatenate([t for t, _ in held]), [np.concatenate(h) for h in zip(*(h for _, h in held))]
+            held, first, size = [], stop, 0
+
+
+def unlabelled(texts: DataFrame) -> DataFrame:
+    """The words of ``texts(text)`` in the form of ``counted``, with no count in either class."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, hashes in blocks(batch.column("text")):
+                word, at = np.unique(hashes[0], return_index=True)
+                none = pa.array(np.zeros(len(word), np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array(h[at].view(np.int64)) for h in hashes), none, none], [*NAMES, "toxic", "ordinary"])
+
+    return texts.select("text").mapInArrow(find, ", ".join(f"{n} long" for n in [*NAMES, "toxic", "ordinary"]))
+
+
+def packed(ids: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[int, bytes]:
+    """Size and compressed bytes of a block: hashes of its texts, then ascending ``text * words + word`` and their counts."""
+    planes = [x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(pairs, prepend=0), times)]
+    raw = b"".join([np.array([len(ids)], "<i8").tobytes(), ids.astype("<i8").tobytes(), *planes])
+    return len(raw), pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(size: int, squeezed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(squeezed, size, "zstd", asbytes=True)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    steps, times = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in np.frombuffer(raw, np.uint8, offset=8 * (n + 1)).reshape(2, 8, -1))
+    return np.frombuffer(raw, "<i8", n, 8), np.cumsum(steps), times
+
+
+def posted(texts: DataFrame) -> DataFrame:
+    """``block, word`` for each distinct word of a block of ``texts(text_hash, text)``, and ``block, size, squeezed`` for each block.
+
+    The latter hold which texts have which words, and how often; words are numbered by their order.
+    """
 
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids = batch.column("text_hash").to_numpy()
+            for start, stop, place, (hashes,) in blocks(batch.column("text"), ()):
+                block = int(mix(np.array([number], np.uint64)).view(np.int64)[0])
+                number += 1
+                word, back = np.unique(hashes.view(np.int64), return_inverse=True)
+                pairs, times = np.unique(place * len(word) + back, return_counts=True)
+                size, squeezed = packed(ids[start:stop], pairs, times)
+                n = len(word) + 1
+                columns = [pa.array(np.full(n, block)), pa.array([*word.tolist(), None], pa.int64()), pa.array([None] * (n - 1) + [size], pa.int64()), pa.array([None] * (n - 1) + [squeezed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "word", "size", "squeezed"])
+
+    return texts.mapInArrow(post, "block long, word long, size long, squeezed binary")
+
+
+def learn(vocabulary: DataFrame) -> DataFrame:
+    """``word, ratio``: log-ratio of both classes for every word of ``vocabulary(word, b0.., toxic, ordinary)``, those with no count too.
 
-def learn(vocabulary: DataFrame) -> list[Level]:
-    """Levels from the longest to the shortest. Only kept expressions leave Spark: at most ``2 * KEPT`` a level."""
-    names = ["word", *(f"b{i}" for i in range(len(BEGINNINGS)))]
-    levels: list[Level] = []
+    An expression that no class keeps has the ratio of its beginning, shifted by what both classes give to beginnings.
+    """
     below: DataFrame | None = None
-    for depth in reversed(range(len(names))):
-        name = names[depth]
+    for depth in reversed(range(len(NAMES))):
+        name = NAMES[depth]
         if depth:  # distinct words of each class behind a beginning
-            own = vocabulary.groupBy(*names[depth:]).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary")))
+            own = vocabulary.groupBy(*NAMES[depth:]).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary")))
         else:
             own = vocabulary
-        totals = own.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.sum("ordinary"), F.lit(0)).alias("o")).toPandas()
-        total = {"toxic": float(totals["t"][0]), "ordinary": float(totals["o"][0])}
-        cut = {c: max(DISCOUNT if not depth else DISCOUNT / 2, n / KEPT) for c, n in total.items()}
-        kept = {c: F.greatest(F.col(c) - cut[c], F.lit(0.0)) for c in total}
-        sums = own.agg(*(F.coalesce(F.sum(kept[c]), F.lit(0.0)).alias(c) for c in total)).toPandas()
-        rest = {c: 1 - float(sums[c][0]) / max(total[c], 1.0) for c in total}  # mass for shorter beginnings
+        discount = F.lit(DISCOUNT / 2 if depth else DISCOUNT)
+        kept = {c: F.greatest(F.col(c) - discount, F.lit(0.0)) for c in ("toxic", "ordinary")}
+        facts = own.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in kept), *(F.coalesce(F.sum(kept[c]), F.lit(0.0)).alias(c) for c in kept)).toPandas()
+        total = {c: float(facts[f"n_{c}"][0]) for c in kept}
+        rest = {c: 1 - float(facts[c][0]) / max(total[c], 1.0) for c in total}  # mass for shorter beginnings
         if below is None:
             shared = (F.col("toxic") + F.col("ordinary")) / max(sum(total.values()), 1.0)
-            joined = own.withColumns({f"p_{c}": shared for c in total})
+            joined = own.withColumns({**{f"p_{c}": shared for c in total}, "shorter": F.lit(0.0)})
         else:
-            parent = names[depth + 1]
+            parent = NAMES[depth + 1]
             mass = own.groupBy(parent).agg(F.sum(F.col("toxic") + F.col("ordinary")).alias("mass"))
             joined = own.join(mass, parent).join(below, parent)
-            share = (F.col("toxic") + F.col("ordinary")) / F.col("mass")
+            share = F.coalesce(F.try_divide(F.col("toxic") + F.col("ordinary"), F.col("mass")), F.lit(0.0))
             joined = joined.withColumns({f"p_{c}": F.col(f"p_{c}") * share for c in total})
         chances = {f"p_{c}": kept[c] / max(total[c], 1.0) + rest[c] * F.col(f"p_{c}") for c in total}
-        own = stored(joined.withColumns(chances), "expressions")
-        found = own.where((kept["toxic"] > 0) | (kept["ordinary"] > 0)).select(name, F.log(F.greatest("p_toxic", F.lit(1e-300)) / F.greatest("p_ordinary", F.lit(1e-300))).alias("ratio")).toPandas()
         backoff = float(np.log(max(rest["toxic"], 1e-9) / max(rest["ordinary"], 1e-9)))
-        levels.insert(0, Level(found[name].to_numpy(np.int64).view(np.uint64), found["ratio"].to_numpy(float), backoff))
-        below = own.select(name, "p_toxic", "p_ordinary")
-    return levels
+        counted_ratio = F.log(F.greatest("p_toxic", F.lit(1e-300)) / F.greatest("p_ordinary", F.lit(1e-300)))
+        ratio = F.when((kept["toxic"] > 0) | (kept["ordinary"] > 0), counted_ratio).otherwise(F.col("shorter") + backoff)
+        own = stored(joined.withColumns(chances).select(name, "p_toxic", "p_ordinary", ratio.alias("ratio")), "expressions")
+        below = own.withColumnRenamed("ratio", "shorter")
+    return own.select("word", "ratio")
 
 
-def features(data: np.ndarray, at: np.ndarray, levels: list[Level]) -> np.ndarray:
+def features(place: np.ndarray, times: np.ndarray, ratio: np.ndarray, n: int) -> np.ndarray:
     """Length-normalised log-ratio of each text over all words and over the strong ones, the sums of those, and the length."""
-    texts, hashes = words(data, at)
-    ratio = np.zeros(len(texts))
-    for level, h in zip(reversed(levels), reversed(hashes)):
-        ratio = level.of(h, ratio)
-    n = len(at) - 1
-    counts = np.maximum(np.bincount(texts, minlength=n), 1)
-    out = [np.bincount(texts, ratio, n) / counts, np.log(counts)]
+    counts = np.maximum(np.bincount(place, times, n), 1)
+    out = [np.bincount(place, times * ratio, n) / counts, np.log(counts)]
     for least in STRONG:
-        strong = np.bincount(texts, np.where(ratio > least, ratio, 0), n)
+        strong = np.bincount(place, np.where(ratio > least, times * ratio, 0), n)
         out += [np.log(strong / counts + 1e-3), np.log1p(strong)]
     return np.stack(out, 1)
 
 
+def weighed(posts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``text_hash, f0..``: the features of every distinct text."""
+    names = [f"f{i}" for i in range(FEATURES)]
+
+    def weigh(asked: pa.Table, block: pa.Table) -> pa.Table:
+        ratio = asked.sort_by("word")["ratio"].to_numpy()
+        ids, pairs, times = unpacked(block["size"][0].as_py(), block["squeezed"][0].as_py())
+        place, word = np.divmod(pairs, max(len(ratio), 1))
+        x = features(place, times, ratio[word], len(ids))  # a text's words add up in order of their hashes, in whatever block it stands
+        hashes, first = np.unique(ids, return_index=True)
+        return pa.table([pa.array(hashes), *(pa.array(c) for c in x[first].T)], ["text_hash", *names])
+
+    asked = posts.where("squeezed IS NULL").select("block", "word").join(ratios, "word").select("block", "word", "ratio")
+    held = posts.where("squeezed IS NOT NULL").select(F.col("block").alias("held"), "size", "squeezed")
+    found = asked.groupBy("block").cogroup(held.groupBy("held")).applyInArrow(weigh, ", ".join(["text_hash long", *(f"{n} double" for n in names)]))
+    return found.groupBy("text_hash").agg(*(F.max(n).alias(n) for n in names))
+
+
 @dataclass
 class Curve:
     """Logistic curve over standardised features."""
@@ -174,9 +220,10 @@ class Curve:
                 break
         return cls(mean, scale, w)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def score(self, x: list[Column]) -> Column:
+        clipped = [F.greatest(F.least((c - float(m)) / float(s), F.lit(8.0)), F.lit(-8.0)) * float(w) for c, m, s, w in zip(x, self.mean, self.scale, self.weights)]
+        z = reduce(lambda a, b: a + b, clipped, F.lit(float(self.weights[-1])))
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out: Column | None = None) -> DataFrame:
@@ -188,34 +235,27 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     A null or empty text has no words and its own place on the curve. Repeated rows count and are
     scored each. Without labels every score is one half of the prior: low.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.drop("_held_out", "_toxicity")
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % 5
     out = F.coalesce(held_out if held_out is not None else fold == 0, F.lit(False))
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     truth = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     truth = stored(truth.withColumnRenamed(key, "id"), "labels")
-    teachers = docs.where(~out).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    teachers = docs.where(~out).select(F.col(key).alias("id"), content.alias("text"))
     known = shipped(teachers, truth).join(truth, "id")
-    known = stored(known.withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 5), "labelled")
-    levels = learn(stored(counted(known.where("fold <> 1")), "vocabulary"))
-    model = spark.sparkContext.broadcast(levels)  # at most 2 * KEPT expressions a level
+    known = known.withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 5)
+    posts = stored(posted(docs.select(F.xxhash64(content).alias("text_hash"), content.alias("text"))), "posts")
+    tokens = counted(known.where("fold <> 1")).unionByName(unlabelled(docs.select(content.alias("text"))))
+    vocabulary = stored(tokens.groupBy(*NAMES).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "vocabulary")
+    found = stored(weighed(posts, learn(vocabulary)), "features")
 
     names = [f"f{i}" for i in range(FEATURES)]
-
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.concatenate([features(data, at, model.value) for _, data, at in pieces(unsqueezed(batch))] or [np.zeros((0, FEATURES))])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column("toxic")], [*names, "toxic"])
-
-    sample = known.where("fold = 1").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("bytes", "squeezed", "toxic")
-    fitted = sample.mapInArrow(examples, ", ".join([*(f"{n} double" for n in names), "toxic int"])).toPandas()
+    hashed = teachers.select("id", F.xxhash64("text").alias("text_hash")).join(truth, "id")
+    sample = hashed.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1).orderBy(F.xxhash64("id"), "id", "text_hash").limit(FIT_ROWS)
+    fitted = sample.join(found, "text_hash").orderBy("id", "text_hash").toPandas()
     curve = Curve.fit(fitted[names].to_numpy(float), fitted["toxic"].to_numpy(float))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [curve.score(features(data, at, model.value)) for _, data, at in pieces(batch.column(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got or [np.zeros(0)]))], [*batch.schema.names, "_toxicity"])
-
-    rows = docs.withColumn("_held_out", out)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(judge, f"{fields}, _toxicity double")
+    scores = found.select(F.col("text_hash").alias("_text_hash"), curve.score([F.col(n) for n in names]).alias("_toxicity"))
+    rows = docs.withColumn("_held_out", out).withColumn("_text_hash", F.xxhash64(content))
+    return rows.join(scores, "_text_hash", "left").drop("_text_hash")
