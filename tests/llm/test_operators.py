@@ -8,6 +8,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -256,6 +257,25 @@ def test_recall_against_all_rows(spark, monkeypatch):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("spread", ["one row twice as long", "one row ten times as long", "log-normal"])
+def test_recall_whatever_the_norms(spread):
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((4000, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    if spread == "log-normal":
+        rows *= np.exp(0.5 * rng.standard_normal(len(rows)))[:, None]
+    else:
+        rows[77] *= 2 if "twice" in spread else 10
+    ids = np.arange(len(rows))
+    group = pa.table({"asked": [False] * len(rows) + [True] * 40, "id": [*ids.tolist(), *ids[::100].tolist()], "vector": [*rows.tolist(), *rows[::100].tolist()]})
+    out = collision_search.visit(20)(group).to_pandas()
+    recall = []
+    for q in ids[::100]:
+        score = np.where(ids == q, -np.inf, rows @ rows[q])
+        recall.append(len(set(out["vec_id"][out["query_id"] == q]) & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) > 0.98 and min(recall) >= 0.9
+
+
 def test_fewer_rows_than_asked(spark):
     frame = vectors(spark, [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [1.0, 1.0], 0)])
     out = collision_search.nearest(frame, frame.where("vec_id = 0"), 20).collect()
