@@ -130,6 +130,17 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_all_labelled_rows_but_the_curve_sample_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 10)
+    learn, sums = toxicity.learn, []
+    monkeypatch.setattr(toxicity, "learn", lambda v: sums.append(v.agg(F.sum("toxic") + F.sum("ordinary")).toPandas().iloc[0, 0]) or learn(v))
+    rows = [(i, "word") for i in range(100)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    folds = [zlib.crc32(str(i).encode()) % 5 for i in range(100)]
+    assert folds.count(1) > 10 and sums == [100 - folds.count(0) - 10]
+
+
 def test_discount_does_not_grow_with_the_corpus(spark):
     # words 1 and 2 are rare in classes of 1e9 tokens, 3 has no count; none shares its beginnings with the rest
     rows = [(1, 7000, 0), (2, 0, 7000), (3, 0, 0), *((i, 10**7, 10**7) for i in range(10, 110))]

@@ -231,7 +231,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     ``labels(key, label)``: 1 toxic, 0 ordinary; null labels and keys are ignored, of several
     labels of a key the largest counts. Rows where ``held_out`` (by default ``crc32(key) % 5 = 0``) teach nothing. Of
-    the others, three quarters by the same hash are counted, the rest fit the curve (at most ``FIT_ROWS``).
+    the others, a quarter by the same hash, but at most the ``FIT_ROWS`` keys with the smallest hashes, fit the curve; all others are counted.
     A null or empty text has no words and its own place on the curve. Repeated rows count and are
     scored each. Without labels every score is one half of the prior: low.
     """
@@ -244,15 +244,16 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     truth = stored(truth.withColumnRenamed(key, "id"), "labels")
     teachers = docs.where(~out).select(F.col(key).alias("id"), content.alias("text"))
     known = shipped(teachers, truth).join(truth, "id")
-    known = known.withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 5)
+    hashed = teachers.select("id", F.xxhash64("text").alias("text_hash")).join(truth, "id")
+    chosen = hashed.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1).select("id").distinct()
+    chosen = stored(chosen.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS), "curve")
     posts = stored(posted(docs.select(F.xxhash64(content).alias("text_hash"), content.alias("text"))), "posts")
-    tokens = counted(known.where("fold <> 1")).unionByName(unlabelled(docs.select(content.alias("text"))))
+    tokens = counted(known.join(chosen, "id", "left_anti")).unionByName(unlabelled(docs.select(content.alias("text"))))
     vocabulary = stored(tokens.groupBy(*NAMES).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "vocabulary")
     found = stored(weighed(posts, learn(vocabulary)), "features")
 
     names = [f"f{i}" for i in range(FEATURES)]
-    hashed = teachers.select("id", F.xxhash64("text").alias("text_hash")).join(truth, "id")
-    sample = hashed.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1).orderBy(F.xxhash64("id"), "id", "text_hash").limit(FIT_ROWS)
+    sample = hashed.join(chosen, "id").orderBy(F.xxhash64("id"), "id", "text_hash").limit(FIT_ROWS)
     fitted = sample.join(found, "text_hash").orderBy("id", "text_hash").toPandas()
     curve = Curve.fit(fitted[names].to_numpy(float), fitted["toxic"].to_numpy(float))
 
