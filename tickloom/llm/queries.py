@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import collision_search, itq_dedup, license_scan, ngram_join, packing, perspectives, repeats, sentencepiece_codec, toxicity, url_filters
-from tickloom.llm.common import prepare, table
+from tickloom.llm import centroid_clusters, collision_search, filter_audit, itq_dedup, license_scan, mixing, ngram_join, packing, perspectives, repeats, sentencepiece_codec, toxicity, url_filters
+from tickloom.llm.common import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,26 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, for each source."""
+    return filter_audit.audit(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    rows = stored(mixing.ordered(table(prepare(spark), sf_dir, "documents"), keep=["doc_id"]), "mix-rows")
+    taken = mixing.mix(rows).documents()
+    return taken.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        (F.col("_size") * F.size("_shards")).alias("taken"),
+    )
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors after ten rounds."""
+    return centroid_clusters.cluster(table(prepare(spark), sf_dir, "embeddings"))
+
+
 _WORDS_SQL = "|".join(w.replace("-", "[-_.]") for w in BLOCKED_WORDS)
 URL_SQL = f"""
 WITH split AS (
@@ -116,6 +136,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_itq_near_duplicates, op2_sentencepiece, op3_toxicity, op4_perspectives, op5_packing,
         op6_collision_search, op7_url_filters, op8_ngram_join, op9_license_scan, op10_repeats,
+        op11_filter_audit, op12_mix, op13_centroid_clusters,
     )
 }
 SQL: dict[str, str] = {
@@ -124,4 +145,7 @@ SQL: dict[str, str] = {
     "op7_url_filters": URL_SQL,
     "op8_ngram_join": ngram_join.SETS_SQL,
     "op9_license_scan": license_scan.scan_sql(),
+    "op11_filter_audit": filter_audit.AUDIT_SQL,
+    "op12_mix": mixing.MIX_SQL,
+    "op13_centroid_clusters": centroid_clusters.CLUSTERS_SQL,
 }
