@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 import re
+import shutil
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -16,7 +18,8 @@ from plans import plan_of
 from tickloom.functions.columns import fill_nulls
 from tickloom.operators.latest import conform, keyed_replace, one_per_key
 from tickloom.plans.warehouse import publish_calendar, publish_indicators
-from tickloom.sinks.tables import PARTITION, append_load, compact, expire, read_current, read_loads
+from tickloom.sinks.commits import CommitLog, ranges, without
+from tickloom.sinks.tables import PARTITION, append_load, compact, expire, held, read_current, read_loads
 from tickloom.specs import TABLES
 
 ROWS = [("A", 1, s, f"v{s}") for s in range(5)] + [("B", 2, 1, "x"), ("B", 2, 1, "y"), (None, None, 0, None)]
@@ -127,6 +130,127 @@ def test_published_table_replay_replace_and_compaction(spark, path):
     assert tuples(read_current(spark, target, spec)) == tuples(current) and read_loads(spark, target, spec).count() == 6
 
 
+def _shown(df):
+    return {(r.ticker, r.time.isoformat()[:10], int(r.open), r.volume) for r in df.collect()}
+
+
+def _three_loads(spark):
+    """Load 0 holds A and B, load 1 corrects B, load 2 corrects A and adds C in another month."""
+    day = "2024-01-31T00:00:00"
+    return (
+        _bars(spark, [("A", day, "1", 0), ("B", day, "1", 0)]),
+        _bars(spark, [("B", day, "2", 1), ("A", day, "2", 1)]),
+        _bars(spark, [("A", day, "3", 2), ("C", "2024-02-01T00:00:00", "3", 2)]),
+    )
+
+
+ALL_THREE = {("A", "2024-01-31", 3, 2), ("B", "2024-01-31", 2, 1), ("C", "2024-02-01", 3, 2)}
+
+
+@pytest.mark.parametrize("expired", [False, True])
+def test_a_late_load_is_merged_as_if_it_had_come_in_time(spark, path, expired):
+    spec, target, loads = TABLES["fact_daily_price"], path("fact"), _three_loads(spark)
+    append_load(loads[0], target, spec, 0)
+    append_load(loads[2], target, spec, 2)
+    assert compact(spark, target, spec) == 2
+    if expired:
+        expire(spark, target)
+    append_load(loads[1], target, spec, 1)
+    assert _shown(read_current(spark, target, spec)) == ALL_THREE
+    compact(spark, target, spec)
+    assert _shown(read_current(spark, target, spec)) == ALL_THREE
+    expire(spark, target)
+    assert _shown(read_current(spark, target, spec)) == ALL_THREE and read_loads(spark, target, spec).count() == 3
+
+
+@pytest.mark.parametrize("expired", [False, True])
+def test_a_load_written_again_after_compaction_replaces_itself(spark, path, expired):
+    spec, target, loads = TABLES["fact_daily_price"], path("fact"), _three_loads(spark)
+    for n, load in enumerate(loads):
+        append_load(load, target, spec, n)
+    compact(spark, target, spec)
+    if expired:
+        expire(spark, target)
+    append_load(loads[2], target, spec, 2)  # the same again
+    assert _shown(read_current(spark, target, spec)) == ALL_THREE
+    again = _bars(spark, [("C", "2024-02-01T00:00:00", "9", 9)])
+    append_load(again, target, spec, 2)  # and without A
+    a = set() if expired else {("A", "2024-01-31", 2, 1)}
+    want = {("B", "2024-01-31", 2, 1), ("C", "2024-02-01", 9, 9)} | a
+    for step in (lambda: None, lambda: compact(spark, target, spec), lambda: expire(spark, target), lambda: compact(spark, target, spec)):
+        step()
+        assert _shown(read_current(spark, target, spec)) == want
+
+
+def test_a_reader_holds_its_version_through_expire(spark, path):
+    spec, target, loads = TABLES["fact_daily_price"], path("fact"), _three_loads(spark)
+    append_load(loads[0], target, spec, 0)
+    with held(spark, target) as snapshot:
+        before = _shown(read_current(spark, target, spec, snapshot=snapshot))
+        append_load(loads[2], target, spec, 2)
+        append_load(loads[1], target, spec, 0)
+        compact(spark, target, spec)
+        expire(spark, target)
+        assert _shown(read_current(spark, target, spec, snapshot=snapshot)) == before
+        assert _shown(read_current(spark, target, spec)) != before
+    expire(spark, target)
+    with pytest.raises(Exception):
+        read_current(spark, target, spec, snapshot=snapshot).collect()
+
+
+def test_compaction_rewrites_only_the_partitions_that_loads_touch(spark, path):
+    spec, target, loads = TABLES["fact_daily_price"], path("fact"), _three_loads(spark)
+    for n in (0, 2):
+        append_load(loads[n], target, spec, n)
+    compact(spark, target, spec)
+    before = CommitLog(spark, target).latest().parts
+    append_load(_bars(spark, [("D", "2024-02-09T00:00:00", "4", 4)]), target, spec, 5)
+    compact(spark, target, spec)
+    after = CommitLog(spark, target).latest().parts
+    assert before["202401"] == after["202401"] and before["202402"] != after["202402"]
+    assert read_current(spark, target, spec).count() == 4
+
+
+def test_a_base_alone_is_read_without_a_shuffle_and_few_later_rows_leave_it_in_place(spark, path):
+    spec, target = TABLES["fact_daily_price"], path("fact")
+    rows = [(f"T{i}", f"2024-01-{1 + i % 28:02d}T00:00:00", "1", i) for i in range(20_000)]
+    append_load(_bars(spark, rows), target, spec, 0)
+    compact(spark, target, spec)
+    assert "Exchange" not in plan_of(read_current(spark, target, spec))
+    append_load(_bars(spark, [("T7", "2024-01-08T00:00:00", "2", -1), ("NEW", "2024-01-08T00:00:00", "2", -2)]), target, spec, 1)
+    current = read_current(spark, target, spec)
+    assert "LeftAnti" in plan_of(current) and "SortMergeJoin" not in plan_of(current)
+    changed = {(r.ticker, r.volume) for r in current.where("volume < 0").collect()}
+    assert changed == {("T7", -1), ("NEW", -2)} and current.count() == 20_001
+
+
+def test_racing_writers_both_commit(spark, path):
+    spec, target, loads = TABLES["fact_daily_price"], path("fact"), _three_loads(spark)
+    append_load(loads[0], target, spec, 0)
+    log, tries = CommitLog(spark, target), []
+
+    def change(now):
+        if not tries:
+            append_load(loads[2], target, spec, 2)  # another writer gets in between
+        tries.append(now.version)
+        return replace(now, loads={**now.loads, 1: now.loads[0]})
+
+    assert sorted(log.commit(change).loads) == [0, 1, 2] and tries == [0, 1]
+
+
+def test_uncommitted_attempts_are_never_read(spark, path):
+    spec, target, loads = TABLES["fact_daily_price"], path("fact"), _three_loads(spark)
+    append_load(loads[0], target, spec, 0)
+    folder = CommitLog(spark, target).latest().loads[0]
+    shutil.copytree(f"{target}/{folder}", f"{target}/batch_id=0/attempt=crashed")
+    assert read_loads(spark, target, spec).count() == 2
+
+
+def test_ranges_of_loads():
+    assert ranges([3, 1, 2, 7], ((5, 5),)) == ((1, 3), (5, 5), (7, 7))
+    assert without(((1, 3), (5, 5)), [2, 5, 9]) == ((1, 1), (3, 3))
+
+
 def test_version_column_beats_load_order(spark, path):
     spec, target = TABLES["technical_indicators_daily"], path("indicators")
     row = lambda day, sma: ("A", dt.datetime(2024, 1, 2), dt.date(2024, 1, 2), Decimal("1"), 50.0, sma, dt.datetime(2024, 1, day))
@@ -153,6 +277,7 @@ def test_layout_is_partitioned_by_time_and_sorted_by_key(spark, path):
     spec, target = TABLES["fact_daily_price"], path("sorted")
     rows = [(t, f"2024-01-{d:02d}T00:00:00", "1", d) for d in range(28, 0, -1) for t in "CAB"]
     append_load(_bars(spark, rows).repartition(4), target, spec, 0)
-    stored = spark.read.parquet(f"{target}/batch_id=0/{PARTITION}=202401").coalesce(1).collect()
+    folder = CommitLog(spark, target).latest().loads[0]
+    stored = spark.read.parquet(f"{target}/{folder}/{PARTITION}=202401").coalesce(1).collect()
     keys = [(r.ticker, r.time) for r in stored]
     assert keys == sorted(keys)

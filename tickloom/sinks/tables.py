@@ -1,24 +1,31 @@
 """Published tables as Parquet: appended per load, resolved to one row per key.
 
-A load is written to its own ``batch_id=<n>`` folder, so writing the same load
-again replaces it and nothing else. Readers merge the loads by key. Compaction writes the
-merged loads up to some number beside them, in ``<table>.compacted/base=<n>``; from then on readers take
-that base and the loads after it.
+Every attempt to write a load has a folder of its own, ``batch_id=<n>/attempt=<id>``; the commit log tells which
+attempt counts, so writing the same load again replaces it and nothing else, whenever it comes. Readers merge the loads
+by key. Compaction merges the partitions that later loads touch into a base, whose rows keep the number of
+their load: a load that arrives late, or again, is then merged as if it had come in time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import replace
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.counting import counted, rows_written
 from tickloom.functions.temporal import day_key, month_key
 from tickloom.operators.latest import conform, one_per_key
+from tickloom.sinks.commits import CommitLog, Snapshot, ranges, without
 from tickloom.specs import TABLES, TableSpec
 
 PARTITION = "part_key"
+NO_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for a null key
+WHOLE = ""  # stands for the partition of a table without partitions
+SMALL_SHARE = 4  # later loads below this share of the base are merged without shuffling the base
 
 
 def _with_partition(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -49,8 +56,10 @@ def _write(df: DataFrame, path: str, spec: TableSpec) -> None:
 
 
 def append_load(df: DataFrame, path: str, spec: TableSpec, batch_id: int) -> None:
-    """Write one load; repeating a ``batch_id`` replaces that load."""
-    _write(conform(df, spec.columns), f"{path.rstrip('/')}/batch_id={batch_id}", spec)
+    """Write one load; repeating a ``batch_id`` replaces that load, compacted or not."""
+    folder = f"batch_id={batch_id}/attempt={uuid4().hex}"
+    _write(conform(df, spec.columns), f"{path.rstrip('/')}/{folder}", spec)
+    CommitLog(df.sparkSession, path).commit(lambda now: replace(now, loads={**now.loads, batch_id: folder}))
 
 
 def publish(df: DataFrame, root: str, table: str, batch_id: int) -> int:
@@ -65,65 +74,140 @@ def _columns_ddl(spec: TableSpec) -> str:
     return columns if spec.partition_time is None else f"{columns}, {PARTITION} string"
 
 
-def _numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the finished folders ``<prefix>=<n>`` under ``path``."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{prefix}=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+def _read_folders(spark: SparkSession, path: str, spec: TableSpec, folders: Sequence[str]) -> DataFrame:
+    ddl = f"{_columns_ddl(spec)}, batch_id bigint"
+    if not folders:
+        return spark.createDataFrame([], ddl)
+    rows = spark.read.schema(ddl).option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
+    return rows.drop("attempt", "base")  # parts of the folders' names
 
 
-def _compacted(path: str) -> str:
-    return f"{path.rstrip('/')}.compacted"
+def _in_parts(parts: Sequence[str]) -> Column:
+    chosen = F.col(PARTITION).isin(list(parts))
+    return chosen | F.col(PARTITION).isNull() if NO_PARTITION in parts else chosen
 
 
-def read_loads(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """The last base and all loads after it, with ``batch_id``; a filter on it or on the
-    partition key skips folders."""
-    loads = spark.read.schema(f"{_columns_ddl(spec)}, batch_id bigint").parquet(path)
-    bases = _numbered(spark, _compacted(path), "base")
-    if not bases:
-        return loads
-    base = spark.read.schema(_columns_ddl(spec)).parquet(f"{_compacted(path)}/base={bases[-1]}")
-    return loads.where(F.col("batch_id") > bases[-1]).unionByName(base.withColumn("batch_id", F.lit(bases[-1]).cast("bigint")))
+def _base(spark: SparkSession, path: str, spec: TableSpec, snapshot: Snapshot, parts: Sequence[str] = ()) -> DataFrame:
+    """The base's rows with the load that each came from."""
+    chosen = [f for part, f in sorted(snapshot.parts.items()) if not parts or part in parts] if snapshot.base_holds else []
+    rows = _read_folders(spark, path, spec, chosen)
+    # Once a merged load's own folder is gone, its replacement can only mask the rows it has left in the base.
+    return rows.where(~F.col("batch_id").isin(snapshot.replaced)) if snapshot.replaced else rows
 
 
-def read_current(spark: SparkSession, path: str, spec: TableSpec, parts: Sequence[str] = ()) -> DataFrame:
+def _later(spark: SparkSession, path: str, spec: TableSpec, snapshot: Snapshot) -> DataFrame:
+    return _read_folders(spark, path, spec, [f for _, f in sorted(snapshot.later.items())])
+
+
+def read_loads(spark: SparkSession, path: str, spec: TableSpec, snapshot: Snapshot | None = None) -> DataFrame:
+    """The base and all loads beside it, with ``batch_id``; a filter on it or on the
+    partition key skips folders. Without ``snapshot`` the latest version is read."""
+    path = path.rstrip("/")
+    snapshot = snapshot or CommitLog(spark, path).latest()
+    return _base(spark, path, spec, snapshot).unionByName(_later(spark, path, spec, snapshot))
+
+
+@contextmanager
+def held(spark: SparkSession, path: str) -> Iterator[Snapshot]:
+    """The latest version, to be read as often as needed: ``expire`` leaves its files alone while the block runs."""
+    with CommitLog(spark, path).held() as snapshot:
+        yield snapshot
+
+
+def read_current(spark: SparkSession, path: str, spec: TableSpec, parts: Sequence[str] = (), snapshot: Snapshot | None = None) -> DataFrame:
     """One row per key: the declared version wins, then the latest load.
 
     ``parts`` limits the read to some partition keys. A key never spans two
-    partitions, so nothing outside them needs to be read.
+    partitions, so nothing outside them needs to be read. A base alone is read as it is: its rows are unique. Beside
+    few later rows only those base rows are merged whose keys they hold; the others are never shuffled.
     """
-    loads = read_loads(spark, path, spec)
+    path = path.rstrip("/")
+    log = CommitLog(spark, path)
+    snapshot = snapshot or log.latest()
+    names = [name for name, _ in spec.columns]
+    base, later = _base(spark, path, spec, snapshot, parts), _later(spark, path, spec, snapshot)
     if parts:
-        loads = loads.where(F.col(PARTITION).isin(list(parts)))
+        base, later = (df.where(_in_parts(parts)) for df in (base, later))
+    base, later = (df.select(*names, "batch_id") for df in (base, later))
     newest = (*spec.version, "batch_id")
-    merged = one_per_key(loads.drop(PARTITION), spec.keys, newest)
-    return merged.select(*[name for name, _ in spec.columns])
+    if not snapshot.base_holds:
+        return one_per_key(later, spec.keys, newest).select(*names)
+    if not snapshot.later:
+        return base.select(*names)
+    if SMALL_SHARE * log.size(list(snapshot.later.values())) > log.size(list(snapshot.parts.values())):
+        return one_per_key(base.unionByName(later), spec.keys, newest).select(*names)
+    touched = later.select(*[F.col(k).alias(f"_{k}") for k in spec.keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in spec.keys]
+    merged = one_per_key(base.join(touched, same, "left_semi").unionByName(later), spec.keys, newest)
+    return base.join(touched, same, "left_anti").select(*names).unionByName(merged.select(*names))
 
 
 def compact(spark: SparkSession, path: str, spec: TableSpec, upto: int | None = None) -> int | None:
-    """Merge the loads up to ``upto`` (by default all finished ones) into a base; gives its number.
+    """Merge the loads up to ``upto`` (by default all) into the base; gives the greatest number merged so far.
 
-    Nothing is moved or removed, so readers that started earlier are not disturbed, and later
-    loads keep landing in ``path``. ``expire`` removes what the base has replaced. Repeating it, or naming a
-    number no newer than the last base, changes nothing.
+    Only the partitions that these loads touch are written anew. Nothing is moved or removed, so readers that started
+    earlier are not disturbed, and later loads keep landing in ``path``. ``expire`` removes what the base has
+    replaced. Repeating it changes nothing.
     """
-    loads = [n for n in _numbered(spark, path, "batch_id") if upto is None or n <= upto]
-    bases = _numbered(spark, _compacted(path), "base")
-    if not loads or bases and loads[-1] <= bases[-1]:
-        return bases[-1] if bases else None
-    rows = read_loads(spark, path, spec).where(F.col("batch_id") <= loads[-1])
+    path = path.rstrip("/")
+    log = CommitLog(spark, path)
+    now = log.latest()
+    chosen = {n: f for n, f in now.later.items() if upto is None or n <= upto or n in now.replaced or n in now.merged}
+    done = [n for n in now.merged if n not in now.replaced] + [high for _, high in now.forgotten]
+    if not chosen:
+        return max(done, default=None)
+    source = replace(now, loads={n: f for n, f in now.loads.items() if n in chosen or n in now.merged and n not in now.replaced})
+    touched: Sequence[str] = ()
+    if spec.partition_time is not None and now.base_holds and not now.replaced:
+        touched = sorted({p.split("=", 1)[1] for f in chosen.values() for p in log.children(f, f"{PARTITION}=")})
+    rows = read_loads(spark, path, spec, source)
+    if touched:
+        rows = rows.where(_in_parts(touched))
     merged = one_per_key(rows.drop(PARTITION), spec.keys, (*spec.version, "batch_id"))
-    _write(merged.select(*[name for name, _ in spec.columns]), f"{_compacted(path)}/base={loads[-1]}", spec)
-    return loads[-1]
+    folder = f"base={uuid4().hex}"
+    _write(merged.select(*[name for name, _ in spec.columns], "batch_id"), f"{path}/{folder}", spec)
+    if spec.partition_time is None:
+        written = {WHOLE: folder}
+    else:
+        written = {p.split("=", 1)[1]: f"{folder}/{p}" for p in log.children(folder, f"{PARTITION}=")}
+    kept = {p: f for p, f in now.parts.items() if p not in touched} if touched else {}
+
+    def settle(latest: Snapshot) -> Snapshot:
+        if latest.parts != now.parts:
+            return latest  # another compaction was first; its base stays, and these loads are merged by the next
+        merged_now = {**(now.merged if now.base_holds else {}), **chosen}
+        return replace(latest, parts={**kept, **written}, merged=merged_now, forgotten=without(now.forgotten, list(chosen)))
+
+    if not set(written.values()) <= log.commit(settle).folders():
+        log.delete(folder)
+    return max([*done, *chosen])
 
 
 def expire(spark: SparkSession, path: str) -> None:
-    """Delete the loads that the last base holds, and older bases. For when no reader still needs them."""
-    bases = _numbered(spark, _compacted(path), "base")
-    if not bases:
+    """Delete what the latest version no longer needs: replaced attempts, older bases, and loads that the base holds.
+
+    Versions that a reader holds keep their files. From then on a load written again replaces its rows in
+    the base, but what those rows had superseded does not come back.
+    """
+    log = CommitLog(spark, path)
+    if not log.versions():
         return
-    old = [f"{path.rstrip('/')}/batch_id={n}" for n in _numbered(spark, path, "batch_id") if n <= bases[-1]]
-    for folder in [*old, *[f"{_compacted(path)}/base={n}" for n in bases[:-1]]]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def forget(latest: Snapshot) -> Snapshot:
+        if not latest.base_holds:
+            return latest
+        gone = [n for n in latest.merged if n not in latest.replaced]
+        loads = {n: f for n, f in latest.loads.items() if n not in gone}
+        return replace(latest, loads=loads, merged={}, forgotten=ranges(list(latest.merged), latest.forgotten))
+
+    latest = log.commit(forget)
+    older = {v: log.at(v) for v in log.versions() if v < latest.version}
+    spared = log.held_versions()
+    for v in older:
+        if v not in spared:
+            log.delete(f"_commits/{v:020d}.json")
+    needed = set(latest.folders())
+    for v in spared | log.held_versions():
+        needed |= older[v].folders() if v in older else set()
+    for folder in sorted({f for snapshot in older.values() for f in snapshot.folders()} - needed):
+        log.delete(folder)
