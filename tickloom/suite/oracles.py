@@ -371,6 +371,12 @@ ORACLES |= {
 SELECT {_BARS.replace(', volume', '')}, CASE WHEN ticker IN (SELECT ticker FROM (SELECT DISTINCT ticker FROM ({ORACLES['daily_price_normalize']})) WHERE CAST(substr(ticker, 2) AS INTEGER) % 3 = 0)
        AND (ticker, time) IN (SELECT (ticker, time) FROM ({ORACLES['daily_price_normalize']})) THEN volume + 1 ELSE volume END AS volume
 FROM ({ORACLES['published_table_current']})""",
+    "compacted_then_replayed": f"""
+WITH newest AS ({ORACLES['daily_price_normalize']}), oldest AS (
+  WITH {_BACKFILL} SELECT ticker, time, CAST(time AS DATE) AS date_id, open, high, low, close, volume FROM backfill {_ONE_BAR})
+SELECT * REPLACE (volume + 1 AS volume) FROM newest
+UNION ALL SELECT * REPLACE (CASE WHEN CAST(substr(ticker, 2) AS INTEGER) % 5 = 0 THEN volume + 10 ELSE volume END AS volume)
+FROM oldest ANTI JOIN newest USING (ticker, time)""",
     "later_hour_wins": f"SELECT ticker, time, open FROM ({ORACLES['daily_price_normalize']}) WHERE time > TIMESTAMP '1970-01-01'",
     "published_row_counts": f"""
 SELECT 'ticker_list' AS topic, count(*) AS reported FROM ({ORACLES['ticker_list_normalize']})

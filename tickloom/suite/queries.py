@@ -627,6 +627,23 @@ def compacted_plus_later_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_current(spark, path, spec)
 
 
+@query
+def compacted_then_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads 0 and 2 compacted and expired; then load 1 arrives late and load 2 is written again with other volumes."""
+    path, spec = shared_dir(spark, "fact_daily_price"), TABLES["fact_daily_price"]
+    oldest = normalize(raw.backfill_feed(spark, sf_dir), DATASETS["daily_price_backfill"])
+    newest = normalize(raw.bars_feed(spark, sf_dir), DATASETS["daily_price"])
+    number = F.substring("ticker", 2, 9).cast("int")
+    append_load(oldest, path, spec, 0)
+    append_load(newest, path, spec, 2)
+    compact(spark, path, spec)
+    expire(spark, path)
+    append_load(oldest.where(number % 5 == 0).withColumn("volume", F.col("volume") + 10), path, spec, 1)
+    append_load(newest.withColumn("volume", F.col("volume") + 1), path, spec, 2)
+    compact(spark, path, spec, upto=1)
+    return read_current(spark, path, spec)
+
+
 @query
 def later_hour_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fetches of the same bars, the later one lower: it is what the table shows."""
