@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import prepare
 
 SPACE = "▁"
-KEPT_CHUNKS = 300_000  # chunks that a worker remembers
+KEPT_CHUNKS = 500_000  # chunks that a worker remembers of the present, and of the generation before
 KEPT_LENGTH = 64  # longer chunks are encoded anew each time
 
 
@@ -56,6 +56,7 @@ class Codec:
         #: marks that no piece has after a letter
         self.marks = [m for m in ",." if not any(b == m and _LETTER.match(a) for a, b in beside)]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Chunks that no piece spans; ``word`` stands for space and word, ``GLUE + word`` for the word alone."""
@@ -117,20 +118,22 @@ class Codec:
         theirs = self.library.encode("\n" + "\n".join(asked).replace(SPACE, " "), num_threads=1)[1:] if asked else []
         feed = self.byte[10]
         ours = list(chain.from_iterable((feed, *ids) for c, ids in zip(plain, made) if "\n" not in c))
-        if ours == theirs:
+        if ours == theirs and len(asked) == len(plain):
             return set()
         each = self.library.encode(["\n" + c.replace(SPACE, " ") for c in plain], num_threads=1)
         return {c for c, a, b in zip(new, made, each) if a != b[2:]}
 
     def encode_batch(self, texts: list[str], add_ends: bool) -> tuple[list[bytes], list[bool]]:
         """Ids of each text as little-endian unsigned 32-bit integers; whether the library agrees."""
-        known = self.known
-        if len(known) > KEPT_CHUNKS:
-            known.clear()
+        if len(self.known) > KEPT_CHUNKS:
+            self.known, self.older = {}, self.known  # chunks that are still in use come back from there
+        known, older = self.known, self.older
         cut = [self.chunks(t) for t in texts]
         found = [list(map(known.get, chunks)) for chunks in cut]
         gaps = [(chunks, ids, [i for i, x in enumerate(ids) if x is None]) for chunks, ids in zip(cut, found) if None in ids]
         fresh = {chunks[i] for chunks, _, at in gaps for i in at}
+        known.update((c, older[c]) for c in fresh & older.keys())
+        fresh -= older.keys()
         differ = self.learn(fresh)
         for chunks, ids, at in gaps:
             for i in at:
