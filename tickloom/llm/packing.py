@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import prepare, stored
 
-KEPT_WORDS = 300_000  # words that a worker remembers
+KEPT_WORDS = 500_000  # words that a worker remembers of the present, and of the generation before
 GROUP_ROWS = 4096  # pieces ranked together
 
 # The vocabulary's own word pattern always ends a word between a letter and another mark, save that
@@ -57,13 +57,15 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         # The library composes, then lowers each character. On composed text the cuts are safe,
-        # and lowering may come first; strings of special tokens are left as they are.
-        if "<|" in text or not unicodedata.is_normalized("NFC", text):
+        # and lowering may come first; strings of special tokens are left as they are. A dotted capital I becomes two
+        # characters, of which the second joins marks that follow: its words go to the library uncut.
+        if "<|" in text or "İ" in text or not unicodedata.is_normalized("NFC", text):
             return _BLANKS.findall(text)
-        if not text.isascii() and any(c in text for c in "ΣİK"):
+        if not text.isascii() and any(c in text for c in "ΣK"):
             return _WORDS.findall(text)
         text = text.lower()
         if "'" in text or _JOINED_MARK.search(text):
@@ -92,13 +94,15 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known  # words that are still in use come back from there
+        known, older = self.known, self.older
         cut = [self.words(t) for t in texts]
         found = [list(map(known.get, words)) for words in cut]
         gaps = [(words, ids, [i for i, x in enumerate(ids) if x is None]) for words, ids in zip(cut, found) if None in ids]
-        self._learn(list({words[i] for words, _, at in gaps for i in at}))
+        fresh = {words[i] for words, _, at in gaps for i in at}
+        known.update((w, older[w]) for w in fresh & older.keys())
+        self._learn(list(fresh - older.keys()))
         for words, ids, at in gaps:
             for i in at:
                 ids[i] = known[words[i]]
