@@ -83,7 +83,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = repeats.remove_repeats(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"), 400)
     length = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
     return cleaned.select(
-        "doc_id", F.col("_bytes").alias("n_bytes"), length.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256")
+        "doc_id", F.col("_bytes").alias("n_bytes"), length.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+        (F.col("_bytes") - length).alias("n_kept"), (F.size("_spans") > 0).alias("is_changed"),
     )
 
 
