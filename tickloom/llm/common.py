@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tickloom.workspace import shared_dir
 
 ROOT = str(Path(__file__).resolve().parents[2])
-BATCH_ROWS = 2000  # rows handed to Python at once; texts may be long
+BATCH_ROWS = 2000  # rows handed to Python at once
+BATCH_BYTES = 2 << 20  # and bytes; one longer text is a batch of its own
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,6 +23,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -50,3 +50,21 @@ def daily_bars(
 ) -> DataFrame:
     """One bar per ticker and day."""
     return df.groupBy("ticker", F.to_date(time).alias("date_id")).agg(*_ohlcv(price, volume, time, tie_break))
+
+
+def stream_bars(
+    df: DataFrame,
+    width: str = "5 minutes",
+    delay: str = "10 minutes",
+    price: str = "price",
+    volume: str = "volume",
+    time: str = "time",
+    tie_break: Sequence[str] = (),
+) -> DataFrame:
+    """``intraday_bars`` of a stream: a bar comes out once, when no tick up to ``delay`` late can change it.
+
+    State holds the open bars only. Later ticks than that are left out, so ``delay`` must cover the feed.
+    """
+    bars = df.withWatermark(time, delay).groupBy("ticker", F.window(F.col(time), width).alias("_window"))
+    made = bars.agg(*_ohlcv(price, volume, time, tie_break))
+    return made.select("ticker", *[F.col(c) for c in ("open", "high", "low", "close", "volume")], F.col("_window.start").alias("time"))

@@ -62,6 +62,14 @@ _COMPANY_COLUMNS = (
     ("as_of_date", "timestamp"),
 )
 
+_HISTORY_COLUMNS = (
+    *((name, kind) for name, kind in _COMPANY_COLUMNS if name != "as_of_date"),
+    ("valid_from", "timestamp"),
+    ("valid_to", "timestamp"),
+    ("version", "bigint"),
+    ("is_current", "boolean"),
+)
+
 RATIO_METRICS = (
     "pe",
     "pb",
@@ -115,17 +123,9 @@ TABLES: dict[str, TableSpec] = {
     for spec in (
         TableSpec("dim_ticker", (("ticker", "string"), ("group", "string")), ("ticker",)),
         TableSpec("dim_company", _COMPANY_COLUMNS, ("ticker",), version=("as_of_date",)),
-        TableSpec(
-            "dim_company_history",
-            (
-                *((name, kind) for name, kind in _COMPANY_COLUMNS if name != "as_of_date"),
-                ("valid_from", "timestamp"),
-                ("valid_to", "timestamp"),
-                ("version", "bigint"),
-                ("is_current", "boolean"),
-            ),
-            ("ticker", "valid_from"),
-        ),
+        TableSpec("dim_company_history", _HISTORY_COLUMNS, ("ticker", "valid_from")),
+        # The open interval of each company: what the next snapshots are merged with.
+        TableSpec("dim_company_open", _HISTORY_COLUMNS, ("ticker",)),
         TableSpec(
             "dim_date",
             (
@@ -175,6 +175,12 @@ TABLES: dict[str, TableSpec] = {
             "time",
             version=("calculated_at",),
         ),
+        # The closes that the next day's windows reach back to.
+        TableSpec(
+            "indicator_tail",
+            (("ticker", "string"), ("latest", "timestamp"), ("closes", "array<struct<time:timestamp,close:decimal(20,2)>>")),
+            ("ticker",),
+        ),
     )
 }
 

@@ -38,8 +38,8 @@ def accept_batch(
 ) -> None:
     """Write the batch's new rows and the marks that hold after it.
 
-    ``poll`` names a column that numbers the polls; a batch may then hold any number of
-    overlapping polls, and a tick still counts once. It is not kept.
+    A batch may hold any number of overlapping polls, and a tick still counts once. ``poll`` names a column that numbers
+    the polls; it is not kept. With it, equal rows of one poll all count; without it they are one tick.
 
     ``send`` receives the new rows as keyed messages. It is called before the
     marks are written, so a failure repeats messages rather than losing them.
@@ -48,8 +48,8 @@ def accept_batch(
     marks = _marks_before(spark, marks_path, batch_id)
     target = f"{rows_path}/batch_id={batch_id}"
     fresh = newer_than(batch, marks)
-    if poll is not None:
-        fresh = first_of_polls(fresh, poll).drop(poll)
+    # Without the number of the poll, a tick that several polls of the batch hold is known by being the same row.
+    fresh = first_of_polls(fresh, poll).drop(poll) if poll is not None else fresh.dropDuplicates()
     fresh, counter = counted(fresh)
     fresh.write.mode("overwrite").parquet(target)
     accepted = spark.read.schema(fresh.schema).parquet(target)
@@ -69,7 +69,7 @@ def start_incremental_stream(
 ) -> StreamingQuery:
     """Accept typed ticks into ``<root>/rows``; marks are kept in ``<root>/marks``.
 
-    Name the ``poll`` column where one micro-batch may hold several polls. With ``send`` (for instance ``lambda m: publish(...)``) they are also sent on.
+    Name the ``poll`` column where equal rows of one poll are different ticks. With ``send`` (for instance ``lambda m: publish(...)``) they are also sent on.
     """
     base = root.rstrip("/")
     return (

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.counting import counted, rows_written
 from tickloom.functions.casts import MONEY, retype
 from tickloom.functions.columns import FILL_TEXT, FILL_WHOLE, default_now
+from tickloom.operators.bars import stream_bars
 from tickloom.operators.latest import one_per_key
 from tickloom.sinks.tables import append_load
 from tickloom.sources.streams import decode
@@ -79,6 +80,13 @@ def start_tick_stream(
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)).start()
 
 
+def start_bar_stream(ticks: DataFrame, path: str, checkpoint: str, width: str = "5 minutes", delay: str = "10 minutes", tie_break: tuple[str, ...] = (), **trigger) -> StreamingQuery:
+    """Write the bars of a stream of ticks as they close."""
+    bars = stream_bars(ticks, width, delay, tie_break=tie_break)
+    writer = bars.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def wait(query: StreamingQuery) -> None:
     """Block until the query ends; a failure is raised here."""
     query.awaitTermination()

@@ -306,6 +306,14 @@ FROM events""",
 WITH {_TRADES}
 SELECT *, CAST(CASE WHEN time < TIMESTAMP '2024-01-11' THEN 0 WHEN time < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS BIGINT) AS batch_id
 FROM trades""",
+    "tick_stream_new": f"WITH {_TRADES} SELECT DISTINCT * FROM trades",
+    "tick_stream_deduplicated": f"""
+WITH {_TICKS}, keys AS (SELECT DISTINCT ticker, time FROM ticks),
+newest AS (SELECT ticker, max(time) AS latest FROM keys GROUP BY ticker)
+SELECT ticker, time, false AS is_late FROM keys
+UNION ALL SELECT ticker, time, true FROM keys JOIN newest USING (ticker)
+WHERE time < TIMESTAMP '2024-01-16' AND time <= latest - INTERVAL 1 DAY""",
+    "tick_stream_bars": f"WITH {_TRADES}, {_FIVE_MINUTES} SELECT * FROM bars",
     "dim_date_build": f"WITH {_calendar('SELECT o_orderdate AS t FROM orders')} SELECT * FROM calendar",
     "star_join_monthly": f"""
 WITH {_UPDATES}, {_COMPANY}, {_LATEST_COMPANY}, {_calendar('SELECT created_at AS t FROM updates')}
@@ -386,4 +394,7 @@ UNION ALL SELECT 'daily_price', count(*) FROM ({ORACLES['daily_price_normalize']
 WITH {_TRADES}
 SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN time END AS ingested_at, event_id % 3 = 0 AS filled FROM trades""",
     "indicators_short_term_incremental": ORACLES["indicators_short_term"],
+    "indicators_short_term_appended": ORACLES["indicators_short_term"],
+    "indicators_long_term_appended": ORACLES["indicators_long_term"],
+    "company_history_appended": ORACLES["company_history_published"],
 }

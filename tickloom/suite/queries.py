@@ -19,7 +19,17 @@ from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.operators.quality import batch_sizes, quality_report
 from tickloom.plans.batch import normalize, normalize_loads, run_topic, typed_rows
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows, validate
-from tickloom.plans.warehouse import calendar, company_history, long_term_indicators, newer_indicators, publish_company_history, short_term_indicators
+from tickloom.plans.warehouse import (
+    append_company_history,
+    append_indicators,
+    calendar,
+    company_history,
+    long_term_indicators,
+    newer_indicators,
+    publish_company_history,
+    publish_indicators,
+    short_term_indicators,
+)
 from tickloom.session import apply_session_conf
 from tickloom.sinks.lake import write_records
 from tickloom.sinks.messages import encode
@@ -29,7 +39,8 @@ from tickloom.sources.streams import file_stream
 from tickloom.specs import DATASETS, TABLES, TICK_TOPIC
 from tickloom.streaming.archive import start_archive_stream
 from tickloom.streaming.highwater import accepted_rows, start_incremental_stream
-from tickloom.streaming.ticks import latest_ticks, parse_ticks, start_tick_stream, wait
+from tickloom.streaming.recent import start_deduplicated_stream, start_new_tick_stream
+from tickloom.streaming.ticks import latest_ticks, parse_ticks, start_bar_stream, start_tick_stream, wait
 from tickloom.suite import raw
 from tickloom.workspace import shared_dir
 
@@ -479,6 +490,61 @@ def incremental_tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted_rows(spark, f"{root}/sent", schema)
 
 
+_TRADE_SCHEMA = "ticker string, time timestamp, price decimal(20,2), volume bigint, event_id bigint"
+
+
+@query
+def tick_stream_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three growing polls, the last two waiting together, through state per ticker: each tick once, with the run that sent it."""
+    root = shared_dir(spark, "state")
+    polled = raw.trades(spark, sf_dir)
+    for run, untils in enumerate((("2024-01-11",), ("2024-01-21", None))):
+        for poll, until in enumerate(untils):
+            part = polled.where(F.col("time") < F.lit(until).cast("timestamp")) if until else polled
+            part.write.parquet(f"{root}/polls/{run}-{poll}")
+        source = spark.readStream.schema(_TRADE_SCHEMA).parquet(f"{root}/polls/*")
+        wait(start_new_tick_stream(source, f"{root}/sent", f"{root}/checkpoint"))
+    return spark.read.schema(_TRADE_SCHEMA).parquet(f"{root}/sent")
+
+
+@query
+def tick_stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks sent twice, and once more long after: each (ticker, time) once, the late ones beside them."""
+    root = shared_dir(spark, "late")
+    ticks = parse_ticks(raw.tick_messages(spark, sf_dir)).select("ticker", "time").distinct()
+    cut = F.lit("2024-01-16").cast("timestamp")
+    # The first part twice, the second part with repeats of the last hours, then the first part again.
+    parts = (
+        ticks.where(F.col("time") < cut).withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(2)))).drop("_again"),
+        ticks.where(F.col("time") >= cut),
+        ticks.where(F.col("time") < cut),
+    )
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema("ticker string, time timestamp").parquet(f"{root}/in")
+        wait(start_deduplicated_stream(source, f"{root}/out", f"{root}/checkpoint", delay_seconds=86_400))
+    return spark.read.schema("ticker string, time timestamp, is_late boolean").parquet(f"{root}/out")
+
+
+@query
+def tick_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute bars that the stream closes, over three runs; a last tick beyond all others closes the rest."""
+    root = shared_dir(spark, "bars")
+    trades = raw.trades(spark, sf_dir)
+    last = trades.agg(F.max("time").alias("time")).select(
+        F.lit("END").alias("ticker"), (F.col("time") + F.expr("interval 1 day")).alias("time"),
+        F.lit(0).cast("decimal(20,2)").alias("price"), F.lit(0).cast("bigint").alias("volume"), F.lit(0).cast("bigint").alias("event_id"),
+    )
+    bounds = [F.lit(t).cast("timestamp") for t in ("2024-01-11", "2024-01-21")]
+    time = F.col("time")
+    for part in (trades.where(time < bounds[0]), trades.where((time >= bounds[0]) & (time < bounds[1])), trades.where(time >= bounds[1]).unionByName(last)):
+        part.write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(_TRADE_SCHEMA).parquet(f"{root}/in")
+        wait(start_bar_stream(source, f"{root}/out", f"{root}/checkpoint", tie_break=("event_id",)))
+    schema = "ticker string, open decimal(20,2), high decimal(20,2), low decimal(20,2), close decimal(20,2), volume bigint, time timestamp"
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
 # --- derived tables --------------------------------------------------------------
 
 
@@ -687,6 +753,43 @@ def indicators_short_term_incremental(spark: SparkSession, sf_dir: str) -> DataF
     return _rounded(history.unionByName(newer_indicators(closes, cut)), "rsi_3", "sma_10")
 
 
+def _appended(spark: SparkSession, sf_dir: str, table: str, long_term: bool) -> DataFrame:
+    """Indicators of the history, then five appends of later days, each from the tail and its own days alone."""
+    root, closes = shared_dir(spark, "appended"), _daily_closes(spark, sf_dir)
+    bounds = [F.lit(d).cast("timestamp") for d in ("1998-11-25", "1998-11-26", "1998-11-27", "1998-11-28", "1998-11-29")]
+    time = F.col("time")
+    publish_indicators(closes.where(time < bounds[0]), root, 0, long_term)
+    for load, (first, stop) in enumerate(zip(bounds, [*bounds[1:], None]), 1):
+        append_indicators(closes.where(time >= first if stop is None else (time >= first) & (time < stop)), root, load, long_term)
+    return read_current(spark, f"{root}/{table}", TABLES[table]).drop("calculated_at")
+
+
+@query
+def indicators_short_term_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSI(3) and SMA(10), published by a first load and five appends."""
+    return _rounded(_appended(spark, sf_dir, "technical_indicators_daily", False), "rsi_3", "sma_10")
+
+
+@query
+def indicators_long_term_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSI(14) and SMA(200), published by a first load and five appends."""
+    return _rounded(_appended(spark, sf_dir, "technical_indicators_historical", True), "rsi_14", "sma_200")
+
+
+@query
+def company_history_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history from three loads of snapshots: the last of all arrives second, so some companies are numbered anew."""
+    root = shared_dir(spark, "history")
+    snapshots = _repeated_snapshots(spark, sf_dir)
+    day = F.col("as_of_date")
+    dates = [F.lit(d).cast("timestamp") for d in ("2024-01-01", "2024-02-10", "2024-03-21")]
+    publish_company_history(snapshots.where(day == dates[0]), root, 0)
+    append_company_history(snapshots.where((day == dates[2]) | (day == dates[1]) & (F.crc32(F.col("ticker").cast("binary")) % 2 == 0)), root, 1)
+    append_company_history(snapshots.where(day == dates[1]), root, 2)
+    current = read_current(spark, f"{root}/dim_company_history", TABLES["dim_company_history"])
+    return current.select("ticker", "valid_from", "valid_to", "version", "is_current", "charter_capital", "exchange")
+
+
 @query
 def published_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company profiles written again with the same date: the later load wins, whatever it says."""
