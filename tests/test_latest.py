@@ -17,7 +17,16 @@ from pyspark.sql import functions as F
 from plans import plan_of
 from tickloom.functions.columns import fill_nulls
 from tickloom.operators.latest import conform, keyed_replace, one_per_key
-from tickloom.plans.warehouse import publish_calendar, publish_indicators
+from tickloom.plans.warehouse import (
+    append_company_history,
+    append_indicators,
+    appended_indicators,
+    company_history,
+    publish_calendar,
+    publish_company_history,
+    publish_indicators,
+    short_term_indicators,
+)
 from tickloom.sinks.commits import CommitLog, ranges, without
 from tickloom.sinks.tables import PARTITION, append_load, compact, expire, held, read_current, read_loads
 from tickloom.specs import TABLES
@@ -281,3 +290,71 @@ def test_layout_is_partitioned_by_time_and_sorted_by_key(spark, path):
     stored = spark.read.parquet(f"{target}/{folder}/{PARTITION}=202401").coalesce(1).collect()
     keys = [(r.ticker, r.time) for r in stored]
     assert keys == sorted(keys)
+
+
+def _scan_rows(df):
+    """Rows that the file scans of a finished plan gave out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()) if "Scan" in leaves.apply(i).nodeName())
+
+
+def test_a_read_of_one_ticker_opens_few_row_groups_of_a_base(spark, path):
+    spec, target = TABLES["fact_daily_price"], path("fact")
+    rows = [(f"T{i % 500:03d}", f"2024-01-{1 + i // 500 % 28:02d}T00:00:00", "1", i) for i in range(14_000)]
+    append_load(_bars(spark, rows), target, spec, 0)
+    compact(spark, target, spec)
+    one = read_current(spark, target, spec).where("ticker = 'T123'")
+    assert one.count() == 28
+    # 14,000 rows in at least eight files of one row group: a ticker lies in one or two of them.
+    assert _scan_rows(one) <= 14_000 / 3
+
+
+def test_appends_read_the_tail_and_equal_a_full_calculation(spark, path):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    rng = random.Random(2)
+    rows = [(t, f"{d}T00:00:00", str(rng.randint(1, 99)), 1) for t in "AB" for d in days] + [("NEW", f"{days[-1]}T00:00:00", "5", 1)]
+    daily, root, table = _bars(spark, rows), path("warehouse"), "technical_indicators_daily"
+    at = lambda i: F.lit(str(days[i])).cast("timestamp")
+    publish_indicators(daily.where(F.col("time") < at(30)), root, 0)
+    for load, (a, b) in enumerate([(30, 31), (31, 32), (32, 36), (36, 38)], 1):
+        append_indicators(daily.where((F.col("time") >= at(a)) & (F.col("time") < at(b))), root, load)
+    last = daily.where(F.col("time") >= at(38))
+    for _ in range(2):  # an append written again decides as before
+        append_indicators(last, root, 5)
+    shown = lambda df: sorted((r.ticker, r.time, r.close, round(r.rsi_3 or -1, 9), round(r.sma_10 or -1, 9)) for r in df.collect())
+    assert shown(read_current(spark, f"{root}/{table}", TABLES[table])) == shown(short_term_indicators(daily))
+    # Nothing but the tail and the new days is scanned.
+    tail = read_current(spark, f"{root}/tails/{table}/indicator_tail", TABLES["indicator_tail"])
+    last.write.parquet(path("days"))
+    plan = plan_of(appended_indicators(tail, spark.read.parquet(path("days"))))
+    assert set(re.findall(r"Location: \S+ \[file:([^,\]]+)", plan)) and all("/tails/" in f or f.endswith("/days") for f in re.findall(r"Location: \S+ \[file:([^,\]]+)", plan))
+    # A corrected day needs the history, for its ticker only.
+    fixed = daily.withColumn("close", F.when((F.col("ticker") == "A") & (F.col("time") == at(20)), F.lit(50)).otherwise(F.col("close")).cast("decimal(20,2)"))
+    correction = fixed.where((F.col("ticker") == "A") & (F.col("time") == at(20)))
+    with pytest.raises(ValueError):
+        append_indicators(correction, root, 6)
+    append_indicators(correction, root, 6, history=fixed)
+    assert shown(read_current(spark, f"{root}/{table}", TABLES[table])) == shown(short_term_indicators(fixed))
+
+
+def test_history_goes_on_from_its_open_rows(spark, path):
+    snapshot = lambda t, day, capital: (t, dt.datetime(2024, 1, day), Decimal(capital))
+    schema, root, spec = "ticker string, as_of_date timestamp, charter_capital decimal(30,2)", path("warehouse"), TABLES["dim_company_history"]
+    loads = [
+        [snapshot("A", 1, 10), snapshot("B", 1, 10)],
+        [snapshot("A", 3, 11), snapshot("A", 5, 12), snapshot("C", 5, 1)],
+        [snapshot("A", 5, 13), snapshot("B", 9, 11)],  # the open day again
+        [snapshot("A", 4, 99), snapshot("C", 7, 2)],  # a day that was missed
+    ]
+    publish_company_history(spark.createDataFrame(loads[0], schema), root, 0)
+    for n, rows in enumerate(loads[1:], 1):
+        for _ in range(2):
+            append_company_history(spark.createDataFrame(rows, schema), root, n)
+    got = read_current(spark, f"{root}/dim_company_history", spec).select("ticker", "valid_from", "charter_capital", "version", "valid_to", "is_current")
+    newest = {(t, d): c for rows in loads for t, d, c in rows}
+    every = spark.createDataFrame([(t, d, c) for (t, d), c in newest.items()], schema)
+    want = company_history(every).select("ticker", F.col("as_of_date"), "charter_capital", "version", "valid_to", "is_current")
+    assert tuples(got) == tuples(want)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.quality import batch_sizes, kind_of, quality_report, split_by_quality
+from tickloom.operators.quality import batch_sizes, failing_by_counts, kind_of, quality_counts, quality_report, rolled_up, split_by_quality
+from tickloom.sources.lake import read_any_case
 from tickloom.specs import QUALITY
 
 SCHEMA = "time string, open double, high double, low double, close double, volume bigint, ticker string"
@@ -117,3 +118,29 @@ def test_gate_withholds_the_whole_ticker_and_null_tickers(spark):
 )
 def test_kinds(spark, ddl, kind):
     assert kind_of(spark.createDataFrame([], f"x {ddl}").schema[0].dataType) == kind
+
+
+def test_kept_counts_add_up_and_decide_without_the_rows(spark):
+    rows = [("A", "1", 1.0, 1.0, 1.0, 1.0, 1), ("A", None, 1.0, 1.0, 1.0, 1.0, 1), ("B", "1", -1.0, 1.0, 1.0, None, 1), ("C", "1", 1.0, 1.0, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows * 5, "ticker string, time string, open double, high double, low double, close double, volume bigint").withColumn("type", F.lit("t"))
+    half = F.pmod(F.monotonically_increasing_id(), F.lit(2))
+    hours = [quality_counts(df.withColumn("_h", half).where(F.col("_h") == h).drop("_h"), "daily_price", F.lit(f"h{h}")) for h in (0, 1)]
+    counts = hours[0].unionByName(hours[1])
+    report = quality_report(df, "daily_price").collect()
+    assert sorted(map(tuple, rolled_up(counts.where("check <> 'rows'")).select("topic", "ticker", "check", "column", "count").collect())) == sorted(map(tuple, report))
+    assert sum(r["count"] for r in counts.where("check = 'rows'").collect()) == 20
+    accepted, held = split_by_quality(df, "daily_price", failing_by_counts(counts))
+    assert {r.ticker for r in accepted.collect()} == {"C"} and held.count() == 15
+
+
+def test_an_absent_field_is_charged_to_the_tickers_that_lack_it(spark, path):
+    import json
+    import os
+
+    bar = {"time": "2024-01-02", "open": "1", "high": "1", "low": "1", "close": "1"}
+    os.makedirs(path("lake"))
+    with open(f"{path('lake')}/x.json", "w") as f:
+        f.write("\n".join(json.dumps({**bar, "ticker": t, **({"volume": "5"} if t == "A" else {})}) for t in "AAB"))
+    raw = read_any_case(spark, path("lake"), "ticker string, time string, open double, high double, low double, close double, volume double".replace("double", "string"))
+    found = {(r.ticker, r.column, r["count"]) for r in quality_report(raw, "daily_price").where("check = 'missing_column'").collect()}
+    assert found == {("B", "volume", 1)}

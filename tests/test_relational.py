@@ -15,6 +15,7 @@ from tickloom.operators.joins import members_only, with_calendar, with_dimension
 from tickloom.plans.landing import new_tick_messages
 from tickloom.plans.warehouse import calendar, company_history, stamp_calculation
 from tickloom.session import SESSION_CONF, apply_session_conf
+from tickloom.sinks.buckets import read_bucketed, write_bucketed
 from tickloom.sinks.jdbc import STAGING, WAREHOUSE, write_options
 from tickloom.sinks.messages import encode
 from tickloom.sources.jdbc import read_options
@@ -160,3 +161,24 @@ def test_session_settings(spark):
     assert not any(k in SESSION_CONF for k in ("spark.master", "spark.executor.memory", "spark.driver.memory"))
     base = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark, "x").startswith(base) and shared_dir(spark, "x") != shared_dir(spark, "x")
+
+
+def test_bucketed_joins_shuffle_no_facts(spark, path):
+    facts = spark.range(2000).select(F.concat(F.lit("T"), (F.col("id") % 37).cast("string")).alias("ticker"), F.timestamp_seconds("id").alias("time"), "id")
+    dim = spark.range(30).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("ticker"), F.col("id").alias("size"))
+    marks = dim.select("ticker", F.timestamp_seconds(F.col("size") * 50).alias("last_time"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = {name: write_bucketed(df, path(name), buckets=4) for name, df in (("facts", facts), ("dim", dim), ("marks", marks))}
+        again = read_bucketed(spark, path("facts"), "ticker string, time timestamp, id bigint", buckets=4)
+        for f in (wide["facts"], again):
+            for joined, plain in (
+                (with_dimension(f, wide["dim"], bucketed=True), with_dimension(facts, dim)),
+                (members_only(f, wide["dim"], bucketed=True), members_only(facts, dim)),
+                (newer_than(f, wide["marks"], bucketed=True), newer_than(facts, marks)),
+            ):
+                assert "Exchange" not in plan_of(joined) and "Exchange" in plan_of(plain)
+                assert sorted(map(tuple, joined.select(plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

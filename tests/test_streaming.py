@@ -19,7 +19,9 @@ from tickloom.sources.streams import file_stream
 from tickloom.specs import DATASETS, TABLES
 from tickloom.streaming.archive import stamped_message, start_archive_stream
 from tickloom.streaming.highwater import accept_batch, accepted_rows, start_incremental_stream
-from tickloom.streaming.ticks import latest_ticks, parse_ticks, start_tick_stream, wait, without_repeats, write_batch
+from tickloom.operators.bars import intraday_bars
+from tickloom.streaming.recent import start_deduplicated_stream, start_new_tick_stream
+from tickloom.streaming.ticks import latest_ticks, parse_ticks, start_bar_stream, start_tick_stream, wait, without_repeats, write_batch
 
 SPEC = TABLES["fact_intraday_tick"]
 
@@ -206,3 +208,76 @@ def test_periodic_trigger(spark, path):
     query.stop()
     assert read_current(spark, path("table"), SPEC).count() == 1
     assert query.lastProgress is None or query.lastProgress["batchId"] >= 0
+
+
+STATE_SCHEMA = "ticker string, time timestamp, id int"
+
+
+def second(s):
+    return dt.datetime(2024, 1, 2, 9, 0) + dt.timedelta(seconds=s)
+
+
+def growing_polls(n=6):
+    """Each poll holds all ticks so far; some ticks share a time, one arrives in a later poll than its neighbours."""
+    ticks = [(f"T{i % 3}", second(i // 2), i) for i in range(60)]
+    late = ("T1", second(4), 999)
+    return [ticks[: 10 * (i + 1)] + ([late] if i >= 2 else []) for i in range(n)], {*ticks, late}
+
+
+@pytest.mark.parametrize("runs", [[1, 1, 1, 1, 1, 1], [6], [1, 4, 1], [3, 3]])
+def test_any_grouping_of_polls_gives_the_same_ticks(spark, path, runs):
+    polls, expected = growing_polls()
+    at = 0
+    for run in runs:  # every run is a restart from the checkpoint
+        for poll in polls[at : at + run]:
+            spark.createDataFrame(poll, STATE_SCHEMA).coalesce(1).write.mode("append").parquet(path("in"))
+        at += run
+        wait(start_new_tick_stream(spark.readStream.schema(STATE_SCHEMA).parquet(path("in")), path("out"), path("ckpt")))
+    out = [tuple(r) for r in spark.read.schema(STATE_SCHEMA).parquet(path("out")).collect()]
+    assert sorted(out) == sorted(expected)
+
+
+def test_rows_without_ticker_or_time_never_pass_and_forgotten_rows_are_late(spark, path):
+    first = [("A", second(0), 1), ("A", second(3600), 2), (None, second(0), 3), ("A", None, 4), ("B", second(0), 5)]
+    again = [("A", second(0), 1), ("A", second(3600), 2), ("A", second(3599), 6), ("A", second(3600), 7), ("B", second(1), 8)]
+    for rows in (first, again):
+        spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1).write.mode("append").parquet(path("in"))
+        source = spark.readStream.schema(STATE_SCHEMA).parquet(path("in"))
+        wait(start_deduplicated_stream(source, path("out"), path("ckpt"), delay_seconds=600))
+    out = spark.read.schema(f"{STATE_SCHEMA}, is_late boolean").parquet(path("out"))
+    assert sorted((r.ticker, r.id, r.is_late) for r in out.collect()) == [
+        ("A", 1, False), ("A", 1, True), ("A", 2, False), ("A", 6, False), ("B", 5, False), ("B", 8, False)
+    ]
+
+
+def test_a_silent_ticker_is_forgotten(spark, path):
+    for rows in ([("A", second(0), 1)], [("B", second(1), 2)], [("A", second(0), 1)]):
+        spark.createDataFrame(rows, STATE_SCHEMA).write.mode("append").parquet(path("in"))
+        from tickloom.streaming.recent import first_seen
+
+        source = spark.readStream.schema(STATE_SCHEMA).parquet(path("in"))
+        writer = first_seen(source, silent_seconds=0).writeStream.format("parquet").option("path", path("out"))
+        wait(writer.option("checkpointLocation", path("ckpt")).trigger(availableNow=True).start())
+    assert sorted(r.id for r in spark.read.schema(STATE_SCHEMA).parquet(path("out")).collect()) == [1, 1, 2]
+
+
+def test_a_backlog_without_poll_numbers_is_sent_once(spark, path):
+    polls, _ = growing_polls()
+    batch = spark.createDataFrame([t for poll in polls for t in poll], STATE_SCHEMA)
+    accept_batch(batch, 0, path("rows"), path("marks"))
+    assert spark.read.parquet(path("rows")).count() == 61
+
+
+def test_stream_bars_equal_batch_bars_and_close_once(spark, path):
+    schema = "ticker string, time timestamp, price decimal(20,2), volume bigint, id int"
+    rng = random.Random(5)
+    trades = [(f"T{i % 3}", second(30 * i + rng.randint(0, 20)), Decimal(rng.randint(1, 99)), i, i) for i in range(200)]
+    end = ("END", second(86_400), Decimal(0), 0, -1)
+    too_late = ("T0", second(0), Decimal(1), 1, -2)
+    for rows in (trades[:90], trades[90:], [end], [too_late]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path("in"))
+        source = spark.readStream.schema(schema).parquet(path("in"))
+        wait(start_bar_stream(source, path("out"), path("ckpt"), tie_break=("id",)))
+    out = [tuple(r) for r in spark.read.parquet(path("out")).select("ticker", "time", "open", "high", "low", "close", "volume").collect()]
+    want = intraday_bars(spark.createDataFrame(trades, schema), tie_break=("id",)).select("ticker", "time", "open", "high", "low", "close", "volume")
+    assert sorted(out) == sorted(tuple(r) for r in want.collect())

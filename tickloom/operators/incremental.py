@@ -50,15 +50,16 @@ def high_water(df: DataFrame, time_col: str = "time", key: str = "ticker") -> Da
     return df.groupBy(key).agg(F.max(time_col).alias("last_time"))
 
 
-def newer_than(df: DataFrame, marks: DataFrame, time_col: str = "time", key: str = "ticker") -> DataFrame:
+def newer_than(df: DataFrame, marks: DataFrame, time_col: str = "time", key: str = "ticker", bucketed: bool = False) -> DataFrame:
     """Rows strictly newer than their ticker's mark; unseen tickers pass whole.
 
-    Rows without ticker have no mark to be held against and never pass.
+    Rows without ticker have no mark to be held against and never pass. ``bucketed`` if both sides are
+    tables in the same buckets of ``key``: they are then joined as they lie.
     """
     df = df.where(quoted(key).isNotNull())
     known = marks.where(quoted(key).isNotNull()).select(quoted(key).alias("_marked"), "last_time")
     return (
-        df.join(known, same_key(key, "_marked"), "left")
+        df.join(known, quoted(key) == F.col("_marked") if bucketed else same_key(key, "_marked"), "left")
         .where(F.col("last_time").isNull() | (F.col(time_col) > F.col("last_time")))
         .drop("_marked", "last_time")
     )

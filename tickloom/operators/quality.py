@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.casts import quoted, same_key
+from tickloom.sources.lake import KEYS
 from tickloom.specs import QUALITY, QualitySpec
 
 logger = logging.getLogger(__name__)
@@ -57,6 +58,10 @@ def _checks(df: DataFrame, spec: QualitySpec) -> list[tuple[str, str, Column]]:
     """(check, column, count) for everything the batch is measured on."""
     whole = F.count(F.lit(1))
     checks = [("missing_column", c, whole) for c in missing_columns(df, spec)]
+    if KEYS in df.columns:
+        # Records tell which fields they carry: a ticker none of whose records has a column lacks it, whatever others have.
+        here = [c for c in spec.required if c in df.columns and c != "ticker"]
+        checks += [("missing_column", c, F.when(F.max(F.array_contains(KEYS, c)), F.lit(0)).otherwise(whole)) for c in here]
     checks += [("type_error", c, whole) for c in type_errors(df, spec)]
     checks += [("null_violation", c, _count_where(_is_missing(df, c))) for c in spec.not_null if c in df.columns]
     for name, (low, high) in spec.ranges.items():
@@ -138,3 +143,29 @@ def split_by_quality(df: DataFrame, topic: str, failing: DataFrame | None = None
     failing = failing_tickers(df, topic) if failing is None else failing
     same = same_key("ticker", "_failing")
     return df.join(failing, same, "left_anti"), df.join(failing, same, "left_semi")
+
+
+def quality_counts(df: DataFrame, topic: str, hour: Column) -> DataFrame:
+    """The counts of every check by hour and ticker, to be kept: ``topic, dt_hour, ticker, check, column, count``.
+
+    The check ``rows`` counts the rows themselves. Counts of several hours, or of several parts of one, add up, so a verdict over many
+    hours needs no row again. Only counts above zero are kept, and the rows.
+    """
+    spec = QUALITY.get(topic, QualitySpec())
+    checks = [("rows", "", F.count(F.lit(1))), *_checks(df, spec)]
+    ticker = quoted("ticker").cast("string") if "ticker" in df.columns else F.lit(None).cast("string")
+    counts = df.groupBy(hour.alias("dt_hour"), ticker.alias("ticker")).agg(*[n.alias(f"_n{i}") for i, (_, _, n) in enumerate(checks)])
+    findings = F.array(
+        *[F.struct(F.lit(check).alias("check"), F.lit(name).alias("column"), F.col(f"_n{i}").alias("count")) for i, (check, name, _) in enumerate(checks)]
+    )
+    return counts.select(F.lit(topic).alias("topic"), "dt_hour", "ticker", F.inline(findings)).where("count > 0")
+
+
+def rolled_up(counts: DataFrame) -> DataFrame:
+    """Counts over all hours of ``counts``, as one report by ticker, check and column."""
+    return counts.groupBy("topic", "ticker", "check", "column").agg(F.sum("count").alias("count"))
+
+
+def failing_by_counts(counts: DataFrame) -> DataFrame:
+    """The tickers that kept counts withhold, for ``split_by_quality``; reads no row of the feed."""
+    return counts.where(F.col("check") != "rows").select(F.col("ticker").alias("_failing")).distinct()

@@ -8,6 +8,7 @@ their load: a load that arrives late, or again, is then merged as if it had come
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import replace
@@ -25,6 +26,8 @@ from tickloom.specs import TABLES, TableSpec
 PARTITION = "part_key"
 NO_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for a null key
 WHOLE = ""  # stands for the partition of a table without partitions
+FILE_BYTES = 128 << 20  # of a base's files, about
+BLOOM_BYTES = 64 << 10  # of the filter of one row group at most
 SMALL_SHARE = 4  # later loads below this share of the base are merged without shuffling the base
 
 
@@ -48,8 +51,19 @@ def layout(df: DataFrame, spec: TableSpec) -> DataFrame:
     return keyed.hint("rebalance", PARTITION).sortWithinPartitions(PARTITION, *spec.keys)
 
 
-def _write(df: DataFrame, path: str, spec: TableSpec) -> None:
-    writer = layout(df, spec).write.mode("overwrite").option("partitionOverwriteMode", "static")
+def clustered(df: DataFrame, spec: TableSpec, files: int) -> DataFrame:
+    """Rows in ``files`` ranges of (partition, key): a key lies in one file of its partition, or in few that follow each other."""
+    keyed = _with_partition(df, spec)
+    order = [*([] if spec.partition_time is None else [PARTITION]), *spec.keys]
+    return keyed.repartitionByRange(files, *order).sortWithinPartitions(*order)
+
+
+def _write(df: DataFrame, path: str, spec: TableSpec, files: int | None = None) -> None:
+    placed = layout(df, spec) if files is None else clustered(df, spec, files)
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    if spec.keys[0] in [name for name, kind in spec.columns if kind == "string"]:
+        # Readers of one key skip the row groups whose filter does not know it.
+        writer = writer.option(f"parquet.bloom.filter.enabled#{spec.keys[0]}", "true").option("parquet.bloom.filter.max.bytes", BLOOM_BYTES)
     if spec.partition_time is not None:
         writer = writer.partitionBy(PARTITION)
     writer.parquet(path)
@@ -142,10 +156,11 @@ def read_current(spark: SparkSession, path: str, spec: TableSpec, parts: Sequenc
     return base.join(touched, same, "left_anti").select(*names).unionByName(merged.select(*names))
 
 
-def compact(spark: SparkSession, path: str, spec: TableSpec, upto: int | None = None) -> int | None:
+def compact(spark: SparkSession, path: str, spec: TableSpec, upto: int | None = None, file_bytes: int = FILE_BYTES) -> int | None:
     """Merge the loads up to ``upto`` (by default all) into the base; gives the greatest number merged so far.
 
-    Only the partitions that these loads touch are written anew. Nothing is moved or removed, so readers that started
+    Only the partitions that these loads touch are written anew, in files of ``file_bytes`` at most, about, that each hold a range
+    of keys, so that a read of few keys opens few of them. Nothing is moved or removed, so readers that started
     earlier are not disturbed, and later loads keep landing in ``path``. ``expire`` removes what the base has
     replaced. Repeating it changes nothing.
     """
@@ -165,7 +180,9 @@ def compact(spark: SparkSession, path: str, spec: TableSpec, upto: int | None =
         rows = rows.where(_in_parts(touched))
     merged = one_per_key(rows.drop(PARTITION), spec.keys, (*spec.version, "batch_id"))
     folder = f"base={uuid4().hex}"
-    _write(merged.select(*[name for name, _ in spec.columns], "batch_id"), f"{path}/{folder}", spec)
+    sources = {*chosen.values(), *(f for p, f in now.parts.items() if not touched or p in touched)} if now.base_holds else set(chosen.values())
+    files = max(spark.sparkContext.defaultParallelism, math.ceil(log.size(sorted(sources)) / file_bytes))
+    _write(merged.select(*[name for name, _ in spec.columns], "batch_id"), f"{path}/{folder}", spec, files)
     if spec.partition_time is None:
         written = {WHOLE: folder}
     else:

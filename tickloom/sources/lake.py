@@ -45,7 +45,8 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, recursi
     return reader.json(path)
 
 
-def _hour() -> Column:
+def hour_of_file() -> Column:
+    """The ingest hour of a file, which is the name of its folder."""
     return F.regexp_extract("_metadata.file_path", r"(?:dt_hour=)?([^/]*)/[^/]*$", 1)
 
 
@@ -55,7 +56,7 @@ def read_any_case(spark: SparkSession, path: str, schema: str, with_hour: bool =
     All values are read as text. ``_keys`` lists what each record carries, so that a field that
     is null can be told from one that is not there. Unreadable records keep their text.
     """
-    hour = [_hour().alias("dt_hour")] if with_hour else []
+    hour = [hour_of_file().alias("dt_hour")] if with_hour else []
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", *hour).where(F.trim("value") != "")
     kept = ["value", *["dt_hour"] * with_hour]
     many = F.from_json("value", "array<map<string,string>>")
@@ -102,7 +103,7 @@ def scan_topic(
     if any_case:
         return read_any_case(spark, path, schema, with_hour)
     records = read_json(spark, path, schema, recursive=True)
-    return records.select("*", _hour().alias("dt_hour")) if with_hour else records
+    return records.select("*", hour_of_file().alias("dt_hour")) if with_hour else records
 
 
 def scan_partitioned(spark: SparkSession, root: str, topic: str, schema: str, hour: str | None = None) -> DataFrame:

@@ -175,6 +175,11 @@ TABLES: dict[str, TableSpec] = {
             "time",
             version=("calculated_at",),
         ),
+        TableSpec(
+            "quality_counts",
+            (("topic", "string"), ("dt_hour", "string"), ("ticker", "string"), ("check", "string"), ("column", "string"), ("count", "bigint")),
+            ("topic", "dt_hour", "ticker", "check", "column"),
+        ),
         # The closes that the next day's windows reach back to.
         TableSpec(
             "indicator_tail",

@@ -396,5 +396,21 @@ SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN time END AS ingested_at, event
     "indicators_short_term_incremental": ORACLES["indicators_short_term"],
     "indicators_short_term_appended": ORACLES["indicators_short_term"],
     "indicators_long_term_appended": ORACLES["indicators_long_term"],
+    "star_join_bucketed": ORACLES["star_join_monthly"],
+    "quality_counts_rolled_up": ORACLES["quality_report_daily"],
+    "lake_schema_drift": """
+WITH hours AS (SELECT '2024-02-01_0' || (event_id % 3) AS dt_hour, event_id % 3 AS h, count(*) AS records FROM events GROUP BY ALL),
+fields(h, field, type) AS (VALUES
+  (0, 'ticker', 'STRING'), (0, 'event_id', 'BIGINT'), (0, 'extra', 'STRING'),
+  (1, 'ticker', 'STRING'), (1, 'event_id', 'BIGINT'), (1, 'extra', 'BIGINT'), (1, 'volume', 'BIGINT'),
+  (2, 'event_id', 'STRING'), (2, 'extra', 'BIGINT'), (2, 'volume', 'BIGINT')),
+every AS (SELECT h.h, dt_hour, records, f.field FROM hours h, (SELECT DISTINCT field FROM fields) f),
+compared AS (
+  SELECT e.dt_hour, e.field, now.type, CASE WHEN now.type IS NOT NULL THEN e.records END AS records,
+         CASE WHEN e.h = 0 THEN NULL WHEN was.type IS NULL THEN 'new' WHEN now.type IS NULL THEN 'lost' WHEN was.type <> now.type THEN 'retyped' END AS change,
+         was.type AS before
+  FROM every e LEFT JOIN fields now ON now.h = e.h AND now.field = e.field LEFT JOIN fields was ON was.h = e.h - 1 AND was.field = e.field
+  WHERE now.type IS NOT NULL OR was.type IS NOT NULL)
+SELECT dt_hour, field, type, records, change, CASE WHEN change IS NOT NULL THEN before END AS was FROM compared""",
     "company_history_appended": ORACLES["company_history_published"],
 }

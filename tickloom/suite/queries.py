@@ -16,7 +16,7 @@ from tickloom.operators.incremental import backfill_range, high_water, lookback,
 from tickloom.operators.indicators import moving_indicators
 from tickloom.operators.joins import members_only, with_calendar, with_dimension
 from tickloom.operators.latest import keyed_replace, one_per_key
-from tickloom.operators.quality import batch_sizes, quality_report
+from tickloom.operators.quality import batch_sizes, quality_counts, quality_report, rolled_up
 from tickloom.plans.batch import normalize, normalize_loads, run_topic, typed_rows
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows, validate
 from tickloom.plans.warehouse import (
@@ -31,9 +31,11 @@ from tickloom.plans.warehouse import (
     short_term_indicators,
 )
 from tickloom.session import apply_session_conf
+from tickloom.sinks.buckets import write_bucketed
 from tickloom.sinks.lake import write_records
 from tickloom.sinks.messages import encode
 from tickloom.sinks.tables import PARTITION, append_load, compact, expire, read_current, read_loads
+from tickloom.sources.drift import drift, field_types, scan_variant
 from tickloom.sources.lake import read_json, scan_partitioned, scan_topic, split_corrupt
 from tickloom.sources.streams import file_stream
 from tickloom.specs import DATASETS, TABLES, TICK_TOPIC
@@ -176,6 +178,27 @@ def hour_partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def lake_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of three ingest hours whose records differ, and what changed from each hour to the next."""
+    root = shared_dir(spark, "drift")
+    events = raw.table(spark, sf_dir, "events").withColumn("ticker", F.concat(F.lit("U"), raw.text("user_id")))
+    k = F.get_json_object("props", "$.k").cast("bigint").alias("volume")
+    shapes = (
+        F.struct("ticker", "event_id", F.col("event_type").alias("extra")),
+        F.struct("ticker", "event_id", k, F.col("user_id").alias("extra")),
+        F.struct(raw.text("event_id").alias("event_id"), k, F.col("user_id").alias("extra")),
+    )
+    for hour, shape in enumerate(shapes):
+        rows = events.where(F.col("event_id") % 3 == hour).select(F.to_json(shape).alias("value"))
+        rows.write.text(f"{root}/topic=trades/dt_hour=2024-02-01_0{hour}")
+    found = field_types(scan_variant(spark, root, "trades"))
+    root = shared_dir(spark, "field-types")
+    found.write.parquet(root)
+    kept = spark.read.schema(found.schema).parquet(root)
+    return kept.join(drift(kept), ["dt_hour", "field"], "full").select("dt_hour", "field", "type", "records", "change", "was")
+
+
 @query
 def validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, land as JSON, then run the batch job over what landed."""
@@ -361,6 +384,18 @@ def quality_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_sizes(validate(prepare(_typed_bars(spark, sf_dir), "daily_price"), "daily_price").held_back)
 
 
+@query
+def quality_counts_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report from counts that were kept for each hour, one of them counted twice and written again."""
+    path, spec = shared_dir(spark, "quality_counts"), TABLES["quality_counts"]
+    bars = prepare(_typed_bars(spark, sf_dir), "daily_price")
+    part = F.pmod(F.xxhash64("ticker", "time", "open"), F.lit(3))
+    for load, hour in enumerate((0, 1, 2, 1)):
+        counts = quality_counts(bars.where(part == hour), "daily_price", F.lit(f"2024-01-02_1{hour}"))
+        append_load(counts, path, spec, load)
+    return rolled_up(read_current(spark, path, spec).where(F.col("check") != "rows"))
+
+
 # --- membership and increments -------------------------------------------------
 
 
@@ -571,6 +606,19 @@ def star_join_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def star_join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from tables in the same buckets of the ticker: facts and companies meet without a shuffle."""
+    root = shared_dir(spark, "buckets")
+    facts = write_bucketed(_order_facts(spark, sf_dir), f"{root}/facts", buckets=8)
+    companies = normalize(raw.company_feed(spark, sf_dir), DATASETS["company_metadata"]).select("ticker", "exchange")
+    companies = write_bucketed(companies, f"{root}/companies", buckets=8)
+    joined = with_calendar(with_dimension(facts, companies, bucketed=True), calendar(facts))
+    return joined.groupBy("year", "month", "exchange").agg(
+        F.sum("price").cast("decimal(38,2)").alias("turnover"), F.sum("trades").alias("trades")
+    )
+
+
 @query
 def star_join_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars by ticker group and weekday; tickers without a group kept."""
