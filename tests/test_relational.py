@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pytest
@@ -21,7 +22,8 @@ from tickloom.sinks.messages import encode
 from tickloom.sources.jdbc import read_options
 from tickloom.sources.streams import broker_options, decode
 from tickloom.specs import ARCHIVED_TOPICS, TABLES
-from tickloom.workspace import shared_dir
+from tickloom import workspace
+from tickloom.workspace import shared_dir, sweep
 
 T0 = dt.datetime(2024, 1, 2, 9, 0)
 TICKS = "ticker string, time timestamp, price decimal(20,2), volume bigint, id int"
@@ -182,3 +184,15 @@ def test_bucketed_joins_shuffle_no_facts(spark, path):
                 assert sorted(map(tuple, joined.select(plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_scratch_of_applications_that_were_killed_is_swept(spark, path, monkeypatch):
+    base = path("shared")
+    monkeypatch.setattr(workspace, "shared_base", lambda _: base)
+    own = shared_dir(spark, "x")
+    spark.range(3).write.parquet(own)
+    dead = f"{base}/scratch-{'0' * 32}"
+    spark.range(3).write.parquet(f"{dead}/table-{'1' * 32}")
+    spark.range(3).write.parquet(f"{base}/tables")
+    os.utime(dead, (0, 0))
+    assert sweep(spark, 3600) == 1 and sorted(os.listdir(base)) == sorted([own.split("/")[-2], "tables"])

@@ -17,7 +17,7 @@ from tickloom.plans.batch import run_topic
 from tickloom.sources.lake import read_json, scan_archive, scan_topic, split_corrupt
 from tickloom.sources.streams import file_stream
 from tickloom.specs import DATASETS, TABLES
-from tickloom.streaming.archive import stamped_message, start_archive_stream
+from tickloom.streaming.archive import archived_hours, compact_archive, stamped_message, start_archive_stream
 from tickloom.streaming.highwater import accept_batch, accepted_rows, start_incremental_stream
 from tickloom.operators.bars import intraday_bars
 from tickloom.streaming.recent import start_deduplicated_stream, start_new_tick_stream
@@ -281,3 +281,23 @@ def test_stream_bars_equal_batch_bars_and_close_once(spark, path):
     out = [tuple(r) for r in spark.read.parquet(path("out")).select("ticker", "time", "open", "high", "low", "close", "volume").collect()]
     want = intraday_bars(spark.createDataFrame(trades, schema), tie_break=("id",)).select("ticker", "time", "open", "high", "low", "close", "volume")
     assert sorted(out) == sorted(tuple(r) for r in want.collect())
+
+
+def test_merged_hours_are_read_once_and_open_ones_refused(spark, path):
+    os.makedirs(f"{path('in')}/topic=daily_price")
+    for i in range(6):
+        with open(f"{path('in')}/topic=daily_price/{i}.txt", "w") as f:
+            f.write(json.dumps({"ticker": f"T{i}", "open": i}) + "\n{broken")
+        wait(start_archive_stream(file_stream(spark, path("in")), path("lake"), path("ckpt"), available_now=True))
+    schema = DATASETS["daily_price"].raw_schema
+    before = sorted((r.ticker or "", r._corrupt_record or "") for r in scan_archive(spark, path("lake"), "daily_price", schema=schema).collect())
+    for hour in archived_hours(spark, path("lake"), "daily_price"):
+        with pytest.raises(ValueError):
+            compact_archive(spark, path("lake"), "daily_price", hour)
+        assert compact_archive(spark, path("lake"), "daily_price", hour, settle_seconds=-7200)
+        assert not compact_archive(spark, path("lake"), "daily_price", hour, settle_seconds=-7200)
+    after = scan_archive(spark, path("lake"), "daily_price", schema=schema)
+    assert sorted((r.ticker or "", r._corrupt_record or "") for r in after.collect()) == before and len(before) == 12
+    hour = archived_hours(spark, path("lake"), "daily_price")[0]
+    assert 0 < scan_archive(spark, path("lake"), "daily_price", hour, schema).count() <= 12
+    assert all(".compacted/" in f for f in after.inputFiles())

@@ -17,6 +17,7 @@ from tickloom.operators.latest import keyed_replace, one_per_key
 from tickloom.sinks.tables import publish
 from tickloom.sources.lake import KEYS, carried, is_corrupt, scan_topic, split_corrupt
 from tickloom.specs import DATASETS, DatasetSpec
+from tickloom.workspace import shared_dir
 
 logger = logging.getLogger(__name__)
 
@@ -83,6 +84,11 @@ def run(
     """
     options = {"any_case": spec.any_case, "with_hour": True} if scan is scan_topic else {}
     raw = scan(spark, lake_root, spec.topic, hour, spec.raw_schema, **options)
+    if spec.any_case:
+        # Fields of any spelling are looked up once; what follows reads the parsed records.
+        parsed = shared_dir(spark, f"parsed-{spec.topic}")
+        raw.write.parquet(parsed)
+        raw = spark.read.schema(raw.schema).parquet(parsed)
     if raw.isEmpty():
         logger.info("%s: no data under %s", spec.topic, hour or "any hour")
         return JobResult(0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickloom.functions.casts import quoted
+from tickloom.sinks.commits import CommitLog
 
 CORRUPT = "_corrupt_record"
 KEYS = "_keys"  # the cleaned names of a record's fields, where names come in any case
@@ -29,7 +30,7 @@ def topic_path(root: str, topic: str, hour: str | None = None, hive_style: bool
     return f"{base}/{hour_key}{hour}" if hour else base
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None, recursive: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], schema: str | None = None, recursive: bool = False) -> DataFrame:
     """JSON files under ``path``.
 
     With a schema there is no inference pass over the data, files that lack a
@@ -122,10 +123,21 @@ def scan_archive(
     """
     if schema is None:
         raise ValueError("an archive of several topics has no common schema to infer")
+    merged = CommitLog(spark, compacted_root(root))
+    folders = {part.split("/", 1)[1]: folder for part, folder in merged.latest().parts.items() if part.split("/", 1)[0] == topic}
     df = read_json(spark, root, f"{schema}, topic string, dt_hour string").where(F.col("topic") == topic)
     if hour:
         df = df.where(F.col("dt_hour") == hour)
-    return df.drop("topic", "dt_hour")
+        folders = {h: f for h, f in folders.items() if h == hour}
+    df = df.where(~F.col("dt_hour").isin(list(folders))) if folders else df
+    df = df.drop("topic", "dt_hour")
+    # Hours that were merged into few files are read from there.
+    return df.unionByName(read_json(spark, [f"{merged.path}/{f}" for f in folders.values()], schema)) if folders else df
+
+
+def compacted_root(root: str) -> str:
+    """Where the merged hours of an archive are."""
+    return f"{root.rstrip('/')}.compacted"
 
 
 def is_corrupt(df: DataFrame) -> Column:

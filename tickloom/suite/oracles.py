@@ -299,7 +299,8 @@ FROM trades""",
     "raw_archive_roundtrip": """
 SELECT event_id, user_id, value, event_type,
        CASE event_type WHEN 'click' THEN 'benchmark_index' WHEN 'error' THEN 'company_metadata'
-            WHEN 'purchase' THEN 'daily_price' WHEN 'signup' THEN 'daily_price_backfill' ELSE 'intraday_price' END AS topic,
+            WHEN 'purchase' THEN 'daily_price' WHEN 'signup' THEN 'daily_price_backfill'
+            ELSE CASE WHEN event_id % 2 = 0 AND event_type = 'view' THEN 'ticker_list' ELSE 'intraday_price' END END AS topic,
        true AS is_stamped
 FROM events""",
     "incremental_tick_stream": f"""
@@ -412,5 +413,6 @@ compared AS (
   FROM every e LEFT JOIN fields now ON now.h = e.h AND now.field = e.field LEFT JOIN fields was ON was.h = e.h - 1 AND was.field = e.field
   WHERE now.type IS NOT NULL OR was.type IS NOT NULL)
 SELECT dt_hour, field, type, records, change, CASE WHEN change IS NOT NULL THEN before END AS was FROM compared""",
+    "raw_archive_compacted": ORACLES["raw_archive_roundtrip"],
     "company_history_appended": ORACLES["company_history_published"],
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +37,10 @@ from tickloom.sinks.lake import write_records
 from tickloom.sinks.messages import encode
 from tickloom.sinks.tables import PARTITION, append_load, compact, expire, read_current, read_loads
 from tickloom.sources.drift import drift, field_types, scan_variant
-from tickloom.sources.lake import read_json, scan_partitioned, scan_topic, split_corrupt
+from tickloom.sources.lake import read_json, scan_archive, scan_partitioned, scan_topic, split_corrupt
 from tickloom.sources.streams import file_stream
-from tickloom.specs import DATASETS, TABLES, TICK_TOPIC
-from tickloom.streaming.archive import start_archive_stream
+from tickloom.specs import ARCHIVED_TOPICS, DATASETS, TABLES, TICK_TOPIC
+from tickloom.streaming.archive import archived_hours, compact_archive, start_archive_stream
 from tickloom.streaming.highwater import accepted_rows, start_incremental_stream
 from tickloom.streaming.recent import start_deduplicated_stream, start_new_tick_stream
 from tickloom.streaming.ticks import latest_ticks, parse_ticks, start_bar_stream, start_tick_stream, wait
@@ -216,8 +217,8 @@ def _run_job(spark: SparkSession, topic: str, feed: DataFrame, lake: str, wareho
     hours = ("2024-01-02_16", "2024-01-02_17")
     # The rows of a key land in one hour: between hours the later one would win.
     key = [c for c in DATASETS[topic].keys if c in feed.columns]
-    for i, hour in enumerate(hours):
-        write_records(feed.where(F.pmod(F.xxhash64(*key), F.lit(2)) == i), lake, topic, hour)
+    hour = F.when(F.pmod(F.xxhash64(*key), F.lit(2)) == 0, hours[0]).otherwise(hours[1])
+    write_records(feed.withColumn("dt_hour", hour), lake, topic)
     broken = spark.range(3).select(F.concat(F.lit('{"ticker": "X'), F.col("id").cast("string"), F.lit('", ')).alias("value"))
     broken.write.mode("append").text(f"{lake}/topic={topic}/dt_hour={hours[0]}")
     result = run_topic(spark, topic, lake, warehouse, load, quarantine_root=f"{lake}/held")
@@ -482,25 +483,43 @@ def tick_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_current(spark, f"{root}/table", TABLES["fact_intraday_tick"])
 
 
-@query
-def raw_archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of several topics archived by one stream and read back."""
+_ARCHIVED = "event_id bigint, user_id bigint, value double, event_type string, kafka_ingested_at string"
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> str:
+    """All events archived under six topics; gives the archive's root."""
     root = shared_dir(spark, "archive")
     events = raw.table(spark, sf_dir, "events")
     by_type = F.create_map(*[F.lit(x) for pair in _TOPIC_OF_EVENT.items() for x in pair])
-    messages = events.select(
-        F.to_json(F.struct("event_id", "user_id", "value", "event_type")).alias("value"),
-        by_type[F.col("event_type")].alias("topic"),
-    )
+    # Half of the largest kind stands in for the sixth topic.
+    topic = F.when((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0), "ticker_list").otherwise(by_type[F.col("event_type")])
+    messages = events.select(F.to_json(F.struct("event_id", "user_id", "value", "event_type")).alias("value"), topic.alias("topic"))
     messages.hint("rebalance", "topic").write.partitionBy("topic").text(f"{root}/messages")
     source = file_stream(spark, f"{root}/messages")
     wait(start_archive_stream(source, f"{root}/lake", f"{root}/checkpoint", available_now=True))
-    schema = "event_id bigint, user_id bigint, value double, event_type string, kafka_ingested_at string"
-    archived = read_json(spark, f"{root}/lake", f"{schema}, topic string, dt_hour string")
+    return f"{root}/lake"
+
+
+@query
+def raw_archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of several topics archived by one stream and read back."""
+    archived = read_json(spark, _archive(spark, sf_dir), f"{_ARCHIVED}, topic string, dt_hour string")
     is_stamped = F.col("kafka_ingested_at").isNotNull().alias("is_stamped")
     return archived.select("event_id", "user_id", "value", "event_type", "topic", is_stamped)
 
 
+@query
+def raw_archive_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same archive by topic, half of the topics with their hours merged into few files."""
+    root = _archive(spark, sf_dir)
+    for topic in ARCHIVED_TOPICS[::2]:
+        for hour in archived_hours(spark, root, topic):
+            compact_archive(spark, root, topic, hour, settle_seconds=-7200)
+    stamped = F.col("kafka_ingested_at").isNotNull().alias("is_stamped")
+    scans = [split_corrupt(scan_archive(spark, root, t, schema=_ARCHIVED))[0].withColumn("topic", F.lit(t)) for t in ARCHIVED_TOPICS]
+    return reduce(DataFrame.unionByName, scans).select("event_id", "user_id", "value", "event_type", "topic", stamped)
+
+
 # Which archived topic stands in for each kind of event.
 _TOPIC_OF_EVENT = {
     "click": "benchmark_index",

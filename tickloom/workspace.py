@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -27,6 +29,35 @@ def shared_base(spark: SparkSession) -> str:
     return _local_base
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_base(spark)}/{label}-{uuid4().hex}"
+    """A path below the shared folder that no other run uses; it goes when the application ends."""
+    base = shared_base(spark)
+    owner = f"{spark.sparkContext.applicationId} {base}"
+    if owner not in _scratch:
+        _scratch[owner] = f"{base}/scratch-{uuid4().hex}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(_scratch[owner])
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return f"{_scratch[owner]}/{label}-{uuid4().hex}"
+
+
+_SCRATCH = re.compile(r"scratch-[0-9a-f]{32}$")
+
+
+def sweep(spark: SparkSession, older_than_seconds: float) -> int:
+    """Delete what applications that were killed have left below the shared folder; gives the number of folders.
+
+    Only the folders of whole applications go, and only those that got nothing new for so long: choose more than any
+    application runs.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(shared_base(spark))
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = (time.time() - older_than_seconds) * 1000
+    old = [f.getPath() for f in (files.listStatus(base) if files.exists(base) else []) if f.getModificationTime() < before and _SCRATCH.match(f.getPath().getName())]
+    for place in old:
+        files.delete(place, True)
+    return len(old)
