@@ -18,7 +18,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import components, prepare, stored
@@ -201,16 +201,30 @@ def trie_links(sets: list[np.ndarray], asks: np.ndarray, component: np.ndarray,
             return
 
 
+def row_name(key: str, text: str) -> Column:
+    """What rows of one key and text share; never null."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
+
+
 def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
     """``key, n_shingles, component_id`` for each row of ``docs``.
 
     Two texts link when ``100 * overlap >= percent * union`` of their n-gram sets. A null
     text or one without words has an empty set and links with nothing. Repeated rows and
-    equal sets are one class. Keys are whole numbers; a row with a null key shares its class, and its
-    ``component_id`` is null if nothing else is in it.
+    equal sets are one class. Keys are whole numbers; a row with a null key is compared like any other, and its
+    ``component_id`` is null if its class has no key at all.
+    """
+    rows = set_classes(docs, n, percent, key, text, block_sets)
+    return rows.select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def set_classes(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
+    """``id, name, size, component, component_id`` for each row of ``docs``: its ``row_name``, the size of its set, and its class.
+
+    ``component`` is a number that the class alone has, null for an empty set; ``component_id`` is the smallest key in the class.
     """
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), row_name(key, text).alias("name"), F.col(text).cast("string").alias("text"))
     # 16 classes of rarity for a fixed number of cells: 2 MB, whatever the corpus.
     classes = spark.sparkContext.broadcast(rarity(gram_counts(rows, n)).astype(np.uint8))
 
@@ -228,11 +242,11 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
                 sizes.append(size)
                 firsts.append(tokens[: size - -(-percent * size // 100) + 1].view(np.int64) if size else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                ["id", "node", "size", "prefix"],
+                [batch.column("id"), batch.column("name"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                ["id", "name", "node", "size", "prefix"],
             )
 
-    known = stored(rows.mapInArrow(prefixes, "id long, node long, size long, prefix array<long>"), "prefixes")
+    known = stored(rows.mapInArrow(prefixes, "id long, name long, node long, size long, prefix array<long>"), "prefixes")
     nodes = known.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     grams = nodes.select("node", F.floor(F.log("size") / (1.0001 * math.log(100 / percent))).cast("int").alias("band"), F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
@@ -248,12 +262,12 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
 
     # The texts of those sets alone that meet another one, one text for each set. They are shipped
     # compressed and become sets again where they meet.
-    least = known.where("size > 0").groupBy("node").agg(F.min("id").alias("id")).where("id IS NOT NULL")
+    least = known.where("size > 0").groupBy("node").agg(F.min("name").alias("id"))
     wanted = stored(least.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
-    texts = shipped(rows, wanted.select("id"))
+    texts = shipped(rows.select(F.col("name").alias("id"), "text"), wanted.select("id"))
 
     def group_sets(group: pa.RecordBatch) -> dict[int, tuple[int, np.ndarray]]:
-        """Row and set of each node of a group; what came by a wrong or repeated id is left out."""
+        """Row and set of each node of a group; what came by a repeated name is left out."""
         out: dict[int, tuple[int, np.ndarray]] = {}
         own = classes.value.astype(np.uint64)
         every = (tokens for _, data, at in pieces(unsqueezed(group)) for tokens in ordered_sets(data, at, n, own))
@@ -327,10 +341,8 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
     every = known.where("size > 0").groupBy("node").agg(F.min("id").alias("least"))
     every = every.join(reached, every["node"] == reached["id"], "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     lowest = every.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes_of = every.join(lowest, "component").select("node", "component_id")
-    return known.select("id", "size", "node").join(classes_of, "node", "left").select(
-        F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    classes_of = every.join(lowest, "component").select("node", "component", "component_id")
+    return known.select("id", "name", "size", "node").join(classes_of, "node", "left").select("id", "name", "size", "component", "component_id")
 
 
 SETS_SQL = r"""
