@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.functions.casts import quoted
+from tickloom.workspace import let_workers_import
 
 DELAY_SECONDS = 600
 #: A ticker that shows nothing for so long is forgotten, with its state.
@@ -43,6 +44,7 @@ def first_seen(
     remembers whether it was there. Such rows are left out, or kept with ``is_late`` true under ``keep_late``,
     for a table of their own. Of rows of one key in one micro-batch any may be the first. Rows without ticker or time never pass.
     """
+    let_workers_import(ticks.sparkSession)
     columns = ticks.columns
     delay = delay_seconds * 1_000_000
     rows = ticks.where(quoted(ticker).isNotNull() & quoted(time_col).isNotNull())

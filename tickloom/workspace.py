@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import time
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 _local_base: str | None = None
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Let Python workers that start from now on import this package, wherever the application was started."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or set as checkpoint folder.
 
