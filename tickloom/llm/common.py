@@ -16,9 +16,14 @@ BATCH_ROWS = 2000  # rows handed to Python at once
 BATCH_BYTES = 2 << 20  # and bytes; one longer text is a batch of its own
 
 
+#: Workers live through many stages: large arrays go back to the system when they are freed.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "MALLOC_ARENA_MAX": "2"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep their batches small."""
+    """Let Python workers import this package, and keep their batches and their memory small."""
     env = spark.sparkContext.environment
+    env.update({k: v for k, v in WORKER_MEMORY.items() if k not in env})
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
@@ -35,7 +40,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors cost nothing that was done."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing that is still to be computed reads them."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def lower_ascii(text: Column) -> Column:

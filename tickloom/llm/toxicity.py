@@ -4,16 +4,19 @@ Toxic and ordinary texts each have a model of expressions: words, then word begi
 length. A model keeps an expression's count less a constant discount; the discounted mass goes to
 the next shorter beginning, by counts that both classes share, so a word that was never or
 rarely seen is judged by how it begins. Shorter levels count distinct words, not
-tokens. All expressions stay in stored tables that grow with the corpus. The texts' words are joined to them, in blocks
-of texts that ask once for each distinct word, and add up to the difference of both log-likelihoods; its length-normalised
-features are set against each other by a logistic curve fitted on labelled rows that no model counted.
+tokens. All kept expressions stay in a stored table that grows with the corpus, dealt by hash into buckets. Texts go in blocks; a
+block asks each bucket once for the expressions it holds there, and the answers add up to the difference of both
+log-likelihoods. Its length-normalised features are set against each other by a logistic curve fitted on labelled
+rows that no model counted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import prepare, stored
-from tickloom.llm.rolling import Prefix, mix, pieces
+from tickloom.llm.common import discard, prepare, stored
+from tickloom.llm.rolling import Prefix, pieces
 from tickloom.llm.shipping import shipped, unsqueezed
 
 BEGINNINGS = (6, 5, 4)  # bytes of the word beginnings behind whole words
 NAMES = ("word", *(f"b{i}" for i in range(len(BEGINNINGS))))
 DISCOUNT = 2.0  # of a token count, whatever the corpus; half as much of a count of words
-BLOCK_BYTES = 1 << 22  # texts whose words are looked up together
+BLOCK_BYTES = 12 << 20  # texts whose words are looked up together
+BUCKET_EXPRESSIONS = 1 << 19  # of the model that a task holds at once, about
+FILTER_BITS = 1 << 24  # of the filter that tells which expressions need not be asked for; a full one only saves less
+SALTS = tuple(int(x) for x in np.random.default_rng(5).integers(-(2**62), 2**62, len(NAMES)))  # a word differs from itself as a beginning
 STRONG = (1.5, 3.0, 4.5)  # log-ratios from which on a word speaks for toxicity, more or less strongly
 FEATURES = 2 + 2 * len(STRONG)
 FIT_ROWS = 20_000  # labelled rows for the logistic curve, those with the smallest hashes
@@ -52,92 +58,180 @@ def words(data: np.ndarray, at: np.ndarray, beginnings: tuple[int, ...] = BEGINN
     return np.searchsorted(at, start, "right") - 1, [prefix.of(start, stop), *(prefix.of(start, np.minimum(start + k, stop)) for k in beginnings)]
 
 
+def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], int]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Parts ``(tag of each text, text of each word, hashes, bytes)`` put together until a block holds enough bytes of words."""
+    held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+    texts = size = 0
+    for tags, place, hashes, n_bytes in parts:
+        held.append((tags, place + texts, hashes))
+        texts, size = texts + len(tags), size + n_bytes
+        if size >= BLOCK_BYTES:
+            held, block, texts, size = [], _joined(held), 0, 0
+            yield block
+            del block
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [np.concatenate(x) for x in zip(*(h[2] for h in held))]
+
+
 def counted(labelled: DataFrame) -> DataFrame:
     """``word, b0.., toxic, ordinary``: tokens of words of shipped texts with ``toxic`` in each class, in parts to be added up."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             for row, data, at in pieces(unsqueezed(batch)):
-                texts, hashes = words(data, at)
-                word, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
-                bad = toxic[texts + row] == 1
-                sums = [np.bincount(back[side], minlength=len(word)) for side in (bad, ~bad)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(h[first].view(np.int64)) for h in hashes), *map(pa.array, sums)], [*NAMES, "toxic", "ordinary"])
+                yield toxic[row : row + len(at) - 1], *words(data, at), len(data)
+
+    def one(toxic: np.ndarray, texts: np.ndarray, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        word, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
+        bad = toxic[texts] == 1
+        sums = [np.bincount(back[side], minlength=len(word)) for side in (bad, ~bad)]
+        return pa.RecordBatch.from_arrays([*(pa.array(h[first].view(np.int64)) for h in hashes), *map(pa.array, sums)], [*NAMES, "toxic", "ordinary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Nothing of a block stays while the next one is gathered.
+        yield from map(lambda block: one(*block), gathered(read(batches)))
 
     fields = ", ".join(f"{n} long" for n in [*NAMES, "toxic", "ordinary"])
-    return labelled.select("bytes", "squeezed", "toxic").mapInArrow(count, fields)
+    return labelled.select("bytes", "squeezed", "toxic").mapInArrow(run, fields)
 
 
-def blocks(column: pa.Array, beginnings: tuple[int, ...] = BEGINNINGS) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
-    """First row and end of runs of rows, then text (from the first row on) and hashes of each of their words."""
-    held: list[tuple[np.ndarray, list[np.ndarray]]] = []
-    first = size = 0
-    for row, data, at in pieces(column):
-        texts, hashes = words(data, at, beginnings)
-        held.append((texts + (row - first), hashes))
-        size, stop = size + len(data), row + len(at) - 1
-        if size >= BLOCK_BYTES or stop == len(column):
-            yield first, stop, np.concatenate([t for t, _ in held]), [np.concatenate(h) for h in zip(*(h for _, h in held))]
-            held, first, size = [], stop, 0
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers, compressed; each array by planes of bytes, so that like bytes lie together."""
+    raw = b"".join(x for a in arrays for x in (np.array([len(a)], "<i8").tobytes(), a.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unlabelled(texts: DataFrame) -> DataFrame:
-    """The words of ``texts(text)`` in the form of ``counted``, with no count in either class."""
+def expanded(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        n = int(np.frombuffer(raw, "<i8", 1, at)[0])
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n).T).view("<i8").ravel())
+        at += 8 * (n + 1)
+    return out
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, _, hashes in blocks(batch.column("text")):
-                word, at = np.unique(hashes[0], return_index=True)
-                none = pa.array(np.zeros(len(word), np.int64))
-                yield pa.RecordBatch.from_arrays([*(pa.array(h[at].view(np.int64)) for h in hashes), none, none], [*NAMES, "toxic", "ordinary"])
 
-    return texts.select("text").mapInArrow(find, ", ".join(f"{n} long" for n in [*NAMES, "toxic", "ordinary"]))
+def expression_filter(model: DataFrame) -> np.ndarray:
+    """Bits that tell of every expression of ``model(expression)`` that it is there, and of few others: ``FILTER_BITS`` of them."""
+    places = F.array(*(F.shiftrightunsigned("expression", i).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in _SHIFTS))
+    bits = model.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    got = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
 
+_SHIFTS = (0, 19, 38)  # the filter's places are bits of the expression itself, which is a hash
 
-def packed(ids: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[int, bytes]:
-    """Size and compressed bytes of a block: hashes of its texts, then ascending ``text * words + word`` and their counts."""
-    planes = [x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(pairs, prepend=0), times)]
-    raw = b"".join([np.array([len(ids)], "<i8").tobytes(), ids.astype("<i8").tobytes(), *planes])
-    return len(raw), pa.compress(raw, "zstd", asbytes=True)
 
+def may_hold(bits: np.ndarray, expressions: np.ndarray) -> np.ndarray:
+    held = np.ones(len(expressions), bool)
+    for i in _SHIFTS:
+        at = (expressions >> np.uint64(i)) & np.uint64(FILTER_BITS - 1)
+        held &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return held
 
-def unpacked(size: int, squeezed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.decompress(squeezed, size, "zstd", asbytes=True)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    steps, times = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in np.frombuffer(raw, np.uint8, offset=8 * (n + 1)).reshape(2, 8, -1))
-    return np.frombuffer(raw, "<i8", n, 8), np.cumsum(steps), times
 
+def bucket_of(expressions: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the expressions as unsigned numbers."""
+    return ((expressions >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-def posted(texts: DataFrame) -> DataFrame:
-    """``block, word`` for each distinct word of a block of ``texts(text_hash, text)``, and ``block, size, squeezed`` for each block.
 
-    The latter hold which texts have which words, and how often; words are numbered by their order.
+def posted(texts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
+    """``block, bucket, data``: what each block of ``texts(text_hash, text)`` asks each bucket for, and, with a null bucket, what waits for the answers.
+
+    Words whose expressions the model cannot hold are one with all words of their beginning. What waits is hashes of the texts,
+    ascending ``text * chains + chain``, how often, and for each level the place of a chain's expression among those asked for, or -1.
     """
+    bits = texts.sparkSession.sparkContext.broadcast(expression_filter(model))
+    salts = [np.int64(x).view(np.uint64) for x in SALTS]
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             ids = batch.column("text_hash").to_numpy()
-            for start, stop, place, (hashes,) in blocks(batch.column("text"), ()):
-                block = int(mix(np.array([number], np.uint64)).view(np.int64)[0])
-                number += 1
-                word, back = np.unique(hashes.view(np.int64), return_inverse=True)
-                pairs, times = np.unique(place * len(word) + back, return_counts=True)
-                size, squeezed = packed(ids[start:stop], pairs, times)
-                n = len(word) + 1
-                columns = [pa.array(np.full(n, block)), pa.array([*word.tolist(), None], pa.int64()), pa.array([None] * (n - 1) + [size], pa.int64()), pa.array([None] * (n - 1) + [squeezed], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "word", "size", "squeezed"])
+            for row, data, at in pieces(batch.column("text")):
+                yield ids[row : row + len(at) - 1], *words(data, at), len(data)
+
+    def one(ids: np.ndarray, place: np.ndarray, hashes: list[np.ndarray], number: int) -> pa.RecordBatch:
+        _, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
+        levels = [h[first] ^ salt for h, salt in zip(hashes, salts)]
+        held = [may_hold(bits.value, e) for e in levels]
+        chain, some, of_word = np.unique(np.where(held[0], levels[0], levels[1]), return_index=True, return_inverse=True)
+        levels, held = [e[some] for e in levels], [h[some] for h in held]
+        asked = np.unique(np.concatenate([e[h] for e, h in zip(levels, held)]))
+        at = [np.where(h, np.searchsorted(asked, e), -1) for e, h in zip(levels, held)]
+        pairs, times = np.unique(place * max(len(chain), 1) + of_word[back], return_counts=True)
+        bucket = bucket_of(asked, buckets)
+        edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        data = [squeezed(np.diff(asked[a:b], prepend=np.uint64(0)).view(np.int64)) for a, b in zip(edges, edges[1:])]
+        data.append(squeezed(ids, np.diff(pairs, prepend=0), times, *at))
+        where = [*bucket[edges[:-1]].tolist(), None]
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(data), pa.int64()), pa.array(where, pa.int64()), pa.array(data, pa.binary())], ["block", "bucket", "data"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        yield from map(lambda block, number: one(*block, number), gathered(read(batches)), count(first))
 
-    return texts.mapInArrow(post, "block long, word long, size long, squeezed binary")
 
+    return texts.mapInArrow(post, "block long, bucket long, data binary")
 
-def learn(vocabulary: DataFrame) -> DataFrame:
-    """``word, ratio``: log-ratio of both classes for every word of ``vocabulary(word, b0.., toxic, ordinary)``, those with no count too.
 
-    An expression that no class keeps has the ratio of its beginning, shifted by what both classes give to beginnings.
+def answered(posts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
+    """``block, bucket, data``: the ratios of what was asked for, in its order; those the model does not hold are not numbers.
+
+    A task holds one bucket of the model at a time, and the questions stream past it.
+    """
+    unsigned = F.shiftrightunsigned("expression", 32) * F.lit(buckets)
+    held = model.select(F.shiftrightunsigned(unsigned, 32).alias("bucket"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("data"), "expression", "ratio")
+    asked = posts.where("bucket IS NOT NULL").select("bucket", "block", "data", F.lit(None).cast("long").alias("expression"), F.lit(None).cast("double").alias("ratio"))
+    # The model's rows come first in a bucket: they have no block.
+    rows = held.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block", "expression")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        known, ratios = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        for batch in batches:
+            own, is_model = batch.column("bucket").to_numpy(), batch.column("block").is_null().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(own, prepend=own[:1] - 1) != 0) | np.diff(is_model, prepend=~is_model[:1])) if len(own) else own
+            out: list[tuple] = []
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)]):
+                if own[a] != bucket:
+                    bucket, parts, known, ratios = own[a], [], known[:0], ratios[:0]
+                if is_model[a]:
+                    part = batch.slice(a, b - a)
+                    parts.append((part.column("expression").to_numpy().view(np.uint64), part.column("ratio").to_numpy().astype(np.float32)))
+                    continue
+                if parts:
+                    known, ratios = np.concatenate([known, *(e for e, _ in parts)]), np.concatenate([ratios, *(r for _, r in parts)])
+                    order, parts = np.argsort(known), []
+                    known, ratios = known[order], ratios[order]
+                for block, data in zip(batch.column("block")[a:b].to_pylist(), batch.column("data")[a:b].to_pylist()):
+                    wanted = np.cumsum(expanded(data)[0].view(np.uint64))
+                    got = np.full(len(wanted), np.nan, "<f4")
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                        got = np.where(known[at] == wanted, ratios[at], np.float32("nan")).astype("<f4")
+                    out.append((block, int(bucket), pa.compress(got.tobytes(), "zstd", asbytes=True), 4 * len(got)))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "bucket", "data", "size"])
+
+    return rows.mapInArrow(answer, "block long, bucket long, data binary, size long")
+
+
+def learn(vocabulary: DataFrame) -> tuple[DataFrame, list[float]]:
+    """``expression, ratio``: log-ratio of both classes for every expression of ``vocabulary(word, b0.., toxic, ordinary)`` that a class keeps.
+
+    An expression that no class keeps has the ratio of its beginning, shifted by what both classes give to beginnings: by level, the
+    second result.
     """
     below: DataFrame | None = None
+    levels, tables, shifts = [], [], [0.0] * len(NAMES)
     for depth in reversed(range(len(NAMES))):
         name = NAMES[depth]
         if depth:  # distinct words of each class behind a beginning
@@ -159,12 +253,18 @@ def learn(vocabulary: DataFrame) -> DataFrame:
             share = F.coalesce(F.try_divide(F.col("toxic") + F.col("ordinary"), F.col("mass")), F.lit(0.0))
             joined = joined.withColumns({f"p_{c}": F.col(f"p_{c}") * share for c in total})
         chances = {f"p_{c}": kept[c] / max(total[c], 1.0) + rest[c] * F.col(f"p_{c}") for c in total}
-        backoff = float(np.log(max(rest["toxic"], 1e-9) / max(rest["ordinary"], 1e-9)))
+        backoff = shifts[depth] = float(np.log(max(rest["toxic"], 1e-9) / max(rest["ordinary"], 1e-9)))
         counted_ratio = F.log(F.greatest("p_toxic", F.lit(1e-300)) / F.greatest("p_ordinary", F.lit(1e-300)))
-        ratio = F.when((kept["toxic"] > 0) | (kept["ordinary"] > 0), counted_ratio).otherwise(F.col("shorter") + backoff)
-        own = stored(joined.withColumns(chances).select(name, "p_toxic", "p_ordinary", ratio.alias("ratio")), "expressions")
-        below = own.withColumnRenamed("ratio", "shorter")
-    return own.select("word", "ratio")
+        is_kept = (kept["toxic"] > 0) | (kept["ordinary"] > 0)
+        ratio = F.when(is_kept, counted_ratio).otherwise(F.col("shorter") + backoff)
+        made = joined.withColumns(chances).select(name, "p_toxic", "p_ordinary", ratio.alias("ratio"), is_kept.alias("kept"))
+        own = stored(made if depth else made.where("kept").select(name, "ratio", "kept"), "expressions")
+        levels.append(own)
+        tables.append(own.where("kept").select(F.col(name).bitwiseXOR(F.lit(SALTS[depth])).alias("expression"), "ratio"))
+        below = own.drop("kept").withColumnRenamed("ratio", "shorter")
+    model = stored(reduce(DataFrame.unionByName, tables), "model")
+    discard(*levels)
+    return model, shifts
 
 
 def features(place: np.ndarray, times: np.ndarray, ratio: np.ndarray, n: int) -> np.ndarray:
@@ -177,21 +277,28 @@ def features(place: np.ndarray, times: np.ndarray, ratio: np.ndarray, n: int) ->
     return np.stack(out, 1)
 
 
-def weighed(posts: DataFrame, ratios: DataFrame) -> DataFrame:
+def weighed(posts: DataFrame, answers: DataFrame, shifts: list[float]) -> DataFrame:
     """``text_hash, f0..``: the features of every distinct text."""
     names = [f"f{i}" for i in range(FEATURES)]
-
-    def weigh(asked: pa.Table, block: pa.Table) -> pa.Table:
-        ratio = asked.sort_by("word")["ratio"].to_numpy()
-        ids, pairs, times = unpacked(block["size"][0].as_py(), block["squeezed"][0].as_py())
-        place, word = np.divmod(pairs, max(len(ratio), 1))
-        x = features(place, times, ratio[word], len(ids))  # a text's words add up in order of their hashes, in whatever block it stands
+    beyond = np.cumsum([0.0, *shifts])  # what a word is shifted by that is first known at each level, or nowhere
+
+    def weigh(waits: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("bucket")
+        parts = [np.frombuffer(pa.decompress(d, n, "zstd", asbytes=True), "<f4") for d, n in zip(found["data"].to_pylist(), found["size"].to_pylist())]
+        known = np.concatenate([*parts, np.array([np.nan], "<f4")]).astype(float)  # the last one stands for -1
+        ids, steps, times, *at = expanded(waits["data"][0].as_py())
+        ratio = np.full(len(at[0]), beyond[-1])
+        for depth in reversed(range(len(at))):
+            got = known[at[depth]]
+            ratio = np.where(np.isnan(got), ratio, got + beyond[depth])
+        place, chain = np.divmod(np.cumsum(steps), max(len(ratio), 1))
+        x = features(place, times, ratio[chain], len(ids))  # a text's words add up in order of their hashes, in whatever block it stands
         hashes, first = np.unique(ids, return_index=True)
         return pa.table([pa.array(hashes), *(pa.array(c) for c in x[first].T)], ["text_hash", *names])
 
-    asked = posts.where("squeezed IS NULL").select("block", "word").join(ratios, "word").select("block", "word", "ratio")
-    held = posts.where("squeezed IS NOT NULL").select(F.col("block").alias("held"), "size", "squeezed")
-    found = asked.groupBy("block").cogroup(held.groupBy("held")).applyInArrow(weigh, ", ".join(["text_hash long", *(f"{n} double" for n in names)]))
+    waiting = posts.where("bucket IS NULL").select("block", "data")
+    answers = answers.withColumnRenamed("block", "of")
+    found = waiting.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(weigh, ", ".join(["text_hash long", *(f"{n} double" for n in names)]))
     return found.groupBy("text_hash").agg(*(F.max(n).alias(n) for n in names))
 
 
@@ -247,10 +354,15 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     hashed = teachers.select("id", F.xxhash64("text").alias("text_hash")).join(truth, "id")
     chosen = hashed.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1).select("id").distinct()
     chosen = stored(chosen.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS), "curve")
-    posts = stored(posted(docs.select(F.xxhash64(content).alias("text_hash"), content.alias("text"))), "posts")
-    tokens = counted(known.join(chosen, "id", "left_anti")).unionByName(unlabelled(docs.select(content.alias("text"))))
+    tokens = counted(known.join(chosen, "id", "left_anti"))
     vocabulary = stored(tokens.groupBy(*NAMES).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "vocabulary")
-    found = stored(weighed(posts, learn(vocabulary)), "features")
+    model, shifts = learn(vocabulary)
+    discard(vocabulary)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, math.ceil(model.count() / BUCKET_EXPRESSIONS))
+    posts = stored(posted(docs.select(F.xxhash64(content).alias("text_hash"), content.alias("text")), model, buckets), "posts")
+    found = stored(weighed(posts, answered(posts, model, buckets), shifts), "features")
+    discard(posts, model)
 
     names = [f"f{i}" for i in range(FEATURES)]
     sample = hashed.join(chosen, "id").orderBy(F.xxhash64("id"), "id", "text_hash").limit(FIT_ROWS)
