@@ -64,8 +64,8 @@ def similar_sets(docs, n=4, percent=85):
     return {i: (len(s), classes.find(i)) for i, s in sets.items()}
 
 
-def repeats(texts, length):
-    """Kept bytes and number of removed bytes and spans of each text."""
+def repeats(texts, length, least_words=0):
+    """Kept bytes and number of removed bytes and spans of each text; runs of fewer words stay."""
     raw = [(t or "").encode() for t in texts]
     seen = defaultdict(list)
     for i, t in enumerate(raw):
@@ -78,6 +78,9 @@ def repeats(texts, length):
                 covered[i][p : p + length] = True
     out = []
     for t, c in zip(raw, covered):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(int), [0]])))
+        for a, b in zip(edges[::2], edges[1::2]):
+            c[a:b] = len(t[a:b].split()) >= least_words
         kept = bytes(b for b, gone in zip(t, c) if not gone)
         spans = int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())
         out.append((len(t), int(c.sum()), spans, hashlib.sha256(kept).hexdigest()))

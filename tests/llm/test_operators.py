@@ -192,10 +192,26 @@ def test_every_participant_is_assistant_once(spark):
     assert "< |im_end|>" in out[3, "unknown"].rendered
 
 
-def test_long_conversations_come_in_parts(spark):
-    turns = [(1, i, "ab"[i % 2], str(i)) for i in range(10)]
-    out = perspectives.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), turns_per_part=4).collect()
-    assert sorted((r.part, r.participant, r.n_turns) for r in out) == [(p, w, n) for p, n in ((0, 4), (1, 4), (2, 2)) for w in "ab"]
+@pytest.mark.parametrize("numbers", ["counted", "null", "equal"])
+@pytest.mark.parametrize("ranges", [None, 5])
+def test_parts_join_up_to_the_whole_dialogue(spark, numbers, ranges):
+    number = {"counted": lambda i: i, "null": lambda i: None, "equal": lambda i: 7}[numbers]
+    turns = [(1, number(i), ["system", "ann", "bob"][min(i, 1 + i % 2)], f"turn {i:03d} " + "é" * (i % 5)) for i in range(50)] + [(1, 99, "late", "x"), (2, 0, "solo", "")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"_part": F.lit(1), "offset": F.lit("clash")})
+    whole = {(r.conv_id, r.participant): r for r in perspectives.rotate(frame).collect()}
+    parts = perspectives.rotate(frame, turns_per_part=8, ranges=ranges).collect()
+    assert {(r.conv_id, r.participant) for r in parts} == set(whole) and max(r.n_turns for r in parts) == 8
+    for who, r in whole.items():
+        own = sorted((p for p in parts if (p.conv_id, p.participant) == who), key=lambda p: p.part)
+        assert "".join(p.rendered for p in own) == r.rendered and "".join(p.mask for p in own) == r.mask
+        assert [p.offset for p in own] == [sum(len(p.rendered) for p in own[:i]) for i in range(len(own))]
+        assert ",".join(p.spans for p in own if p.spans) == r.spans and r.offset == 0 and r.context == ""
+        opening = own[0].rendered.split("<|im_start|>system\n")[1:]
+        assert all(p.context.count("<|im_start|>system") == len(opening) for p in own[1:]) and own[0].context == ""
+
+
+def test_perspectives_of_an_empty_table(spark):
+    assert perspectives.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 # --- 5: packing ----------------------------------------------------------------------
