@@ -121,7 +121,7 @@ class Rows:
         return flat[at[a] : at[b]].reshape(b - a, -1)
 
     def links(self, a: int, b: int, threshold: float) -> list[tuple[int, int, int]]:
-        vectors = self.part("vector", a, b)
+        vectors = self.part("vector", a, b).astype(np.float64)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         if self.block_a[a] == self.block_b[a]:
             left = right = np.arange(b - a)
@@ -162,7 +162,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     Keys are whole numbers; a null key is kept as it is and never a component's id unless alone.
     """
     spark = prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    # Single precision is shuffled as it is; every comparison is in double.
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(kind).alias("vector"))
     rows = rows.withColumn("ok", usable(F.col("vector")) & F.col("label").isNotNull())
     rows = rows.withColumn("rep", F.when(F.col("ok"), F.xxhash64("label", "vector")))
     reps = stored(
@@ -174,7 +176,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     codes: dict[int, Codes] = {}
     for dim, n in sizes.items():
         sample = reps.where(F.col("dim") == dim).orderBy("rep").limit(SAMPLE_ROWS).select("vector").toPandas()
-        codes[dim] = Codes(np.array(sample["vector"].tolist()), *table_plan(n, dim, threshold))
+        codes[dim] = Codes(np.array(sample["vector"].tolist(), np.float64), *table_plan(n, dim, threshold))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,11 +185,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
             vectors = batch.column("vector").to_pylist()
             for dim in set(dims):
                 at = [i for i, d in enumerate(dims) if d == dim]
-                for i, k in zip(at, codes[dim].keys(np.array([vectors[i] for i in at])).tolist()):
+                for i, k in zip(at, codes[dim].keys(np.array([vectors[i] for i in at], np.float64)).tolist()):
                     keys[i] = k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
 
-    fields = "rep long, label string, vector array<double>, weight long, dim int, keys array<long>"
+    fields = f"rep long, label string, vector {kind}, weight long, dim int, keys array<long>"
     coded = reps.select("rep", "label", "vector", "weight", "dim").mapInArrow(code, fields)
     placed = coded.select("*", F.posexplode("keys").alias("table_no", "value"))
     where = ["dim", "label", "table_no", "value"]
