@@ -1,12 +1,15 @@
 """Removal of long strings that start more than once, by prefix-free parsing.
 
+Departure from the method: no suffix array of the dictionary and none of the parse is built, and nothing is merged into corpus
+order. Only strings of one length matter here, so the order of suffixes is replaced by hashes of 64 bits of those strings, compared
+within the phrases of one trigger; between phrases, by hashes of whole phrases.
+
 A rolling hash cuts texts into phrases: in each stretch of bytes as long as the strings looked for,
 the gram with the smallest hash is the trigger, so equal strings are cut alike wherever they
 stand. All strings with one trigger form a phrase with its context. The dictionary
 of distinct phrases decides most: one that occurs again repeats as a whole, and one whose trigger
 occurs nowhere else repeats nowhere. Only distinct phrases that share a trigger
-need their bytes: the suffixes of their part of the dictionary, each as long as the strings
-looked for, are put in one order, and neighbours that are equal start more than once.
+need their bytes: the strings in them, as hashes, are sorted, and neighbours that are equal start more than once.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import prepare, stored
 from tickloom.llm.grouped import batched, key_groups
 from tickloom.llm.rolling import Prefix, pieces, text_bytes
+from tickloom.llm.shipping import likely, shipped, unsqueezed
 
 GRAM = 64  # bytes of a trigger
 CROWD = 20_000  # distinct phrases of one trigger; more are ordered by the hash of each string
@@ -98,13 +102,13 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", gram: int = GRAM, crowd: int = CROWD, least_words: int = 0) -> DataFrame:
     """The columns of ``docs``, then ``_bytes``, ``_spans`` and ``_kept``.
 
     ``_spans`` are the maximal runs ``(begin, end)`` of UTF-8 bytes that some string of ``length`` bytes
     covers which also starts anywhere else, in the same text or in another; ``_kept`` are the other
     bytes. Columns of ``docs`` with these names give way. Strings never cross texts. A null text counts as empty; a text shorter than ``length``
-    has no spans; repeated rows repeat each other.
+    has no spans; repeated rows repeat each other. Runs that hold fewer than ``least_words`` words, cut ones included, stay.
     """
     prepare(docs.sparkSession)
     assert 0 < gram <= length
@@ -127,27 +131,29 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     dictionary = parsed.groupBy("trigger", "context").agg(F.count("*").alias("n"), F.min(F.struct("name", "begin", "starts")).alias("one"))
     dictionary = stored(dictionary, "dictionary")
     again = dictionary.where("n > 1").select("trigger", "context")
-    spans = parsed.join(again, ["trigger", "context"], "left_semi").select("name", "begin", (F.col("begin") + F.col("starts") - 1 + length).alias("end"))
+    spans = likely(parsed, ["trigger", "context"], again).join(again, ["trigger", "context"], "left_semi").select("name", "begin", (F.col("begin") + F.col("starts") - 1 + length).alias("end"))
 
     # Triggers of several distinct phrases: their bytes decide.
     shared = dictionary.groupBy("trigger").agg(F.count("*").alias("kinds")).where("kinds > 1")
     unsure = dictionary.join(shared, "trigger").select("trigger", "context", "kinds", (F.col("n") > 1).alias("whole"), "one.*")
     wanted = unsure.groupBy("name").agg(F.collect_list(F.struct("trigger", "context", "kinds", "whole", "begin", "starts")).alias("parts"))
+    wanted = stored(wanted.withColumnRenamed("name", "id"), "unsure")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = pa.schema([("trigger", pa.int64()), ("context", pa.int64()), ("kinds", pa.int64()), ("whole", pa.bool_()), ("name", pa.int64()), ("begin", pa.int64()), ("bytes", pa.binary())])
 
         def run() -> Iterator[tuple]:
             for batch in batches:
-                data, at = text_bytes(batch.column("text"))
-                for name, begin, parts in zip(batch.column("name").to_pylist(), at.tolist(), batch.column("parts").to_pylist()):
+                data, at = text_bytes(unsqueezed(batch))
+                for name, begin, parts in zip(batch.column("id").to_pylist(), at.tolist(), batch.column("parts").to_pylist()):
                     for p in parts:
                         a = begin + p["begin"]
                         yield p["trigger"], p["context"], p["kinds"], p["whole"], name, p["begin"], data[a : a + p["starts"] - 1 + length].tobytes()
 
         yield from batched(run(), fields, 1024)
 
-    cuts = texts.join(wanted, "name").mapInArrow(cut, "trigger long, context long, kinds long, whole boolean, name long, begin long, bytes binary")
+    held = shipped(texts.withColumnRenamed("name", "id"), wanted.select("id")).join(wanted, "id")
+    cuts = held.mapInArrow(cut, "trigger long, context long, kinds long, whole boolean, name long, begin long, bytes binary")
     cuts = stored(cuts.dropDuplicates(["trigger", "context"]), "contexts")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +190,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
             spans, kept = [], []
             for a, b, found in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("__found").to_pylist()):
                 own = merged([(s["begin"], s["end"]) for s in found or []])
+                if least_words:
+                    own = [(x, y) for x, y in own if len(data[a + x : a + y].tobytes().split()) >= least_words]
                 spans.append([{"begin": x, "end": y} for x, y in own])
                 marks = [0, *(m for s in own for m in s), b - a]
                 kept.append(b"".join(data[a + x : a + y].tobytes() for x, y in zip(marks[::2], marks[1::2])))

@@ -28,6 +28,31 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _held(bits: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows the filter lets pass, by their places ``at0``..."""
+    held = np.ones(batch.num_rows, bool)
+    for i in range(FILTER_HASHES):
+        at = batch.column(f"at{i}").to_numpy()
+        held &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return held
+
+
+def likely(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose ``keys`` are in ``wanted(keys)``, and few others; nothing is shuffled.
+
+    For the big side of a join with few matches, in front of it.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.xxhash64(*keys).alias("id"))))
+    names = rows.columns
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(names).filter(pa.array(_held(bits.value, batch)))
+
+    places = [c.alias(f"at{i}") for i, c in enumerate(filter_places(F.xxhash64(*keys)))]
+    return rows.select(*names, *places).mapInArrow(choose, rows.schema)
+
+
 def shipped(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id, bytes, squeezed`` of the rows of ``rows(id, text)`` whose id is in ``wanted(id)``, and of few others.
 
@@ -38,10 +63,7 @@ def shipped(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = np.ones(batch.num_rows, bool)
-            for i in range(FILTER_HASHES):
-                at = batch.column(f"at{i}").to_numpy()
-                held &= (bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            held = _held(bits.value, batch)
             ids, texts = (batch.column(c).filter(pa.array(held)) for c in ("id", "text"))
             squeezed = [pa.compress((t or "").encode(), "zstd", asbytes=True) for t in texts.to_pylist()]
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
