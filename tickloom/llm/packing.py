@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import prepare, stored
 
-KEPT_WORDS = 500_000  # words that a worker remembers of the present, and of the generation before
+KEPT_WORDS = 300_000  # words that a worker remembers of the present, and of the generation before
 GROUP_ROWS = 4096  # pieces ranked together
 
 # The vocabulary's own word pattern always ends a word between a letter and another mark, save that
