@@ -18,7 +18,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tickloom.llm import ngram_join, packing, repeats, toxicity  # noqa: E402
 from tickloom.llm.common import prepare, stored, table  # noqa: E402
 
-PASSAGE_BYTES = 256  # about forty words; a passage of fifty repeats at least so many
+PASSAGE_WORDS = 51  # a run that repeats is removed if it holds so many words
+PASSAGE_BYTES = 200  # and is so long; 51 words of under three letters on average are shorter, and stay
+PASSAGE_GRAM = 48
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,28 +31,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles overlap by 0.8 or more: that with the smallest id.
+    """One document of each group whose five-word shingles overlap by 0.8 or more: that with the smallest id, rows without id last.
 
-    Documents without words or without id stay; of rows repeated with id and text one stays.
+    Documents without words stay. Of rows repeated with id and text one stays; of different texts under one id in
+    a group one stays as well.
     """
     prepare(spark)
-    classes = ngram_join.similar_sets(docs, n=5, percent=80)
-    beaten = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    # An id that is repeated may be first in one group and beaten in another.
-    gone = beaten.join(first, "doc_id", "left_anti")
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
-    kept = kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    classes = ngram_join.set_classes(docs, n=5, percent=80).where("component IS NOT NULL")
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "name")).getField("name").alias("first"))
+    beaten = classes.join(first, "component").where("name <> first").select(F.col("name").alias("__name")).distinct()
+    named = docs.withColumn("__name", ngram_join.row_name("doc_id", "text"))
+    # Rows of one name lie together for the join already.
+    return named.join(beaten, "__name", "left_anti").dropDuplicates(["__name"]).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand more than once; those of which nothing is left go.
+    """Documents without the passages of over fifty words that stand more than once; those of which nothing is left go.
 
     Characters that a cut splits go with the passage. ``n_chars`` is counted anew.
     """
     prepare(spark)
-    cleaned = repeats.remove_repeats(docs, PASSAGE_BYTES)
+    cleaned = repeats.remove_repeats(docs, PASSAGE_BYTES, gram=PASSAGE_GRAM, least_words=PASSAGE_WORDS)
     changed = F.size("_spans") > 0
     rest = F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("�"), F.lit(""))
     text = F.when(changed, rest).otherwise(F.col("text"))
