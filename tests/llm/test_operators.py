@@ -165,6 +165,24 @@ def test_blocks_of_texts_ask_for_their_words(spark, monkeypatch):
         assert [sorted(got.get(i, {}).values()) for i in range(4)] == [[1, 2], [], [1], [1, 2]]
 
 
+def test_curve_of_classes_that_lie_apart(spark):
+    for n, share in ((40, 0.1), (400, 0.1), (4000, 0.002)):
+        for gap in (1, 3, 12):
+            rng = np.random.default_rng(1)
+            y = (rng.random(n) < share).astype(float)
+            x = 0.2 * rng.normal(size=(n, toxicity.FEATURES)) + gap * y[:, None]
+            curve = toxicity.Curve.fit(x, y)
+            z = np.clip((x - curve.mean) / curve.scale, -toxicity.FAR, toxicity.FAR)
+            at = z @ curve.weights[:-1] + curve.weights[-1]
+            assert np.abs(curve.weights).max() < 20 and ((at > 0) == (y == 1)).all(), (n, gap)
+            # the least of the penalised loss: its slope is zero
+            slope = z.T @ (y - 1 / (1 + np.exp(-at))) - curve.weights[:-1]
+            assert np.abs(slope).max() < 1e-5
+    frame = spark.createDataFrame([(int(c), *map(float, r)) for c, r in zip(y, x)], ["y", *(f"f{i}" for i in range(toxicity.FEATURES))])
+    scored = frame.select("y", curve.score([F.col(f"f{i}") for i in range(toxicity.FEATURES)]).alias("score"))
+    assert scored.where("(score >= 0.5) <> (y = 1)").count() == 0
+
+
 def test_scores_without_labels_words_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (None, ""), (1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

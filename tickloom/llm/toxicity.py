@@ -37,6 +37,7 @@ FILTER_BITS = 1 << 24  # of the filter that tells which expressions need not be
 SALTS = tuple(int(x) for x in np.random.default_rng(5).integers(-(2**62), 2**62, len(NAMES)))  # a word differs from itself as a beginning
 STRONG = (1.5, 3.0, 4.5)  # log-ratios from which on a word speaks for toxicity, more or less strongly
 FEATURES = 2 + 2 * len(STRONG)
+FAR = 8.0  # deviations of a feature from its mean, beyond which it counts no more, to the fit as to a score
 FIT_ROWS = 20_000  # labelled rows for the logistic curve, those with the smallest hashes
 
 
@@ -315,20 +316,29 @@ class Curve:
         if not len(x):
             x, y = np.zeros((1, FEATURES)), np.zeros(1)
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-        z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+        z = np.hstack([np.clip((x - mean) / scale, -FAR, FAR), np.ones((len(x), 1))])
         w = np.zeros(z.shape[1])
         w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         penalty = np.diag([ridge] * (len(w) - 1) + [1e-3])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty, z.T @ (y - p) - penalty @ w)
-            w += step
-            if np.abs(step).max() < 1e-8:
+
+        def loss(w: np.ndarray) -> float:
+            return np.logaddexp(0, z @ w).sum() - y @ (z @ w) + w @ penalty @ w / 2
+
+        for _ in range(100):
+            p = np.exp(-np.logaddexp(0, -(z @ w)))
+            slope = z.T @ (y - p) - penalty @ w
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty, slope)
+            # A whole step overshoots where classes lie well apart: all rows end on one side, where the curve is flat.
+            size, now = 1.0, loss(w)
+            while size > 1e-9 and loss(w + size * step) > now - 1e-4 * size * (slope @ step):
+                size /= 2
+            w += size * step
+            if np.abs(size * step).max() < 1e-8:
                 break
         return cls(mean, scale, w)
 
     def score(self, x: list[Column]) -> Column:
-        clipped = [F.greatest(F.least((c - float(m)) / float(s), F.lit(8.0)), F.lit(-8.0)) * float(w) for c, m, s, w in zip(x, self.mean, self.scale, self.weights)]
+        clipped = [F.greatest(F.least((c - float(m)) / float(s), F.lit(FAR)), F.lit(-FAR)) * float(w) for c, m, s, w in zip(x, self.mean, self.scale, self.weights)]
         z = reduce(lambda a, b: a + b, clipped, F.lit(float(self.weights[-1])))
         return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
