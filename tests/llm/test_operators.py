@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import defaultdict
 
 import brute
 import numpy as np
@@ -165,6 +166,30 @@ def test_blocks_of_texts_ask_for_their_words(spark, monkeypatch):
         assert [sorted(got.get(i, {}).values()) for i in range(4)] == [[1, 2], [], [1], [1, 2]]
 
 
+def test_waiting_parts_hold_each_word_of_a_text_once(monkeypatch):
+    texts = ["b a B", "", "c", "a c a", "a " * 1000]
+
+    def parts():
+        for i, t in enumerate(texts):
+            data = np.frombuffer(t.encode(), np.uint8)
+            yield np.array([i]), *toxicity.words(data, np.array([0, len(data)])), len(data)
+
+    for most, n_blocks in ((1, 4), (1 << 20, 1)):
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", most)
+        blocks, got = list(toxicity.gathered(parts())), defaultdict(dict)
+        for b in blocks:
+            assert len(b.text) <= 6 and (np.diff(b.hashes[0].astype(object)) > 0).all()
+            for text, word, times in zip(b.text, b.word, b.times):
+                got[int(b.tags[text])][int(b.hashes[0][word])] = int(times)
+        assert len(blocks) == n_blocks and [sorted(got[i].values()) for i in range(5)] == [[1, 2], [], [1], [1, 2], [1000]]
+        assert got[0].keys() & got[3].keys() == got[4].keys()
+
+
+def test_whole_numbers_travel_unchanged():
+    arrays = [np.array([], np.int64), np.array([0, -1, 2**63 - 1, -(2**63)]), np.arange(1000), np.array([7])]
+    assert [a.tolist() for a in toxicity.expanded(toxicity.squeezed(*arrays))] == [a.tolist() for a in arrays]
+
+
 def test_curve_of_classes_that_lie_apart(spark):
     for n, share in ((40, 0.1), (400, 0.1), (4000, 0.002)):
         for gap in (1, 3, 12):

@@ -59,23 +59,56 @@ def words(data: np.ndarray, at: np.ndarray, beginnings: tuple[int, ...] = BEGINN
     return np.searchsorted(at, start, "right") - 1, [prefix.of(start, stop), *(prefix.of(start, np.minimum(start + k, stop)) for k in beginnings)]
 
 
-def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], int]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Parts ``(tag of each text, text of each word, hashes, bytes)`` put together until a block holds enough bytes of words."""
-    held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
-    texts = size = 0
+@dataclass
+class Tally:
+    """Which texts have which words, and how often."""
+
+    tags: np.ndarray  # of each text
+    hashes: list[np.ndarray]  # of each distinct word, ascending, and of its beginnings
+    text: np.ndarray  # of each pair
+    word: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, tags: np.ndarray, place: np.ndarray, hashes: list[np.ndarray]) -> Tally:
+        """From the text and the hashes of every word."""
+        _, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
+        pairs, times = np.unique(place * max(len(first), 1) + back, return_counts=True)
+        text, word = np.divmod(pairs, max(len(first), 1))
+        return cls(tags, [h[first] for h in hashes], *(x.astype(np.int32) for x in (text, word, times)))
+
+    @classmethod
+    def joined(cls, parts: list[Tally]) -> Tally:
+        """One of several, whose texts follow each other."""
+        _, first, back = np.unique(np.concatenate([p.hashes[0] for p in parts]), return_index=True, return_inverse=True)
+        texts, words = (np.cumsum([0, *sizes]).tolist() for sizes in ([len(p.tags) for p in parts], [len(p.hashes[0]) for p in parts]))
+        back = back.astype(np.int32)
+        return cls(
+            np.concatenate([p.tags for p in parts]),
+            [np.concatenate(level)[first] for level in zip(*(p.hashes for p in parts))],
+            np.concatenate([p.text + np.int32(n) for p, n in zip(parts, texts)]),
+            np.concatenate([back[n : n + len(p.hashes[0])][p.word] for p, n in zip(parts, words)]),
+            np.concatenate([p.times for p in parts]),
+        )
+
+
+def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], int]]) -> Iterator[Tally]:
+    """Parts ``(tag of each text, text of each word, hashes, bytes)`` put together until a block holds enough bytes of words.
+
+    A part is tallied at once, so that what waits for the rest of its block holds each of its words once.
+    """
+    held: list[Tally] = []
+    size = 0
     for tags, place, hashes, n_bytes in parts:
-        held.append((tags, place + texts, hashes))
-        texts, size = texts + len(tags), size + n_bytes
+        held.append(Tally.of(tags, place, hashes))
+        del place, hashes
+        size += n_bytes
         if size >= BLOCK_BYTES:
-            held, block, texts, size = [], _joined(held), 0, 0
+            held, block, size = [], Tally.joined(held), 0
             yield block
             del block
     if held:
-        yield _joined(held)
-
-
-def _joined(held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [np.concatenate(x) for x in zip(*(h[2] for h in held))]
+        yield Tally.joined(held)
 
 
 def counted(labelled: DataFrame) -> DataFrame:
@@ -87,33 +120,35 @@ def counted(labelled: DataFrame) -> DataFrame:
             for row, data, at in pieces(unsqueezed(batch)):
                 yield toxic[row : row + len(at) - 1], *words(data, at), len(data)
 
-    def one(toxic: np.ndarray, texts: np.ndarray, hashes: list[np.ndarray]) -> pa.RecordBatch:
-        word, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
-        bad = toxic[texts] == 1
-        sums = [np.bincount(back[side], minlength=len(word)) for side in (bad, ~bad)]
-        return pa.RecordBatch.from_arrays([*(pa.array(h[first].view(np.int64)) for h in hashes), *map(pa.array, sums)], [*NAMES, "toxic", "ordinary"])
+    def one(block: Tally) -> pa.RecordBatch:
+        bad = block.tags[block.text] == 1
+        sums = [np.bincount(block.word[side], block.times[side], len(block.hashes[0])).astype(np.int64) for side in (bad, ~bad)]
+        return pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in block.hashes), *map(pa.array, sums)], [*NAMES, "toxic", "ordinary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Nothing of a block stays while the next one is gathered.
-        yield from map(lambda block: one(*block), gathered(read(batches)))
+        yield from map(one, gathered(read(batches)))
 
     fields = ", ".join(f"{n} long" for n in [*NAMES, "toxic", "ordinary"])
     return labelled.select("bytes", "squeezed", "toxic").mapInArrow(run, fields)
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
-    """Whole numbers, compressed; each array by planes of bytes, so that like bytes lie together."""
-    raw = b"".join(x for a in arrays for x in (np.array([len(a)], "<i8").tobytes(), a.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """Whole numbers, each array compressed by itself and by planes of bytes, so that like bytes lie together."""
+    out = []
+    for a in arrays:
+        planes = pa.compress(a.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+        out += [len(a).to_bytes(8, "little"), len(planes).to_bytes(8, "little"), planes]
+    return b"".join(out)
 
 
 def expanded(data: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     out, at = [], 0
-    while at < len(raw):
-        n = int(np.frombuffer(raw, "<i8", 1, at)[0])
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n).T).view("<i8").ravel())
-        at += 8 * (n + 1)
+    while at < len(data):
+        n, size = (int.from_bytes(data[i : i + 8], "little") for i in (at, at + 8))
+        planes = pa.decompress(data[at + 16 : at + 16 + size], 8 * n, "zstd", asbytes=True)
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<i8").ravel())
+        at += 16 + size
     return out
 
 
@@ -158,26 +193,29 @@ def posted(texts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
             for row, data, at in pieces(batch.column("text")):
                 yield ids[row : row + len(at) - 1], *words(data, at), len(data)
 
-    def one(ids: np.ndarray, place: np.ndarray, hashes: list[np.ndarray], number: int) -> pa.RecordBatch:
-        _, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
-        levels = [h[first] ^ salt for h, salt in zip(hashes, salts)]
+    def one(block: Tally, number: int) -> pa.RecordBatch:
+        levels = [h ^ salt for h, salt in zip(block.hashes, salts)]
         held = [may_hold(bits.value, e) for e in levels]
         chain, some, of_word = np.unique(np.where(held[0], levels[0], levels[1]), return_index=True, return_inverse=True)
         levels, held = [e[some] for e in levels], [h[some] for h in held]
         asked = np.unique(np.concatenate([e[h] for e, h in zip(levels, held)]))
         at = [np.where(h, np.searchsorted(asked, e), -1) for e, h in zip(levels, held)]
-        pairs, times = np.unique(place * max(len(chain), 1) + of_word[back], return_counts=True)
+        pairs = block.text * np.int64(max(len(chain), 1)) + of_word[block.word]
+        order = np.argsort(pairs)
+        pairs, times = pairs[order], block.times[order]
+        del order
+        new = np.flatnonzero(np.diff(pairs, prepend=-1))
+        pairs, times = pairs[new], np.add.reduceat(times, new, dtype=np.int64) if len(new) else times
         bucket = bucket_of(asked, buckets)
         edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         data = [squeezed(np.diff(asked[a:b], prepend=np.uint64(0)).view(np.int64)) for a, b in zip(edges, edges[1:])]
-        data.append(squeezed(ids, np.diff(pairs, prepend=0), times, *at))
+        data.append(squeezed(block.tags, np.diff(pairs, prepend=0), times, *at))
         where = [*bucket[edges[:-1]].tolist(), None]
         return pa.RecordBatch.from_arrays([pa.array([number] * len(data), pa.int64()), pa.array(where, pa.int64()), pa.array(data, pa.binary())], ["block", "bucket", "data"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        yield from map(lambda block, number: one(*block, number), gathered(read(batches)), count(first))
-
+        yield from map(one, gathered(read(batches)), count(first))
 
     return texts.mapInArrow(post, "block long, bucket long, data binary")
 
