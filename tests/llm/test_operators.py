@@ -185,6 +185,17 @@ def test_waiting_parts_hold_each_word_of_a_text_once(monkeypatch):
         assert got[0].keys() & got[3].keys() == got[4].keys()
 
 
+def test_other_operators_leave_nothing_in_a_worker():
+    class Frame:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, task, fields: task
+
+    kept = packing.tokenizer(WORDS)
+    assert packing.tokenizer(WORDS) is kept  # from task to task
+    list(toxicity.counted(Frame())(iter([])))
+    assert packing.tokenizer(WORDS) is not kept
+
+
 def test_whole_numbers_travel_unchanged():
     arrays = [np.array([], np.int64), np.array([0, -1, 2**63 - 1, -(2**63)]), np.arange(1000), np.array([7])]
     assert [a.tolist() for a in toxicity.expanded(toxicity.squeezed(*arrays))] == [a.tolist() for a in arrays]

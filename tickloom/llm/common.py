@@ -6,6 +6,7 @@ import os
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_remembered: list[dict] = []
+
+
+def remembered() -> dict:
+    """Where a worker keeps things from task to task, until tasks of another operator need the room."""
+    _remembered.append({})
+    return _remembered[-1]
+
+
+def forget() -> None:
+    """Before a task that uses nothing of the kind: what tasks of other operators have left goes, and free memory back to the system."""
+    for kept in _remembered:
+        kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import components, prepare, stored
+from tickloom.llm.common import components, forget, prepare, stored
 from tickloom.llm.grouped import batched, key_groups
 from tickloom.llm.rolling import ODD, Prefix, mix, pieces
 from tickloom.llm.shipping import shipped, unsqueezed
@@ -72,6 +72,7 @@ def gram_counts(texts: DataFrame, n: int) -> np.ndarray:
     """How often n-grams of each cell occur in all texts: ``CELLS`` numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total, held = np.zeros(CELLS, np.int64), []
         for batch in batches:
             for _, data, at in pieces(batch.column("text")):
@@ -114,7 +115,7 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 def ordered_sets(data: np.ndarray, at: np.ndarray, n: int, classes: np.ndarray) -> list[np.ndarray]:
     """Each text's n-grams as increasing numbers of 60 bits: the class, then the hash."""
     hashes, texts = gram_hashes(data, at, n)
-    tokens = (classes[cells(hashes)] << np.uint64(56)) | (mix(hashes) >> np.uint64(8))
+    tokens = (classes[cells(hashes)].astype(np.uint64) << np.uint64(56)) | (mix(hashes) >> np.uint64(8))
     order = np.argsort(texts, kind="stable")
     tokens, counts = tokens[order], np.bincount(texts, minlength=len(at) - 1)
     out = []
@@ -229,11 +230,11 @@ def set_classes(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
     classes = spark.sparkContext.broadcast(rarity(gram_counts(rows, n)).astype(np.uint8))
 
     def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        own = classes.value.astype(np.uint64)
         for _, data, at in pieces(batch.column("text")):
-            yield from ordered_sets(data, at, n, own)
+            yield from ordered_sets(data, at, n, classes.value)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             nodes, sizes, firsts = [], [], []
             for tokens in sets_of(batch):
@@ -269,8 +270,7 @@ def set_classes(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
     def group_sets(group: pa.RecordBatch) -> dict[int, tuple[int, np.ndarray]]:
         """Row and set of each node of a group; what came by a repeated name is left out."""
         out: dict[int, tuple[int, np.ndarray]] = {}
-        own = classes.value.astype(np.uint64)
-        every = (tokens for _, data, at in pieces(unsqueezed(group)) for tokens in ordered_sets(data, at, n, own))
+        every = (tokens for _, data, at in pieces(unsqueezed(group)) for tokens in ordered_sets(data, at, n, classes.value))
         for row, (node, tokens) in enumerate(zip(group.column("node").to_pylist(), every)):
             if node not in out and node_of(tokens) == node:
                 out[node] = row, tokens

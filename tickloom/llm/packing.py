@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import prepare, stored
+from tickloom.llm.common import prepare, remembered, stored
 
 KEPT_WORDS = 300_000  # words that a worker remembers of the present, and of the generation before
 GROUP_ROWS = 4096  # pieces ranked together
@@ -109,7 +109,7 @@ class WordTokenizer:
         return [b"".join(ids) for ids in found]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[str, WordTokenizer] = remembered()
 
 
 def tokenizer(file: str) -> WordTokenizer:

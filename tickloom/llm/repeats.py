@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import prepare, stored
+from tickloom.llm.common import forget, prepare, stored
 from tickloom.llm.grouped import batched, key_groups
 from tickloom.llm.rolling import Prefix, pieces, text_bytes
 from tickloom.llm.shipping import likely, shipped, unsqueezed
@@ -118,6 +118,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     texts = docs.select(name.alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             names = batch.column("name")
             for row, data, at in pieces(batch.column("text")):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, prepare, stored
+from tickloom.llm.common import discard, forget, prepare, stored
 from tickloom.llm.rolling import Prefix, pieces
 from tickloom.llm.shipping import shipped, unsqueezed
 
@@ -126,6 +126,7 @@ def counted(labelled: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in block.hashes), *map(pa.array, sums)], [*NAMES, "toxic", "ordinary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         # Nothing of a block stays while the next one is gathered.
         yield from map(one, gathered(read(batches)))
 
@@ -214,6 +215,7 @@ def posted(texts: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([number] * len(data), pa.int64()), pa.array(where, pa.int64()), pa.array(data, pa.binary())], ["block", "bucket", "data"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         first = TaskContext.get().partitionId() << 32
         yield from map(one, gathered(read(batches)), count(first))
 
