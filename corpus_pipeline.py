@@ -53,8 +53,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     prepare(spark)
     cleaned = repeats.remove_repeats(docs, PASSAGE_BYTES, gram=PASSAGE_GRAM, least_words=PASSAGE_WORDS)
     changed = F.size("_spans") > 0
-    rest = F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("�"), F.lit(""))
-    text = F.when(changed, rest).otherwise(F.col("text"))
+    text = F.when(changed, repeats.kept_text()).otherwise(F.col("text"))
     cleaned = cleaned.where(~changed | (F.octet_length("_kept") > 0)).withColumn("text", text)
     cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)

@@ -52,6 +52,18 @@ def test_repeats(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op10_repeats"](spark, SF_DIR).collect()} == want
 
 
+def test_repeats_query_gives_the_text_that_is_left(spark):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in rows("documents")}
+    out = QUERIES["op10_repeats"](spark, SF_DIR).collect()
+    assert any(r.is_changed for r in out)
+    for r in out:
+        # At each end of a run three bytes of a split character may go with it.
+        if r.is_changed:
+            assert r.n_kept - 6 * r.n_spans <= len(r.text.encode()) <= r.n_kept
+        else:
+            assert r.text.encode() == docs[r.doc_id]
+
+
 def test_sentencepiece_query_equals_the_library(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     out = {r.doc_id: r for r in QUERIES["op2_sentencepiece"](spark, SF_DIR).collect()}

@@ -468,6 +468,12 @@ def test_repeats_of_repeated_rows_and_none(spark):
     assert repeats.remove_repeats(frame.limit(0), 30, gram=8).count() == 0
 
 
+def test_text_that_is_left_loses_split_characters_alone(spark):
+    kept = ["a\ufffdb".encode(), b"\xa9a" + "é€".encode() + b"\xe2\x82", b"", "é".encode()]
+    frame = spark.createDataFrame([(i, k) for i, k in enumerate(kept)], "i long, _kept binary")
+    assert [r.text for r in frame.select("i", repeats.kept_text().alias("text")).orderBy("i").collect()] == ["a\ufffdb", "aé€", "", "é"]
+
+
 # --- shared ------------------------------------------------------------------------------------
 
 

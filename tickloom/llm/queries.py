@@ -85,6 +85,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(
         "doc_id", F.col("_bytes").alias("n_bytes"), length.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
         (F.col("_bytes") - length).alias("n_kept"), (F.size("_spans") > 0).alias("is_changed"),
+        repeats.kept_text().alias("text"),
     )
 
 

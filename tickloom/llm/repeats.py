@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import forget, prepare, stored
@@ -102,6 +102,12 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
+def kept_text() -> Column:
+    """``_kept`` as text: characters that a cut splits go with the passage."""
+    rest = F.col("_kept").cast("string")
+    return F.when(F.is_valid_utf8(rest), rest).otherwise(F.replace(F.make_valid_utf8(rest), F.lit("\ufffd"), F.lit("")))
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", gram: int = GRAM, crowd: int = CROWD, least_words: int = 0) -> DataFrame:
     """The columns of ``docs``, then ``_bytes``, ``_spans`` and ``_kept``.
 
