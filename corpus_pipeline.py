@@ -18,9 +18,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tickloom.llm import ngram_join, packing, repeats, toxicity  # noqa: E402
 from tickloom.llm.common import prepare, stored, table  # noqa: E402
 
-PASSAGE_WORDS = 51  # a run that repeats is removed if it holds so many words
-PASSAGE_BYTES = 200  # and is so long; 51 words of under three letters on average are shorter, and stay
-PASSAGE_GRAM = 48
+# A run that repeats is removed if it holds so many words and is so long; 51 words of under three letters on average are shorter, and stay.
+PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_WORDS = repeats.Passages()
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -468,6 +468,20 @@ def test_repeats_of_repeated_rows_and_none(spark):
     assert repeats.remove_repeats(frame.limit(0), 30, gram=8).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_passages_beside_longer_strings(spark, crowd):
+    texts = passages(8)
+    sought = repeats.Passages(12, 5, 2)
+    frame = documents(spark, texts).withColumn("_rest", F.lit("clash"))
+    out = {r.doc_id: r for r in repeats.remove_repeats(frame, 30, gram=8, crowd=crowd, passages=sought).collect()}
+    both = list(zip(brute.repeats(texts, 30), brute.repeats(texts, 12, 2)))
+    assert any(short[1] and not long[1] for long, short in both) and any(long[1] for long, _ in both)
+    for i, want in enumerate(both):
+        r = out[i]
+        assert tuple((r._bytes, sum(s.end - s.begin for s in runs), len(runs), hashlib.sha256(bytes(left)).hexdigest()) for runs, left in ((r._spans, r._kept), (r._passages, r._rest))) == want
+    assert repeats.remove_repeats(frame.limit(0), 30, gram=8, passages=sought).count() == 0
+
+
 def test_text_that_is_left_loses_split_characters_alone(spark):
     kept = ["a\ufffdb".encode(), b"\xa9a" + "é€".encode() + b"\xe2\x82", b"", "é".encode()]
     frame = spark.createDataFrame([(i, k) for i, k in enumerate(kept)], "i long, _kept binary")

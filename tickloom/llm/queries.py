@@ -79,13 +79,15 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated strings of 400 bytes."""
-    cleaned = repeats.remove_repeats(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"), 400)
-    length = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    """What is left of every document without its repeated strings of 400 bytes; in columns beside it, without its passages of over fifty words that repeat."""
+    documents = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    cleaned = repeats.remove_repeats(documents, 400, passages=repeats.Passages())
+    length, passages = (F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]) for c in ("_spans", "_passages"))
     return cleaned.select(
         "doc_id", F.col("_bytes").alias("n_bytes"), length.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
         (F.col("_bytes") - length).alias("n_kept"), (F.size("_spans") > 0).alias("is_changed"),
         repeats.kept_text().alias("text"),
+        F.size("_passages").cast("long").alias("n_passages"), passages.alias("n_passage_bytes"), repeats.kept_text("_rest").alias("text_without_passages"),
     )
 
 

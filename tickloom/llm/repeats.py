@@ -15,13 +15,14 @@ need their bytes: the strings in them, as hashes, are sorted, and neighbours tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import forget, prepare, stored
+from tickloom.llm.common import discard, forget, prepare, stored
 from tickloom.llm.grouped import batched, key_groups
 from tickloom.llm.rolling import Prefix, pieces, text_bytes
 from tickloom.llm.shipping import likely, shipped, unsqueezed
@@ -30,6 +31,14 @@ GRAM = 64  # bytes of a trigger
 CROWD = 20_000  # distinct phrases of one trigger; more are ordered by the hash of each string
 
 
+class Passages(NamedTuple):
+    """Runs of repeated strings of ``length`` bytes, told by triggers of ``gram`` bytes, that hold so many words."""
+
+    length: int = 200
+    gram: int = 48
+    words: int = 51
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values."""
     n = len(values) - width + 1
@@ -102,26 +111,17 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def kept_text() -> Column:
-    """``_kept`` as text: characters that a cut splits go with the passage."""
-    rest = F.col("_kept").cast("string")
+def kept_text(kept: str = "_kept") -> Column:
+    """The bytes of ``kept`` as text: characters that a cut splits go with the passage."""
+    rest = F.col(kept).cast("string")
     return F.when(F.is_valid_utf8(rest), rest).otherwise(F.replace(F.make_valid_utf8(rest), F.lit("\ufffd"), F.lit("")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", gram: int = GRAM, crowd: int = CROWD, least_words: int = 0) -> DataFrame:
-    """The columns of ``docs``, then ``_bytes``, ``_spans`` and ``_kept``.
+def repeated_spans(texts: DataFrame, length: int, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """Spans ``(name, begin, end)`` of UTF-8 bytes that cover all strings of ``length`` bytes in ``texts(name, text)`` which start more than once.
 
-    ``_spans`` are the maximal runs ``(begin, end)`` of UTF-8 bytes that some string of ``length`` bytes
-    covers which also starts anywhere else, in the same text or in another; ``_kept`` are the other
-    bytes. Columns of ``docs`` with these names give way. Strings never cross texts. A null text counts as empty; a text shorter than ``length``
-    has no spans; repeated rows repeat each other. Runs that hold fewer than ``least_words`` words, cut ones included, stay.
+    Equal names are rows of equal texts. The spans may overlap.
     """
-    prepare(docs.sparkSession)
-    assert 0 < gram <= length
-    docs = docs.drop("_bytes", "_spans", "_kept", "__name", "__found")
-    # Rows of equal key and text have equal results and share a name.
-    name = F.xxhash64(F.col(key), F.col(text).cast("string"))
-    texts = docs.select(name.alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -187,27 +187,78 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     common = single.groupBy("string").count().where("count > 1").select("string")
     crowded = single.join(common, "string", "left_semi").select("name", "begin", (F.col("begin") + length).alias("end"))
 
-    joined = stored(spans.unionByName(ordered).unionByName(crowded), "spans")
+    found = stored(spans.unionByName(ordered).unionByName(crowded), "spans")
+    discard(parsed, dictionary, wanted, cuts)
+    return found
+
+
+def maximal(spans: DataFrame) -> DataFrame:
+    """The disjoint maximal runs ``(name, begin, end)`` of ``spans(name, begin, end)``."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run() -> Iterator[tuple]:
+            for batch in batches:
+                for name, found in zip(batch.column("name").to_pylist(), batch.column("found").to_pylist()):
+                    yield from ((name, x, y) for x, y in merged([(s["begin"], s["end"]) for s in found]))
+
+        yield from batched(run(), pa.schema([("name", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
+
+    # A text has as many spans as bytes at most.
+    return spans.groupBy("name").agg(F.collect_set(F.struct("begin", "end")).alias("found")).mapInArrow(merge, spans.schema)
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", gram: int = GRAM, crowd: int = CROWD, least_words: int = 0, passages: Passages | None = None
+) -> DataFrame:
+    """The columns of ``docs``, then ``_bytes``, ``_spans`` and ``_kept``; with ``passages`` also ``_passages`` and ``_rest``.
+
+    ``_spans`` are the maximal runs ``(begin, end)`` of UTF-8 bytes that some string of ``length`` bytes
+    covers which also starts anywhere else, in the same text or in another; ``_kept`` are the other
+    bytes. Columns of ``docs`` with these names give way. Strings never cross texts. A null text counts as empty; a text shorter than ``length``
+    has no spans; repeated rows repeat each other. Runs that hold fewer than ``least_words`` words, cut ones included, stay.
+
+    ``_passages`` are such runs for the shorter strings of ``passages`` with its least number of words, and ``_rest`` what is left without them.
+    A string of ``length`` bytes that repeats lies in a run of the shorter ones, so the longer are sought only in texts with such a run.
+    """
+    prepare(docs.sparkSession)
+    assert 0 < gram <= length
+    wanted = [(False, "_spans", "_kept", least_words), *([(True, "_passages", "_rest", passages.words)] if passages else [])]
+    docs = docs.drop("_bytes", "__name", "__found", *(c for _, runs_name, left_name, _ in wanted for c in (runs_name, left_name)))
+    # Rows of equal key and text have equal results and share a name.
+    name = F.xxhash64(F.col(key), F.col(text).cast("string"))
+    texts = docs.select(name.alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    if passages:
+        assert 0 < passages.gram <= passages.length <= length
+        found = repeated_spans(texts, passages.length, passages.gram, crowd)
+        short = stored(maximal(found), "runs")
+        discard(found)
+        texts = likely(texts, ["name"], short.where(F.col("end") - F.col("begin") >= length).select("name").distinct())
+    joined = repeated_spans(texts, length, gram, crowd).withColumn("passage", F.lit(False))
+    if passages:
+        joined = joined.unionByName(short.withColumn("passage", F.lit(True)))
     # A text has as many spans as bytes at most.
-    by_name = joined.groupBy("name").agg(F.collect_set(F.struct("begin", "end")).alias("__found"))
+    by_name = joined.groupBy("name").agg(F.collect_set(F.struct("passage", "begin", "end")).alias("__found"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_bytes(batch.column(text))
-            spans, kept = [], []
-            for a, b, found in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("__found").to_pylist()):
-                own = merged([(s["begin"], s["end"]) for s in found or []])
-                if least_words:
-                    own = [(x, y) for x, y in own if len(data[a + x : a + y].tobytes().split()) >= least_words]
-                spans.append([{"begin": x, "end": y} for x, y in own])
-                marks = [0, *(m for s in own for m in s), b - a]
-                kept.append(b"".join(data[a + x : a + y].tobytes() for x, y in zip(marks[::2], marks[1::2])))
+            out = {"_bytes": pa.array(np.diff(at))}
+            found = batch.column("__found").to_pylist()
+            for passage, runs_name, left_name, words in wanted:
+                spans, kept = [], []
+                for a, b, own in zip(at[:-1].tolist(), at[1:].tolist(), found):
+                    own = merged([(s["begin"], s["end"]) for s in own or [] if s["passage"] == passage])
+                    if words:
+                        own = [(x, y) for x, y in own if len(data[a + x : a + y].tobytes().split()) >= words]
+                    spans.append([{"begin": x, "end": y} for x, y in own])
+                    marks = [0, *(m for s in own for m in s), b - a]
+                    kept.append(b"".join(data[a + x : a + y].tobytes() for x, y in zip(marks[::2], marks[1::2])))
+                out[runs_name] = pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+                out[left_name] = pa.array(kept, pa.binary())
             others = [c for c in batch.schema.names if not c.startswith("__")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in others), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                [*others, "_bytes", "_spans", "_kept"],
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *out.values()], [*others, *out])
 
     every = docs.withColumn("__name", name).join(by_name.withColumnRenamed("name", "__name"), "__name", "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return every.mapInArrow(keep, f"{fields}, _bytes long, _spans array<struct<begin: long, end: long>>, _kept binary")
+    added = ", ".join(f"{runs_name} array<struct<begin: long, end: long>>, {left_name} binary" for _, runs_name, left_name, _ in wanted)
+    return every.mapInArrow(keep, f"{fields}, _bytes long, {added}")
