@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import json
 import os
 from decimal import Decimal
 
 import pytest
 from plans import plan_of
+from pyspark.sql import functions as F
 
 from tickloom.plans.batch import normalize, normalize_loads, run, run_topic
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows
 from tickloom.sinks.lake import write_records
 from tickloom.sinks.tables import append_load, read_current, read_loads
-from tickloom.sources.lake import CORRUPT, read_json, scan_partitioned, scan_topic, split_corrupt, topic_path
+from tickloom.sources.lake import CORRUPT, hour_of_file, read_json, scan_partitioned, scan_topic, split_corrupt, topic_path
 from tickloom.specs import DATASETS, TABLES
+from tickloom.suite.queries import registered
 
 BAR = {"ticker": " VNM ", "time": "2024-01-02", "open": 1.005, "high": 2, "low": 0.5, "close": 1.5, "volume": 100.0}
 
@@ -172,6 +175,49 @@ def test_write_records_reports_whether_anything_was_written(spark, path):
         assert json.loads(f.read()) == {"ticker": "Ä", "x": None, "time": "2024-01-02T00:00:00.000Z"}
 
 
+def test_packed_records_are_small_files_that_read_the_same(spark, path, monkeypatch):
+    monkeypatch.setattr("tickloom.sinks.lake.PACKED_ROWS", 1000)
+    feed = spark.range(5000).selectExpr("concat('  S', id % 7) ticker", "'2024-01-02' time", "if(id % 3 = 0, null, id) open", "'Ä' type").coalesce(1)
+    rows, sizes = [], []
+    for packed in (False, True):
+        root = path(f"lake-{packed}")
+        assert write_records(feed, root, "t", "2024-01-02_03", packed=packed) is True
+        folder = topic_path(root, "t", "2024-01-02_03")
+        files = [f"{folder}/{f}" for f in os.listdir(folder) if f.startswith("part-")]
+        sizes.append(sum(map(os.path.getsize, files)))
+        schema = "ticker string, time string, open string, type string"
+        rows.append(sorted(map(str, split_corrupt(scan_topic(spark, root, "t", schema=schema, with_hour=True))[0].collect())))
+    lines = []
+    for file in files:
+        with gzip.open(file, "rt", encoding="utf-8") as f:
+            lines.append(len(f.readlines()))
+    assert rows[0] == rows[1] and len(rows[0]) == sum(lines) == 5000 and max(lines) <= 1000
+    assert sizes[1] < sizes[0] / 4
+    assert write_records(feed.where("ticker = 'none'"), path("empty"), "t", "2024-01-02_03", packed=True) is False
+
+
+def _lineitem(spark, path):
+    rows = [(k, k % 5, k % 3, k % 7 + 1, k % 9 + 0.5, 100.0 + k, dt.datetime(2024, 1, 1 + k % 28)) for k in range(200)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, names).write.parquet(path("tables") + "/lineitem.parquet")
+    return path("tables")
+
+
+@pytest.mark.parametrize("name", ["daily_price_backfill_job", "later_hour_wins"])
+def test_lakes_of_the_jobs_are_packed(spark, path, monkeypatch, name):
+    monkeypatch.setattr("tickloom.suite.queries.shared_dir", lambda spark, label: path(label))
+    shown = registered()[name](spark, _lineitem(spark, path)).collect()
+    assert len(shown) == len({(r.ticker, r.time) for r in shown}) >= 84  # three tickers on 28 days, or the epoch
+    found = [f"{d}/{f}" for top in ("job", "hours") for d, _, files in os.walk(f"{path(top)}/lake") for f in files if f.startswith("part-") and "/topic=" in d]
+    assert {f.rsplit(".", 1)[-1] for f in found} == ({"gz", "txt"} if name.endswith("job") else {"gz"})  # broken records are laid down as text
+
+
+def test_the_hour_is_the_name_of_the_folder(spark):
+    files = ["file:/a/topic=t/dt_hour=2024-01-02_03/p.json", "s3a://a/t/2024-01-02_03/p.json.gz", "s3a://b/xdt_hour=1/p", "s3a://b/dt_hour=dt_hour=1/p", "file:/a//p", "/p"]
+    named = spark.createDataFrame([(f,) for f in files], "path string").select(F.struct(F.col("path").alias("file_path")).alias("_metadata"))
+    assert [r[0] for r in named.select(hour_of_file()).collect()] == ["2024-01-02_03", "2024-01-02_03", "xdt_hour=1", "dt_hour=1", "", ""]
+
+
 def test_landing_gates_and_quarantines(spark, path):
     frame = spark.createDataFrame(
         [("2024-01-02", 1.0, 1.0, 1.0, 1.0, 5, "OK"), ("2024-01-02", 1.0, 1.0, -1.0, 1.0, 5, "BAD"), ("2024-01-03", 1.0, 1.0, 1.0, 1.0, 5, "BAD")],

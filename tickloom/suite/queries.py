@@ -218,7 +218,7 @@ def _run_job(spark: SparkSession, topic: str, feed: DataFrame, lake: str, wareho
     # The rows of a key land in one hour: between hours the later one would win.
     key = [c for c in DATASETS[topic].keys if c in feed.columns]
     hour = F.when(F.pmod(F.xxhash64(*key), F.lit(2)) == 0, hours[0]).otherwise(hours[1])
-    write_records(feed.withColumn("dt_hour", hour), lake, topic)
+    write_records(feed.withColumn("dt_hour", hour), lake, topic, packed=True)
     broken = spark.range(3).select(F.concat(F.lit('{"ticker": "X'), F.col("id").cast("string"), F.lit('", ')).alias("value"))
     broken.write.mode("append").text(f"{lake}/topic={topic}/dt_hour={hours[0]}")
     result = run_topic(spark, topic, lake, warehouse, load, quarantine_root=f"{lake}/held")
@@ -782,8 +782,8 @@ def later_hour_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fetches of the same bars, the later one lower: it is what the table shows."""
     root, topic = shared_dir(spark, "hours"), "daily_price"
     bars = raw.bars_feed(spark, sf_dir).where("time IS NOT NULL")
-    write_records(bars.withColumn("open", F.col("open") + 1000), f"{root}/lake", topic, "2024-01-02_17")
-    write_records(bars, f"{root}/lake", topic, "2024-01-03_17")
+    write_records(bars.withColumn("open", F.col("open") + 1000), f"{root}/lake", topic, "2024-01-02_17", packed=True)
+    write_records(bars, f"{root}/lake", topic, "2024-01-03_17", packed=True)
     run_topic(spark, topic, f"{root}/lake", f"{root}/tables", 0)
     current = read_current(spark, f"{root}/tables/fact_daily_price", TABLES["fact_daily_price"])
     return current.select("ticker", "time", "open")
