@@ -6,6 +6,7 @@ import datetime as dt
 import gzip
 import json
 import os
+import time
 from decimal import Decimal
 
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.batch import normalize, normalize_loads, run, run_topic
 from tickloom.plans.landing import land, prepare, relabel_index, ticker_rows
+from tickloom.session import shuffles_dropped
 from tickloom.sinks.lake import write_records
 from tickloom.sinks.tables import append_load, read_current, read_loads
 from tickloom.sources.lake import CORRUPT, hour_of_file, read_json, scan_partitioned, scan_topic, split_corrupt, topic_path
@@ -212,6 +214,39 @@ def test_lakes_of_the_jobs_are_packed(spark, path, monkeypatch, name):
     assert {f.rsplit(".", 1)[-1] for f in found} == ({"gz", "txt"} if name.endswith("job") else {"gz"})  # broken records are laid down as text
 
 
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in (blocks.apply(i).name() for i in range(blocks.size())) if name.startswith("shuffle_")}
+
+
+def test_shuffle_files_of_lakes_and_tables_go_once_written(spark, path):
+    bars = spark.createDataFrame([(f"S{i % 50}", str(dt.date(2024, 1, 1 + i % 28)), str(i)) for i in range(500)], "ticker string, time string, open string")
+    was, key = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    write_records(bars, path("lake"), "daily_price", "2024-01-02_17")
+    assert run_topic(spark, "daily_price", path("lake"), path("tables"), 0).rows == len({(r.ticker, r.time) for r in bars.collect()})
+    until = time.time() + 20
+    while _shuffle_files(spark) - was and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - was
+    assert spark.conf.get(key, None) is None
+
+
+def test_the_setting_that_drops_shuffles_is_put_back(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with shuffles_dropped(spark):
+        with shuffles_dropped(spark.newSession()):
+            pass
+        with pytest.raises(ValueError), shuffles_dropped(spark):
+            raise ValueError
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "false")
+    with shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == "false"
+    spark.conf.unset(key)
+
+
 def test_the_hour_is_the_name_of_the_folder(spark):
     files = ["file:/a/topic=t/dt_hour=2024-01-02_03/p.json", "s3a://a/t/2024-01-02_03/p.json.gz", "s3a://b/xdt_hour=1/p", "s3a://b/dt_hour=dt_hour=1/p", "file:/a//p", "/p"]
     named = spark.createDataFrame([(f,) for f in files], "path string").select(F.struct(F.col("path").alias("file_path")).alias("_metadata"))

@@ -6,6 +6,10 @@ set here.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 SESSION_CONF = {
@@ -45,3 +49,34 @@ def apply_session_conf(spark: SparkSession) -> SparkSession:
         if not key.startswith("spark.sql.files."):
             spark.conf.set(key, value)
     return spark
+
+
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_dropping: dict[str, tuple[int, str | None]] = {}  # by session: blocks that run, and what the setting was before them
+_dropping_lock = threading.Lock()
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While the block runs, the shuffle files of a write go when it ends, not when the driver next collects its garbage.
+
+    Meant for writes, which are planned anew each time: a frame that is collected twice would shuffle twice.
+    """
+    owner = spark._jsparkSession.sessionUUID()
+    with _dropping_lock:
+        running, before = _dropping.get(owner, (0, None))
+        if not running:
+            before = spark.conf.get(_DROP_SHUFFLES, None)
+            spark.conf.set(_DROP_SHUFFLES, "true")
+        _dropping[owner] = running + 1, before
+    try:
+        yield
+    finally:
+        with _dropping_lock:
+            running, before = _dropping.pop(owner)
+            if running > 1:
+                _dropping[owner] = running - 1, before
+            elif before is None:
+                spark.conf.unset(_DROP_SHUFFLES)
+            else:
+                spark.conf.set(_DROP_SHUFFLES, before)

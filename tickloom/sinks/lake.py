@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.counting import counted, rows_written
+from tickloom.session import shuffles_dropped
 from tickloom.sources.lake import topic_path
 
 PACKED_ROWS = 1_000_000  # in a compressed file at most: it can't be split when it is read
@@ -35,5 +36,6 @@ def write_records(
     writer = stamped.hint("rebalance", *spread).write.mode("append").partitionBy(*folders).option("ignoreNullFields", "false")
     if packed:
         writer = writer.option("compression", "gzip").option("maxRecordsPerFile", PACKED_ROWS)
-    writer.json(topic_path(root, topic))
+    with shuffles_dropped(df.sparkSession):
+        writer.json(topic_path(root, topic))
     return rows_written(rows) > 0

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tickloom.counting import counted, rows_written
 from tickloom.functions.temporal import day_key, month_key
 from tickloom.operators.latest import conform, one_per_key
+from tickloom.session import shuffles_dropped
 from tickloom.sinks.commits import CommitLog, Snapshot, ranges, without
 from tickloom.specs import TABLES, TableSpec
 
@@ -66,7 +67,8 @@ def _write(df: DataFrame, path: str, spec: TableSpec, files: int | None = None)
         writer = writer.option(f"parquet.bloom.filter.enabled#{spec.keys[0]}", "true").option("parquet.bloom.filter.max.bytes", BLOOM_BYTES)
     if spec.partition_time is not None:
         writer = writer.partitionBy(PARTITION)
-    writer.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        writer.parquet(path)
 
 
 def append_load(df: DataFrame, path: str, spec: TableSpec, batch_id: int) -> None:
